@@ -1,8 +1,8 @@
 """Evasion spelling: leet, repeated consonants, masked vowels, spread-out words.
 
-Everything happens inside the row. Each alphabetic token gets three digests of
-(row key, token position); every draw is a window of hex digits compared as a
-string with a fixed-width bound, which needs no number conversion.
+Everything happens inside the row. Each alphabetic token gets one digest of
+(row key, token position); every draw is a window of its 64 hex digits, compared
+as a string with a fixed-width bound, which needs no number conversion.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigil.functions.hashing import digest, hex_below
+from vigil.functions.hashing import hex_below
 from vigil.functions.text import NONSPACE, SPACE
 
 # Substitution table, letter classes, masks and rates.
@@ -21,12 +21,14 @@ CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 MASKS = "*.!"
 RATES = {"leet": 0.30, "repeat": 0.05, "punct": 0.10, "space": 0.05}
 RULES = ("leet", "repeat", "punct", "space")
-# 4-digit windows: offset 1 + (7 * position mod 29) visits all 29 windows of a digest.
-STRIDE, WINDOWS = 7, 29
+# Digits of the digest: 1-24 leet, 25-48 repetition, 49-64 one draw each per token.
+# The 4-digit window of character i starts at (5 * i mod 21): all 21 are visited.
+STRIDE, WINDOWS = 5, 21
+LEET_AT, REPEAT_AT, PUNCT_AT, SLOT_AT, MASK_AT, SPACE_AT = 1, 25, 49, 53, 57, 61
 
 
-def _draw(d: Column, position: Column) -> Column:
-    return F.substring(d, (position * STRIDE) % WINDOWS + 1, F.lit(4))
+def _draw(d: Column, start: int, position: Column) -> Column:
+    return F.substring(d, (position * STRIDE) % WINDOWS + start, F.lit(4))
 
 
 def _number(d: Column, start: int) -> Column:
@@ -40,23 +42,18 @@ def _let(value: Column, body) -> Column:
 
 def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[str, ...] = RULES) -> Column:
     """The rules in their order: leet, repetition, masked vowel, spreading."""
-    seed = F.concat(key, F.lit(":"), position.cast("string"))
-    digests = F.struct(
-        digest(seed, ":leet").alias("leet"),
-        digest(seed, ":repeat").alias("repeat"),
-        digest(seed, ":token").alias("token"),
-    )
+    digest = F.sha2(F.concat(key, F.lit(":"), position.cast("string")), 256)
 
     def char(c: Column, i: Column, d: Column) -> Column:
         if "leet" not in rules:
             return c
-        hit = F.lit(LEET_FROM).contains(c) & (_draw(d["leet"], i) < hex_below(RATES["leet"]))
+        hit = F.lit(LEET_FROM).contains(c) & (_draw(d, LEET_AT, i) < hex_below(RATES["leet"]))
         return F.when(hit, F.translate(c, LEET_FROM, LEET_TO)).otherwise(c)
 
     def repeated(c: Column, i: Column, d: Column) -> Column:
         if "repeat" not in rules:
             return c
-        hit = F.lit(CONSONANTS).contains(F.lower(c)) & (_draw(d["repeat"], i) < hex_below(RATES["repeat"]))
+        hit = F.lit(CONSONANTS).contains(F.lower(c)) & (_draw(d, REPEAT_AT, i) < hex_below(RATES["repeat"]))
         return F.when(hit, F.concat(c, c)).otherwise(c)
 
     def masked(chars: Column, d: Column) -> Column:
@@ -69,11 +66,11 @@ def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[s
         )
 
         def mask(at: Column) -> Column:
-            slot = F.get(at, _number(d["token"], 5) % F.size(at))
-            sign = F.substring(F.lit(MASKS), _number(d["token"], 9) % len(MASKS) + 1, F.lit(1))
+            slot = F.get(at, _number(d, SLOT_AT) % F.size(at))
+            sign = F.substring(F.lit(MASKS), _number(d, MASK_AT) % len(MASKS) + 1, F.lit(1))
             return F.transform(chars, lambda c, i: F.when(i == slot, sign).otherwise(c))
 
-        chosen = F.substring(d["token"], 1, 4) < hex_below(RATES["punct"])
+        chosen = F.substring(d, PUNCT_AT, 4) < hex_below(RATES["punct"])
         return F.when(
             chosen, _let(slots, lambda at: F.when(F.size(at) > 0, mask(at)).otherwise(chars))
         ).otherwise(chars)
@@ -81,7 +78,7 @@ def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[s
     def spread(s: Column, d: Column) -> Column:
         if "space" not in rules:
             return s
-        chosen = (F.length(s) > 3) & (F.substring(d["token"], 13, 4) < hex_below(RATES["space"]))
+        chosen = (F.length(s) > 3) & (F.substring(d, SPACE_AT, 4) < hex_below(RATES["space"]))
         return F.when(chosen, F.array_join(F.split(s, ""), " ")).otherwise(s)
 
     def build(d: Column) -> Column:
@@ -90,7 +87,7 @@ def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[s
         joined = _let(chars, lambda cs: F.array_join(masked(cs, d), ""))
         return _let(joined, lambda s: spread(s, d))
 
-    return _let(digests, build)
+    return _let(digest, build)
 
 
 def obfuscate_text(c: Column, key: Column, rules: tuple[str, ...] = RULES) -> Column:

@@ -33,6 +33,17 @@ def with_terms(df: DataFrame, cfg: TfidfConfig, text: str = "text") -> DataFrame
     return with_term_counts(grams, "_grams").drop("_grams")
 
 
+def exploded_terms(docs: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
+    """keep + term, tf. With ``outer`` a document without terms stays, with nulls.
+
+    Always the outer generator: for the inner one the optimizer infers a
+    ``size(terms) > 0`` filter and moves it to the scan, which would tokenise
+    every text again, once per element of the lambda functions.
+    """
+    rows = docs.select(*keep, F.inline_outer("terms"))
+    return rows if outer else rows.filter(F.col("term").isNotNull())
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """term -> df, cf. A term occurs once per document row, so df is a plain count.
 
@@ -40,7 +51,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     one row per task.
     """
     return (
-        docs.select(F.inline("terms"))
+        exploded_terms(docs, [])
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     )
@@ -85,8 +96,7 @@ def weighted_terms(
     ``table`` is broadcast: its size is bounded by ``max_features``. The join is
     narrow, so the terms of one document stay together in their task.
     """
-    exploded = docs.select(*keep, (F.inline_outer if outer else F.inline)("terms"))
-    joined = exploded.join(F.broadcast(table), "term", "left" if outer else "inner")
+    joined = exploded_terms(docs, keep, outer).join(F.broadcast(table), "term", "left" if outer else "inner")
     return joined.withColumn("w", tf_weight(F.col("tf"), cfg) * F.col("idf"))
 
 
