@@ -36,18 +36,15 @@ def score_totals(
     Confusion and AUC come out of the same aggregate: the decision is a function
     of the score, so both are sums over the distinct scores.
     """
-    t = F.col(truth)
-    p = decide(F.col(score), threshold)
-    variants = {"a": (t.cast("long"), (1 - t).cast("long"))}
-    sums = {"tp": (t * p).cast("long"), "fp": ((1 - t) * p).cast("long")}
-    totals = rank_sums(df, by, score, variants, sums)
-    return totals.select(
+    flagged = decide(F.col(score), threshold)
+    sums = {"tp": F.col("pos") * flagged, "fp": F.col("neg") * flagged}
+    return rank_sums(df, by, score, truth, sums).select(
         *by,
-        (F.col("neg_a") - F.col("fp")).alias("tn"),
+        (F.col("neg") - F.col("fp")).alias("tn"),
         "fp",
-        (F.col("pos_a") - F.col("tp")).alias("fn"),
+        (F.col("pos") - F.col("tp")).alias("fn"),
         "tp",
-        auc("a").alias("roc_auc"),
+        auc().alias("roc_auc"),
     )
 
 
@@ -57,14 +54,8 @@ def evaluate(df: DataFrame, by: list[str], truth: str = "label", score: str = "p
 
 
 def roc_auc(df: DataFrame, by: list[str], truth: str = "label", score: str = "p_hate") -> DataFrame:
-    t = F.col(truth)
-    totals = rank_sums(df, by, score, {"a": (t.cast("long"), (1 - t).cast("long"))}, {})
-    return totals.select(*by, F.col("pos_a").alias("n_pos"), F.col("neg_a").alias("n_neg"), auc("a").alias("roc_auc"))
-
-
-def pair_counts(df: DataFrame, by: list[str], truth: str, pred: str) -> DataFrame:
-    """by + truth, pred, n: at most K x K rows per group."""
-    return df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    totals = rank_sums(df, by, score, truth)
+    return totals.select(*by, F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"), auc().alias("roc_auc"))
 
 
 def confusion_matrix(df: DataFrame, by: list[str], truth: str, pred: str, classes: int) -> DataFrame:
@@ -168,7 +159,8 @@ def report(classwise: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     ]
     tail = s.select(*by, F.inline(F.array(*spread)))
     out = rows.unionByName(tail)
-    return out.withColumns({c: F.format_number(c, "0.0000") for c in ("precision", "recall", "f1")})
+    shown = {c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))) for c in ("precision", "recall", "f1")}
+    return out.withColumns(shown)
 
 
 def group_audit(df: DataFrame, group: str, order: list[str], truth: str = "label", pred: str = "pred") -> DataFrame:

@@ -27,14 +27,19 @@ def _before(w: WindowSpec) -> WindowSpec:
 
 
 def rank_sums(
-    df: DataFrame, by: list[str], score: str, variants: dict[str, tuple[Column, Column]], sums: dict[str, Column]
+    df: DataFrame,
+    by: list[str],
+    score: str,
+    truth: str,
+    sums: dict[str, Column] | None = None,
+    tags: list[str] | None = None,
+    variants: dict[float, Column] | None = None,
 ) -> DataFrame:
-    """Per group: totals, and for each variant the Mann-Whitney count of a sorted score.
+    """Per group: positives, negatives and the Mann-Whitney count of a sorted score.
 
-    ``variants`` maps a name to the (positive, negative) weight of a row. The
-    result has ``pos_<v>``, ``neg_<v>`` and ``wins_<v>`` = sum over positives of
-    the negatives with a smaller score plus half of those with the same score.
-    ``sums`` are further columns that are only added up on the way.
+    Returns by + pos, neg, ``wins`` = sum over positives of the negatives with a
+    smaller score plus half of those with the same score, and the ``sums``
+    (expressions over pos, neg, the score and the tags).
 
     1. Equal scores collapse in a combinable aggregate, so a score shared by a
        third of the rows is one row afterwards.
@@ -44,46 +49,52 @@ def rank_sums(
 
     The plan is linear: no join back, hence no need for two branches to agree on
     the slice boundaries.
+
+    ``variants`` evaluates several selections of the same rows in one sort: each
+    maps a value (added as column ``_variant``) to a condition on the ``tags``,
+    columns that are kept apart when scores collapse.
     """
     spark = df.sparkSession
-    weights = {f"pos_{v}": p for v, (p, _) in variants.items()}
-    weights |= {f"neg_{v}": n for v, (_, n) in variants.items()}
-    weights |= sums
-    distinct = df.groupBy(*by, score).agg(*[F.sum(c).alias(k) for k, c in weights.items()])
+    tags, sums = tags or [], sums or {}
+    chosen = variants if variants is not None else {0.0: F.lit(True)}
+    t = F.col(truth).cast("long")
+    distinct = df.groupBy(*by, score, *tags).agg(F.sum(t).alias("pos"), F.sum(1 - t).alias("neg"))
     sliced = distinct.repartitionByRange(shuffle_partitions(spark), *by, score).withColumn(
         "_slice", F.spark_partition_id()
     )
-    inside = _before(_ordered([*by, "_slice"], score))
-    per_row = sliced.select(
+    # RANGE frames: rows of the same score (with other tags) are peers.
+    inside = _ordered([*by, "_slice"], score)
+    upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = inside.rangeBetween(Window.currentRow, Window.currentRow)
+    zero = F.lit(0).cast("long")
+    neg = {v: F.when(c, F.col("neg")).otherwise(zero) for v, c in chosen.items()}
+    below = sliced.select(
         "*",
-        *[
-            (
-                F.col(f"pos_{v}") * (F.coalesce(F.sum(f"neg_{v}").over(inside), F.lit(0)) + F.col(f"neg_{v}") / 2)
-            ).alias(f"wins_{v}")
-            for v in variants
-        ],
-    )
-    add = [*weights, *[f"wins_{v}" for v in variants]]
-    slices = per_row.groupBy(*by, "_slice").agg(*[F.sum(c).alias(c) for c in add])
-    earlier = _before(_ordered(by, "_slice"))
-    combined = slices.select(
-        *by,
-        *weights,
-        *[
-            (
-                F.col(f"wins_{v}")
-                + F.col(f"pos_{v}") * F.coalesce(F.sum(f"neg_{v}").over(earlier), F.lit(0))
-            ).alias(f"wins_{v}")
-            for v in variants
-        ],
+        *[(F.sum(n).over(upto) - F.sum(n).over(peers) / 2).alias(f"_below_{i}") for i, n in enumerate(neg.values())],
     )
-    return combined.groupBy(*by).agg(*[F.sum(c).alias(c) for c in add])
-
-
-def auc(variant: str) -> Column:
+    rows = [
+        F.struct(
+            F.lit(v).alias("_variant"),
+            F.when(c, F.col("pos")).otherwise(zero).alias("_pos"),
+            neg[v].alias("_neg"),
+            F.when(c, F.col("pos") * F.col(f"_below_{i}")).otherwise(F.lit(0.0)).alias("wins"),
+            *[F.when(c, e).otherwise(zero).alias(k) for k, e in sums.items()],
+        )
+        for i, (v, c) in enumerate(chosen.items())
+    ]
+    long = below.select(*by, "_slice", F.inline(F.array(*rows))).withColumnsRenamed({"_pos": "pos", "_neg": "neg"})
+    keys = [*by, "_variant"]
+    totals = ["pos", "neg", *sums]
+    slices = long.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(c) for c in [*totals, "wins"]])
+    earlier = F.coalesce(F.sum("neg").over(_before(_ordered(keys, "_slice"))), zero)
+    combined = slices.select(*keys, *totals, (F.col("wins") + F.col("pos") * earlier).alias("wins"))
+    out = combined.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*totals, "wins"]])
+    return out if variants is not None else out.drop("_variant")
+
+
+def auc() -> Column:
     """ROC-AUC from :func:`rank_sums`; null where only one class occurs."""
-    pairs = F.col(f"pos_{variant}").cast("double") * F.col(f"neg_{variant}")
-    return F.try_divide(F.col(f"wins_{variant}"), pairs)
+    return F.try_divide(F.col("wins"), F.col("pos").cast("double") * F.col("neg"))
 
 
 def running_sum(df: DataFrame, seq: str, value: str, out: str) -> DataFrame:

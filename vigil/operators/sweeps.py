@@ -177,9 +177,9 @@ def cascade_sweep(
 
     A row contributes only two scores whatever the threshold: p1 below its
     routing point and p2 above it. So each row becomes two (not one per
-    threshold), all are sorted once, and the thresholds are parallel columns of
-    that one sort: which of the two scores counts at threshold i follows from
-    ``k``, the number of thresholds that p1 reaches.
+    threshold), all are shuffled and sorted once, and the thresholds select from
+    that one order: which of the two scores counts at threshold i follows from
+    ``_k``, the number of thresholds that p1 reaches.
     """
     thresholds = CASCADE_THRESHOLDS if thresholds is None else thresholds
     k = sum((decide(F.col(p1), t) for t in thresholds[1:]), decide(F.col(p1), thresholds[0]))
@@ -187,40 +187,35 @@ def cascade_sweep(
         F.struct(F.lit(False).alias("_second"), F.col(p1).alias("_score")),
         F.struct(F.lit(True).alias("_second"), F.col(p2).alias("_score")),
     )
-    long = df.select(*by, F.col(truth).cast("long").alias("_t"), k.alias("_k"), F.inline(two))
-    t, second = F.col("_t"), F.col("_second")
+    long = df.select(*by, F.col(truth).alias("_t"), k.alias("_k"), F.inline(two))
     flagged = decide(F.col("_score"), decision)
-    variants, sums = {}, {}
-    for i in range(len(thresholds)):
-        # Thresholds ascend, so a row is routed at the first k of them.
-        counts = (second == (F.col("_k") > i)).cast("long")
-        variants[str(i)] = (t * counts, (1 - t) * counts)
-        sums |= {
-            f"tp_{i}": t * counts * flagged,
-            f"fp_{i}": (1 - t) * counts * flagged,
-            f"routed_{i}": second.cast("long") * counts,
-        }
-    wide = rank_sums(long, by, "_score", variants, sums)
-    rows = [
-        F.struct(
-            F.lit(th).alias("stage1_threshold"),
-            F.col(f"routed_{i}").alias("n_routed_stage2"),
-            (F.col(f"neg_{i}") - F.col(f"fp_{i}")).alias("tn"),
-            F.col(f"fp_{i}").alias("fp"),
-            (F.col(f"pos_{i}") - F.col(f"tp_{i}")).alias("fn"),
-            F.col(f"tp_{i}").alias("tp"),
-            auc(str(i)).alias("roc_auc"),
-        )
-        for i, th in enumerate(thresholds)
-    ]
-    out = with_binary_metrics(wide.select(*by, F.inline(F.array(*rows))))
-    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return out.select(
+    n = F.col("pos") + F.col("neg")
+    sums = {
+        "tp": F.col("pos") * flagged,
+        "fp": F.col("neg") * flagged,
+        "n_routed_stage2": F.when(F.col("_second"), n).otherwise(F.lit(0).cast("long")),
+    }
+    # Thresholds ascend, so a row is routed at the first _k of them.
+    variants = {t: F.col("_second") == (F.col("_k") > i) for i, t in enumerate(thresholds)}
+    totals = rank_sums(long, by, "_score", "_t", sums, ["_second", "_k"], variants)
+    counts = totals.select(
         *by,
-        "stage1_threshold",
+        F.col("_variant").alias("stage1_threshold"),
         n.alias("n_total"),
         "n_routed_stage2",
         ratio(F.col("n_routed_stage2"), n).alias("stage2_rate"),
+        (F.col("neg") - F.col("fp")).alias("tn"),
+        "fp",
+        (F.col("pos") - F.col("tp")).alias("fn"),
+        "tp",
+        auc().alias("roc_auc"),
+    )
+    return with_binary_metrics(counts).select(
+        *by,
+        "stage1_threshold",
+        "n_total",
+        "n_routed_stage2",
+        "stage2_rate",
         "accuracy",
         F.col("f1_binary").alias("f1_hate"),
         "f1_macro",

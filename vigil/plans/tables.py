@@ -214,7 +214,7 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     ask = prompts(spark, sf_dir)
     base = ask.filter(uniform(key, ":gone") >= 0.2)
-    p = F.format_number(F.floor(uniform(key, ":p") * 1000) / 1000.0, "0.000")
+    p = F.format_string("%.3f", F.floor(uniform(key, ":p") * 1000) / 1000.0)
     form = F.floor(uniform(key, ":form") * len(RAW_FORMS)).cast("int")
     raw = F.replace(F.element_at(F.array(*[F.lit(r) for r in RAW_FORMS]), form + 1), F.lit("{p}"), p)
     tokens_in = F.floor(F.length("prompt") / 4).cast("long")

@@ -125,18 +125,16 @@ def write_metrics(metrics: DataFrame, path: str, keys: list[str]) -> None:
     metrics.write.partitionBy(*keys).json(path)
 
 
-def read_metrics(spark: SparkSession, path: str, schema: str = METRICS_SCHEMA) -> DataFrame:
-    """All ``<model>_<dataset>[_3way][_s<seed>]/metrics.json`` below ``path`` as one table.
+def read_run_folders(spark: SparkSession, path: str, schema: str = METRICS_SCHEMA) -> DataFrame:
+    """All metric files below ``path`` as one table, keyed by their run folder.
 
-    The run name is parsed from the file path; seed 42 has no suffix.
+    The folder is ``[run_name=]<model>_<dataset>[_3way][_s<seed>]``; seed 42 has
+    no suffix. A run without a file is simply absent.
     """
-    run = F.regexp_extract("file_path", r"([^/]+)/metrics\.json(?:/[^/]*)?$", 1)
-    raw = spark.read.schema(schema).json(f"{path}/*/metrics.json").select("*", F.col("_metadata.file_path"))
-    return (
-        raw.withColumn("run_name", run)
-        .drop("file_path")
-        .withColumns(run_key_columns(F.col("run_name")))
-    )
+    folder = F.regexp_extract("file_path", r"([^/=]+)/[^/]*$", 1)
+    files = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    named = files.select("*", F.col("_metadata.file_path")).withColumn("run_name", folder).drop("file_path")
+    return named.withColumns(run_key_columns(F.col("run_name")))
 
 
 def run_key_columns(run: Column) -> dict[str, Column]:
@@ -146,5 +144,5 @@ def run_key_columns(run: Column) -> dict[str, Column]:
         "model": F.regexp_extract(run, pattern, 1),
         "dataset": F.regexp_extract(run, pattern, 2),
         "task": F.when(F.regexp_extract(run, pattern, 3) != "", "multiclass").otherwise("binary"),
-        "seed": F.when(seed == "", F.lit(42)).otherwise(F.try_to_number(seed, F.lit("999999")).cast("int")),
+        "seed": F.coalesce(seed.try_cast("int"), F.lit(42)),
     }
