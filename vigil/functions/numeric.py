@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column that is used inside a lambda function would otherwise be copied into
+    it and computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

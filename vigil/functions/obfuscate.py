@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigil.functions.hashing import hex_below
+from vigil.functions.numeric import let
 from vigil.functions.text import NONSPACE, SPACE
 
 # Substitution table, letter classes, masks and rates.
@@ -35,11 +36,6 @@ def _number(d: Column, start: int) -> Column:
     return F.conv(F.substring(d, start, 4), 16, 10).cast("int")
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[str, ...] = RULES) -> Column:
     """The rules in their order: leet, repetition, masked vowel, spreading."""
     digest = F.sha2(F.concat(key, F.lit(":"), position.cast("string")), 256)
@@ -72,7 +68,7 @@ def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[s
 
         chosen = F.substring(d, PUNCT_AT, 4) < hex_below(RATES["punct"])
         return F.when(
-            chosen, _let(slots, lambda at: F.when(F.size(at) > 0, mask(at)).otherwise(chars))
+            chosen, let(slots, lambda at: F.when(F.size(at) > 0, mask(at)).otherwise(chars))
         ).otherwise(chars)
 
     def spread(s: Column, d: Column) -> Column:
@@ -84,10 +80,10 @@ def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[s
     def build(d: Column) -> Column:
         leet = F.transform(F.split(token, ""), lambda c, i: char(c, i, d))
         chars = F.transform(leet, lambda c, i: repeated(c, i, d))
-        joined = _let(chars, lambda cs: F.array_join(masked(cs, d), ""))
-        return _let(joined, lambda s: spread(s, d))
+        joined = let(chars, lambda cs: F.array_join(masked(cs, d), ""))
+        return let(joined, lambda s: spread(s, d))
 
-    return _let(digest, build)
+    return let(digest, build)
 
 
 def obfuscate_text(c: Column, key: Column, rules: tuple[str, ...] = RULES) -> Column:

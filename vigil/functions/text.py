@@ -61,7 +61,13 @@ def hashtags(c: Column, keep: bool = True) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    """Each white-space run becomes one blank; a lone blank is not touched (and costs nothing)."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " "))
+
+
+def has_non_ascii(c: Column) -> Column:
+    """Cheap test that spares plain ASCII rows the Unicode expressions."""
+    return F.octet_length(c) > F.length(c)
 
 
 def demojize(c: Column, names: dict[str, str] | None = None) -> Column:
@@ -82,7 +88,7 @@ def demojize(c: Column, names: dict[str, str] | None = None) -> Column:
         pieces,
         lambda p: F.when(p.rlike(f"^(?:{known})$"), F.concat(F.lit(" "), table[p], F.lit(" "))).otherwise(p),
     )
-    return F.when(c.rlike(f"[{heads}]"), F.array_join(named, "")).otherwise(c)
+    return F.when(has_non_ascii(c) & c.rlike(f"[{heads}]"), F.array_join(named, "")).otherwise(c)
 
 
 def clean_text(
@@ -118,3 +124,14 @@ def clean_column(df: DataFrame, name: str = "text", **options) -> DataFrame:
 
 def drop_empty(df: DataFrame, name: str = "text") -> DataFrame:
     return df.filter(F.length(name) > 0)
+
+
+def clean_nonempty(df: DataFrame, name: str = "text", **options) -> DataFrame:
+    """Clean a column and drop the rows that are empty afterwards.
+
+    A filter on a cleaned column would be moved down to the scan with a second
+    copy of all the expressions. A one-element generator keeps it above, so each
+    text is cleaned once.
+    """
+    once = F.explode(F.array(clean_text(F.col(name), **options)))
+    return drop_empty(df.select(*[once.alias(name) if c == name else F.col(c) for c in df.columns]), name)

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import SPACE, WORD
+from vigil.functions.text import SPACE, WORD, has_non_ascii
 
 
 def whitespace_tokens(c: Column) -> Column:
@@ -71,10 +71,13 @@ def strip_accents(c: Column) -> Column:
     expanded = F.array_join(
         F.transform(F.split(c, ""), lambda p: F.when(p.rlike(_ranges(codes)), table[p]).otherwise(p)), ""
     )
-    wide = F.when(c.rlike(_ranges(codes, gap=48)), expanded).otherwise(c)
+    # Western European text is settled by the first, very small class.
+    low = [k for k in codes if k < 0x250]
+    few = _ranges(low, gap=48)[:-1] + "\\x{250}-\\x{10ffff}]"
+    wide = F.when(c.rlike(few) & c.rlike(_ranges(codes, gap=48)), expanded).otherwise(c)
     based = F.translate(wide, source, target)
     bare = F.when(c.rlike(r"\p{M}"), F.regexp_replace(based, _ranges(marks), "")).otherwise(based)
-    return F.when(c.rlike(r"[^\x00-\x7f]"), bare).otherwise(c)
+    return F.when(has_non_ascii(c), bare).otherwise(c)
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:

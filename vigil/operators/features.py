@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.tokens import ngrams, strip_accents, with_term_counts, word_tokens
@@ -22,26 +22,29 @@ class TfidfConfig:
     balanced: bool = True
 
 
+def with_grams(df: DataFrame, cfg: TfidfConfig, text: str = "text") -> DataFrame:
+    """Replace the text by ``_grams``: lower-cased, accent-free word n-grams."""
+    tokens = df.withColumn("_tokens", word_tokens(strip_accents(F.lower(text)))).drop(text)
+    return tokens.withColumn("_grams", ngrams(F.col("_tokens"), cfg.ngram_min, cfg.ngram_max)).drop("_tokens")
+
+
 def with_terms(df: DataFrame, cfg: TfidfConfig, text: str = "text") -> DataFrame:
     """Replace the text by ``terms``: array of (term, tf), one row per document.
 
     Lower-casing, accent removal, tokens, n-grams and counts stay inside the row:
     no exchange happens before the vocabulary.
     """
-    tokens = df.withColumn("_tokens", word_tokens(strip_accents(F.lower(text)))).drop(text)
-    grams = tokens.withColumn("_grams", ngrams(F.col("_tokens"), cfg.ngram_min, cfg.ngram_max)).drop("_tokens")
-    return with_term_counts(grams, "_grams").drop("_grams")
+    return with_term_counts(with_grams(df, cfg, text), "_grams").drop("_grams")
 
 
-def exploded_terms(docs: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
-    """keep + term, tf. With ``outer`` a document without terms stays, with nulls.
+def exploded_terms(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep + term, tf.
 
-    Always the outer generator: for the inner one the optimizer infers a
+    By the outer generator: for the inner one the optimizer infers a
     ``size(terms) > 0`` filter and moves it to the scan, which would tokenise
     every text again, once per element of the lambda functions.
     """
-    rows = docs.select(*keep, F.inline_outer("terms"))
-    return rows if outer else rows.filter(F.col("term").isNotNull())
+    return docs.select(*keep, F.inline_outer("terms")).filter(F.col("term").isNotNull())
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -78,25 +81,17 @@ def idf_table(docs: DataFrame, cfg: TfidfConfig) -> DataFrame:
     return vocabulary(term_frequencies(docs), cfg).withColumn("idf", idf(n, F.col("df")))
 
 
-def indexed(table: DataFrame) -> DataFrame:
-    """Add ``idx`` 0..V-1 in term order; the window is bounded by ``max_features`` rows."""
-    return table.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)
-
-
 def tf_weight(tf: Column, cfg: TfidfConfig) -> Column:
     return F.log(tf) + 1 if cfg.sublinear_tf else tf.cast("double")
 
 
-def weighted_terms(
-    docs: DataFrame, table: DataFrame, cfg: TfidfConfig, keep: list[str], outer: bool = False
-) -> DataFrame:
+def weighted_terms(docs: DataFrame, table: DataFrame, cfg: TfidfConfig, keep: list[str]) -> DataFrame:
     """keep + term columns of ``table`` + w = tf weight * idf; unknown terms vanish.
 
-    With ``outer`` every term and every document stays, unknown ones with null w.
     ``table`` is broadcast: its size is bounded by ``max_features``. The join is
     narrow, so the terms of one document stay together in their task.
     """
-    joined = exploded_terms(docs, keep, outer).join(F.broadcast(table), "term", "left" if outer else "inner")
+    joined = exploded_terms(docs, keep).join(F.broadcast(table), "term")
     return joined.withColumn("w", tf_weight(F.col("tf"), cfg) * F.col("idf"))
 
 

@@ -12,16 +12,16 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.numeric import argmax, decide
+from vigil.functions.numeric import argmax, decide, let
 from vigil.functions.tokens import whitespace_tokens
-from vigil.operators.features import TfidfConfig, idf_table, indexed, weighted_terms, with_terms
+from vigil.operators.features import TfidfConfig, idf_table, tf_weight, with_grams, with_terms
 from vigil.operators.metrics import evaluate
 from vigil.session import scratch_path
 
@@ -60,86 +60,96 @@ def fit_regression(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-5,
+        tol=1e-4,
     )
     return lr.fit(data)
 
 
 # ------------------------------------------------------------------- TF-IDF
-def sparse_features(docs: DataFrame, table: DataFrame, cfg: TfidfConfig, keep: list[str]) -> DataFrame:
-    """keep + ``features`` (normalised sparse vectors), as a table in the shared folder.
-
-    Training reads its features many times, so they are written once. The write
-    also turns the (indices, values) arrays into ML vectors without a Python
-    function: a vector column is stored as exactly this struct.
-    """
-    spark = docs.sparkSession
-    size = table.count()
-    w = weighted_terms(docs, table.select("term", "idx", "idf"), cfg, keep, outer=True)
-    # One document per group: the list holds at most its distinct terms. A document
-    # without a known term has an empty list, that is an all-zero vector.
-    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "w"))
-    rows = w.groupBy(*keep).agg(
-        F.sort_array(F.collect_list(entry)).alias("_e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l2")
-    )
-    known = rows.select(
-        *keep,
-        F.struct(
-            F.lit(SPARSE).cast("byte").alias("type"),
-            F.lit(size).alias("size"),
-            F.transform("_e", lambda e: e["idx"].cast("int")).alias("indices"),
-            F.transform("_e", lambda e: e["w"] / F.col("_l2")).alias("values"),
-        ).alias("features"),
-    )
-    path = scratch_path(spark, "features")
-    known.write.parquet(path)
-    schema = T.StructType([f for f in known.schema.fields if f.name != "features"]).add("features", VectorUDT())
-    return spark.read.schema(schema).parquet(path)
+def constant_array(values: list[float]) -> Column:
+    """Numbers of the model (at most ``max_features``) as one folded array constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
 @dataclass
 class TfidfModel:
-    """Fitted vocabulary with idf and one coefficient column per class."""
+    """Term counter, idf per term index, one coefficient row per margin."""
 
     cfg: TfidfConfig
-    table: DataFrame
+    counter: CountVectorizerModel
+    idf: list[float]
+    coefficients: list[list[float]]
     intercepts: list[float]
-    n_classes: int
+
+    def counts(self, df: DataFrame, cols: list[str], text: str = "text") -> DataFrame:
+        """cols + _i, _w: indices and unscaled TF-IDF weights of the known terms, in the row."""
+        return term_weights(df.select(*cols, text), self.counter, self.idf, self.cfg, cols, text)
 
     def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         """key, keep, p_hate (two classes) or probabilities (more).
 
-        The margin of a document is a sum over its terms, so scoring is a narrow
-        explode, a broadcast join with the bounded vocabulary, and an aggregate.
-        All terms of a document are in one task already: the aggregate combines
-        them before the exchange, and only a few numbers per document travel.
+        Narrow: tokens, counts and the dot products stay inside the row.
         """
         cols = [key, *keep]
-        docs = with_terms(df.select(*cols, text), self.cfg, text)
-        names = [c for c in self.table.columns if c.startswith("coef_")]
-        table = self.table.select("term", "idf", *names)
-        joined = weighted_terms(docs, table, self.cfg, cols, outer=True)
-        sums = joined.groupBy(*cols).agg(
-            F.sum(F.col("w") * F.col("w")).alias("_l2"),
-            *[F.sum(F.col("w") * F.col(c)).alias(c) for c in names],
-        )
-        l2 = F.sqrt("_l2")
-        margins = [
-            F.coalesce(F.try_divide(F.col(c), l2), F.lit(0.0)) + b for c, b in zip(names, self.intercepts)
-        ]
-        return sums.select(*cols, probability(margins))
+        l2 = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w))
+        weighted = self.counts(df, cols, text).withColumn("_l2", l2)
+
+        def margin(row: list[float], intercept: float) -> Column:
+            beta = constant_array(row)
+            products = F.zip_with("_i", "_w", lambda i, w: F.get(beta, i) * w)
+            dot = F.aggregate(products, F.lit(0.0), lambda a, p: a + p)
+            return F.coalesce(F.try_divide(dot, F.col("_l2")), F.lit(0.0)) + intercept
+
+        margins = [margin(r, b) for r, b in zip(self.coefficients, self.intercepts)]
+        return weighted.select(*cols, probability(margins))
 
     def save(self, path: str) -> None:
-        spark = self.table.sparkSession
-        self.table.write.parquet(f"{path}/vocabulary")
-        meta = {"cfg": asdict(self.cfg), "intercepts": self.intercepts, "n_classes": self.n_classes}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{path}/meta")
+        spark = SparkSession.active()
+        self.counter.write().save(f"{path}/counter")
+        state = {"cfg": asdict(self.cfg), "intercepts": self.intercepts}
+        state |= {"idf": self.idf, "coefficients": self.coefficients}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.text(f"{path}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TfidfModel":
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        table = spark.read.parquet(f"{path}/vocabulary")
-        return cls(TfidfConfig(**meta["cfg"]), table, meta["intercepts"], meta["n_classes"])
+        state = json.loads(spark.read.text(f"{path}/state", wholetext=True).first()[0])
+        counter = CountVectorizerModel.load(f"{path}/counter")
+        return cls(TfidfConfig(**state["cfg"]), counter, state["idf"], state["coefficients"], state["intercepts"])
+
+
+def term_weights(
+    df: DataFrame, counter: CountVectorizerModel, idf: list[float], cfg: TfidfConfig, cols: list[str], text: str
+) -> DataFrame:
+    """cols + _i (term indices) + _w (tf weight * idf), no shuffle and no Python function."""
+    counted = counter.transform(with_grams(df, cfg, text)).select(*cols, F.unwrap_udt("_tf").alias("_tf"))
+    table = constant_array(idf)
+    weights = F.zip_with("_tf.indices", "_tf.values", lambda i, v: tf_weight(v, cfg) * F.get(table, i))
+    return counted.select(*cols, F.col("_tf.indices").alias("_i"), weights.alias("_w"))
+
+
+def sparse_features(weights: DataFrame, size: int, cols: list[str]) -> DataFrame:
+    """cols + ``features`` (L2-normalised sparse vectors), as a table in the shared folder.
+
+    Training reads its features many times, so they are written once. The write
+    also turns the arrays into ML vectors without a Python function: a vector
+    column is stored as exactly this struct. A document without a known term is
+    an all-zero vector.
+    """
+    spark = weights.sparkSession
+    l2 = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w))
+    stored = weights.select(
+        *cols,
+        F.struct(
+            F.lit(SPARSE).cast("byte").alias("type"),
+            F.lit(size).alias("size"),
+            F.col("_i").alias("indices"),
+            let(l2, lambda n: F.transform("_w", lambda w: w / n)).alias("values"),
+        ).alias("features"),
+    )
+    path = scratch_path(spark, "features")
+    stored.write.parquet(path)
+    schema = T.StructType([f for f in stored.schema.fields if f.name != "features"]).add("features", VectorUDT())
+    return spark.read.schema(schema).parquet(path)
 
 
 def probability(margins: list[Column]) -> Column:
@@ -153,24 +163,26 @@ def probability(margins: list[Column]) -> Column:
 
 
 def fit_tfidf(train: DataFrame, cfg: TfidfConfig = TfidfConfig(), key: str = "doc_id") -> TfidfModel:
-    """Fit vocabulary, idf and regression on (key, text, y)."""
+    """Fit vocabulary, idf and regression on (key, text, y).
+
+    The vocabulary is chosen by our own aggregate, with a fixed order at the
+    cut; the counter is fitted on that table, one term per row, so that it knows
+    exactly these terms.
+    """
     spark = train.sparkSession
-    docs = with_terms(train.select(key, "y", "text"), cfg)
-    # The vocabulary is used by the features and by every later scoring: write it once.
     path = scratch_path(spark, "vocabulary")
-    indexed(idf_table(docs, cfg)).write.parquet(path)
-    table = spark.read.parquet(path)
-    features = sparse_features(docs, table, cfg, [key, "y"])
-    counts = class_counts(train)
-    lr = fit_regression(features, counts, cfg.C, cfg.max_iter, cfg.balanced)
-    matrix = lr.coefficientMatrix.toArray()
-    # At most max_features rows of K numbers: the model itself.
-    schema = "idx int, " + ", ".join(f"coef_{k} double" for k in range(len(matrix)))
-    rows = [(i, *[float(v) for v in matrix[:, i]]) for i in range(matrix.shape[1])]
-    coefs = spark.createDataFrame(rows, schema)
-    fitted = scratch_path(spark, "tfidf-model")
-    table.join(coefs, "idx").write.parquet(fitted)
-    return TfidfModel(cfg, spark.read.parquet(fitted), [float(b) for b in lr.interceptVector], lr.numClasses)
+    idf_table(with_terms(train.select(key, "text"), cfg), cfg).write.parquet(path)
+    terms = spark.read.parquet(path).select(F.array("term").alias("_grams"), "idf")
+    counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=cfg.max_features, minDF=1.0).fit(terms)
+    index = F.get(F.unwrap_udt("_tf")["indices"], 0)
+    # At most max_features numbers reach the driver: they are part of the model.
+    rows = counter.transform(terms).select(index.alias("i"), "idf").collect()
+    idf = [float(r["idf"]) for r in sorted(rows, key=lambda r: r["i"])]
+    features = sparse_features(term_weights(train, counter, idf, cfg, [key, "y"], "text"), len(idf), [key, "y"])
+    lr = fit_regression(features, class_counts(train), cfg.C, cfg.max_iter, cfg.balanced)
+    return TfidfModel(
+        cfg, counter, idf, lr.coefficientMatrix.toArray().tolist(), [float(b) for b in lr.interceptVector]
+    )
 
 
 # ---------------------------------------------------- models of Spark ML stages
@@ -237,7 +249,21 @@ def _words(df: DataFrame, text: str, cfg: EmbedConfig) -> DataFrame:
 
 
 def _chars(df: DataFrame, text: str, cfg: VerifierConfig) -> DataFrame:
-    return df.withColumn("_chars", F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), ""))
+    """``_grams``: character n-grams of the distinct padded words.
+
+    The features are binary, so a word counts once however often it occurs.
+    """
+    words = F.array_distinct(whitespace_tokens(F.lower(text)))
+
+    def grams(word: Column) -> Column:
+        return F.flatten(F.array(*[of_size(word, n) for n in cfg.sizes]))
+
+    def of_size(word: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return df.withColumn("_grams", F.flatten(F.transform(padded, grams)))
 
 
 PREPARE = {"embed": _words, "chars": _chars}
@@ -271,15 +297,9 @@ def fit_embedding(train: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> StageMo
 
 
 def fit_verifier(train: DataFrame, cfg: VerifierConfig = VerifierConfig()) -> StageModel:
-    """Hashed character n-grams (blind to word boundaries, so robust to spelling) + regression."""
-    stages, columns = [], []
-    for n in cfg.sizes:
-        stages.append(NGram(n=n, inputCol="_chars", outputCol=f"_g{n}"))
-        stages.append(HashingTF(numFeatures=cfg.buckets, binary=True, inputCol=f"_g{n}", outputCol=f"_h{n}"))
-        columns.append(f"_h{n}")
-    stages.append(VectorAssembler(inputCols=columns, outputCol="_all"))
-    stages.append(Normalizer(p=2.0, inputCol="_all", outputCol="features"))
-    return _fit_stages("chars", cfg, train, stages)
+    """Hashed character n-grams of words (robust to spelling) + regression."""
+    hashed = HashingTF(numFeatures=cfg.buckets, binary=True, inputCol="_grams", outputCol="_hashed")
+    return _fit_stages("chars", cfg, train, [hashed, Normalizer(p=2.0, inputCol="_hashed", outputCol="features")])
 
 
 # ---------------------------------------------------------------- selection

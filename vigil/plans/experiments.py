@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.obfuscate import obfuscate_text
-from vigil.functions.text import clean_column, drop_empty
+from vigil.functions.text import clean_nonempty
 from vigil.operators import metrics as M
 from vigil.operators import robustness as B
 from vigil.operators import sweeps as S
@@ -24,7 +24,7 @@ from vigil.operators.models import (
     fit_verifier,
     predictions,
 )
-from vigil.session import materialise
+from vigil.session import materialise, scratch_path, spread
 
 Model = TfidfModel | StageModel
 Trainer = Callable[[DataFrame], Model]
@@ -37,13 +37,16 @@ TRAINERS: dict[str, Callable[..., Model]] = {
 
 
 def prepare(corpus: DataFrame, salt: str = ":split") -> DataFrame:
-    """Cleaned, non-empty, split corpus as a table in the shared folder.
+    """Split, cleaned, non-empty corpus as a table in the shared folder.
 
-    Every later step filters it by split, so it is written once, partitioned by
-    split in effect: each reader prunes columns and skips row groups.
+    The split reads only keys and labels, so it comes first; the texts are cleaned
+    once, on the way into the table. It is partitioned by split, so that each
+    later step opens only the files of its split.
     """
-    cleaned = drop_empty(clean_column(corpus))
-    return materialise(stratified_split(cleaned, "doc_id", "label3", salt=salt), "prepared")
+    split = stratified_split(spread(corpus, "doc_id"), "doc_id", "label3", salt=salt)
+    path = scratch_path(corpus.sparkSession, "prepared")
+    clean_nonempty(split).write.partitionBy("split").parquet(path)
+    return corpus.sparkSession.read.parquet(path)
 
 
 def part(prepared: DataFrame, split: str, label: str = "label") -> DataFrame:

@@ -458,7 +458,7 @@ _TEXTS = f"texts AS (SELECT doc_id, {clean_sql('text')} AS text FROM documents)"
 
 
 def _obfuscated(spark, sf_dir, rules=RULES):
-    docs = T.read(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("clean"))
+    docs = T.texts(spark, sf_dir).select("doc_id", clean_text(F.col("text")).alias("clean"))
     return docs.withColumn("obfuscated", obfuscate_text(F.col("clean"), F.col("doc_id"), rules))
 
 

@@ -31,7 +31,7 @@ LONG = X.TfidfConfig(max_features=3000)
 
 
 def _docs(spark, sf_dir, cfg=LONG):
-    return X.with_terms(T.read(spark, sf_dir, "documents").select("doc_id", "text"), cfg)
+    return X.with_terms(T.texts(spark, sf_dir).select("doc_id", "text"), cfg)
 
 
 @query("feat_df_idf", f"WITH {TERMS}, {_vocab_sql(10**9, 1)} SELECT term, df, cf, round(idf, 9) AS idf FROM vocab")
@@ -61,7 +61,7 @@ def feat_tfidf(spark, sf_dir):
 # -------------------------------------------------------------- fitted models
 # Small settings, so that the checks stay short; the defaults are in the configs.
 TFIDF = X.TfidfConfig(max_features=20_000, max_iter=50)
-EMBED = ML.EmbedConfig(vector_size=50, epochs=3, partitions=4, max_iter=50)
+EMBED = ML.EmbedConfig(vector_size=32, epochs=2, partitions=8, max_iter=50)
 VERIFY = ML.VerifierConfig(buckets=1 << 16, max_iter=50)
 
 
@@ -113,7 +113,7 @@ def mdl_three_way(spark, sf_dir):
 def mdl_score(spark, sf_dir):
     """p_hate of all documents, labelled or not."""
     model = E.fit("tfidf", prepared(spark, sf_dir), cfg=TFIDF)
-    return model.score(T.read(spark, sf_dir, "documents"))
+    return model.score(T.texts(spark, sf_dir))
 
 
 @query("mdl_save_load")

@@ -94,7 +94,7 @@ def flt_nonempty_clean(spark, sf_dir):
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
     blank = F.concat(F.lit("@user"), F.col("doc_id").cast("string"), F.lit(" https://x.y"))
     mixed = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, blank).otherwise(F.col("text")))
-    return X.drop_empty(X.clean_column(mixed))
+    return X.clean_nonempty(mixed)
 
 
 @query(
@@ -218,12 +218,12 @@ WORDS_SQL = "regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 @query("tok_word2plus", f"SELECT doc_id, {WORDS_SQL.format(e='text')} AS tokens FROM documents")
 def tok_word2plus(spark, sf_dir):
-    return T.read(spark, sf_dir, "documents").select("doc_id", K.word_tokens(F.col("text")).alias("tokens"))
+    return T.texts(spark, sf_dir).select("doc_id", K.word_tokens(F.col("text")).alias("tokens"))
 
 
 @query("tok_strip_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def tok_strip_accents(spark, sf_dir):
-    return T.read(spark, sf_dir, "documents").select("doc_id", K.strip_accents(F.col("text")).alias("text"))
+    return T.texts(spark, sf_dir).select("doc_id", K.strip_accents(F.col("text")).alias("text"))
 
 
 GRAMS_SQL = "tokens || [tokens[i] || ' ' || tokens[i + 1] FOR i IN range(1, len(tokens))]"
@@ -234,5 +234,5 @@ GRAMS_SQL = "tokens || [tokens[i] || ' ' || tokens[i + 1] FOR i IN range(1, len(
     f"WITH t AS (SELECT doc_id, {WORDS_SQL.format(e='text')} AS tokens FROM documents) SELECT doc_id, {GRAMS_SQL} AS grams FROM t",
 )
 def tok_ngrams(spark, sf_dir):
-    docs = T.read(spark, sf_dir, "documents").select("doc_id", K.word_tokens(F.col("text")).alias("tokens"))
+    docs = T.texts(spark, sf_dir).select("doc_id", K.word_tokens(F.col("text")).alias("tokens"))
     return docs.select("doc_id", K.ngrams(F.col("tokens"), 1, 2).alias("grams"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.hashing import uniform
 from vigil.functions.responses import cache_key, call_cost, prompt
+from vigil.session import spread
 
 LANGUAGES = ["de", "en", "es", "fr"]
 MODEL = "google/gemini-2.5-flash"
@@ -21,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, text of all documents, with a task per core for the text work."""
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
 def u_sql(expr: str) -> str:
     return f"(('0x' || substr(md5({expr}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
 
@@ -87,7 +93,7 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     lead = F.when(key % 3 == 0, "RT ").when(key % 3 == 1, "rt\t ").otherwise("")
     emoji = F.when(key % 5 == 0, "\U0001f44d\U0001f3fd").when(key % 5 == 1, "\u2764\ufe0f\U0001f525").otherwise("")
-    return read(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         "lang",
         F.concat(

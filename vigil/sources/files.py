@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.text import clean_column, drop_empty
+from vigil.functions.text import clean_nonempty
 from vigil.operators.corpus import binarize, known_labels, majority_label, map_label3, split_name
 
 ANNOTATOR = "struct<label:string,target:array<string>>"
@@ -95,7 +95,7 @@ def read_splits(
         df = df.filter(F.col("dataset") == dataset)
     if split is not None:
         df = df.filter(F.col("split") == split)
-    return drop_empty(clean_column(df)) if preprocess else df
+    return clean_nonempty(df) if preprocess else df
 
 
 # --------------------------------------------------------------------- cache
