@@ -67,7 +67,8 @@ def strip_accents(c: Column) -> Column:
     """
     source, target, marks, expansions = _accent_tables()
     codes = sorted(ord(k) for k in expansions)
-    table = F.create_map(*[F.lit(v) for kv in expansions.items() for v in kv])
+    # One folded constant instead of hundreds of literals.
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in expansions.items())), F.lit("\x01"), F.lit("\x02"))
     expanded = F.array_join(
         F.transform(F.split(c, ""), lambda p: F.when(p.rlike(_ranges(codes)), table[p]).otherwise(p)), ""
     )

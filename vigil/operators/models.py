@@ -27,6 +27,7 @@ from vigil.session import scratch_path
 
 # How a sparse vector is stored; used to read assembled structs back as vectors.
 SPARSE = 0
+ROWS_PER_TASK = 10_000
 
 
 def class_counts(train: DataFrame, label: str = "y") -> dict[int, int]:
@@ -51,7 +52,11 @@ def fit_regression(
     0..K-1.
     """
     n = sum(counts.values())
-    data = features.withColumn("_weight", class_weight(counts) if balanced else F.lit(1.0))
+    # Each iteration is a job over all partitions: small training sets get few.
+    tasks = min(features.rdd.getNumPartitions(), -(-n // ROWS_PER_TASK))
+    data = features.coalesce(max(1, tasks)).withColumn(
+        "_weight", class_weight(counts) if balanced else F.lit(1.0)
+    )
     lr = LogisticRegression(
         labelCol="y",
         weightCol="_weight",
