@@ -159,7 +159,7 @@ def report(classwise: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     ]
     tail = s.select(*by, F.inline(F.array(*spread)))
     out = rows.unionByName(tail)
-    shown = {c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))) for c in ("precision", "recall", "f1")}
+    shown = {c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.bround(c, 4))) for c in ("precision", "recall", "f1")}
     return out.withColumns(shown)
 
 
