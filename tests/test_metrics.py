@@ -167,16 +167,16 @@ def test_operating_points_ties_and_absence(spark):
 
 
 # ------------------------------------------------------------------ ranking
-def test_running_sum_over_wide_keys(spark):
+def test_sum_before_over_wide_keys(spark):
     rng = random.Random(8)
     keys = rng.sample(range(-(2**40), 2**62), 300) + list(range(200)) + [65535, 65536, 2**32, 2**48]
     rows = [(k, rng.randint(1, 9)) for k in set(keys)]
     df = spark.createDataFrame(rows, "seq long, v long").repartition(5)
-    got = {r.seq: r.total for r in R.running_sum(df, "seq", "v", "total").collect()}
+    got = {r.seq: r.total for r in R.sum_before(df, "seq", "v", "total").collect()}
     total, want = 0, {}
     for k, v in sorted(rows):
-        total += v
         want[k] = total
+        total += v
     assert got == want
 
 

@@ -98,5 +98,11 @@ def weighted_terms(docs: DataFrame, table: DataFrame, cfg: TfidfConfig, keep: li
 def tfidf(docs: DataFrame, table: DataFrame, cfg: TfidfConfig, key: str = "doc_id") -> DataFrame:
     """Long form (key, term, tf, weight), L2-normalised per document."""
     w = weighted_terms(docs, table, cfg, [key])
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, key).select(key, "term", "tf", (F.col("w") / F.col("_norm")).alias("weight"))
+    # One document per group: the list holds at most its distinct terms.
+    rows = w.groupBy(key).agg(
+        F.collect_list(F.struct("term", "tf", "w")).alias("_terms"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
+    )
+    return rows.select(key, "_norm", F.inline("_terms")).select(
+        key, "term", "tf", (F.col("w") / F.col("_norm")).alias("weight")
+    )

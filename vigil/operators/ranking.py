@@ -97,17 +97,16 @@ def auc() -> Column:
     return F.try_divide(F.col("wins"), F.col("pos").cast("double") * F.col("neg"))
 
 
-def running_sum(df: DataFrame, seq: str, value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` in the order of the unique long column ``seq``.
+def sum_before(df: DataFrame, seq: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all smaller ``seq`` (a unique long column).
 
     The key is cut into levels of 16 bits. A slice of a level has at most 65,536
     children whatever the data looks like, so every window is bounded, and the
     slices are fixed by the key, so a recomputed task agrees with the others.
     """
     level = df.withColumn("_slice", F.shiftright(seq, CHILD_BITS))
-    sorted_rows = level.withColumn(
-        "_inside", F.sum(value).over(_ordered(["_slice"], seq).rowsBetween(Window.unboundedPreceding, 0))
-    )
+    inside = F.coalesce(F.sum(value).over(_before(_ordered(["_slice"], seq))), F.lit(0))
+    sorted_rows = level.withColumn("_inside", inside)
     totals = level.groupBy("_slice").agg(F.sum(value).alias("_total"))
     offsets = _slice_offsets(totals, levels=64 // CHILD_BITS - 1)
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.responses import call_cost
-from vigil.operators.ranking import running_sum
+from vigil.operators.ranking import sum_before
 
 # Budget limits in USD and the token estimate per answer.
 CEILING_USD = 1.0
@@ -117,11 +117,10 @@ def spend_total(calls: DataFrame, by: list[str]) -> DataFrame:
 def spend_until_ceiling(calls: DataFrame, seq: str = "seq", cost: str = "cost_usd", ceiling: float = CEILING_USD) -> DataFrame:
     """Running spend in call order, up to and with the call that exceeds the ceiling.
 
-    Later calls are not executed, so they are not in the result. The stop
-    position is one number, read by a scalar subquery.
+    A call is made when the spend before it is within the ceiling. Costs are not
+    negative, so that alone says which calls are made: later ones are not in the
+    result, and no second pass has to look for the stop.
     """
-    spent = running_sum(calls, seq, cost, "spent_usd")
-    stop = spent.filter(F.col("spent_usd") > ceiling).agg(F.min(seq)).scalar()
-    return spent.filter(F.coalesce(F.col(seq) <= stop, F.lit(True))).withColumn(
-        "over_ceiling", F.col("spent_usd") > ceiling
-    )
+    before = sum_before(calls, seq, cost, "_before").filter(F.col("_before") <= ceiling)
+    spent = before.withColumn("spent_usd", F.col("_before") + F.col(cost)).drop("_before")
+    return spent.withColumn("over_ceiling", F.col("spent_usd") > ceiling)
