@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import printed
 from vigil.operators import metrics as M
 from vigil.operators import ranking as R
 from vigil.operators import sweeps as S
@@ -197,3 +198,13 @@ def test_throughput_drops_the_ragged_tail(spark):
     r = L.throughput(df, batch_size=32, n_iters=200).first()
     assert r.n_samples == 64 and r.n_batches == 2 and close(r.throughput_samples_per_sec, 500.0)
     assert L.throughput(df.limit(10), batch_size=32).count() == 0
+
+
+def test_printed_equals_python_formatting(spark):
+    rng = random.Random(9)
+    values = [0.15625, 35.825, 0.125, 0.00005, 0.12345, 0.5, 2.675, 1.005, -0.15625, -1e-17, 0.0, 99.95, 1 / 3]
+    values += [round(rng.random() * 100, 5) for _ in range(500)] + [rng.randint(0, 4096) / 4096 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (1, 2, 3, 4):
+        got = df.select("v", printed(F.col("v"), n).alias("s")).collect()
+        assert [(r.v, r.s) for r in got] == [(r.v, f"{r.v:.{n}f}") for r in got]

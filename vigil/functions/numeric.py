@@ -56,3 +56,28 @@ def argmax(probabilities: Column) -> Column:
 def decide(score: Column, threshold=0.5) -> Column:
     """1 where the score reaches the threshold."""
     return (score >= threshold).cast("int")
+
+
+def printed(c: Column, digits: int) -> Column:
+    """Fixed decimals, rounded by the exact binary value; exact ties to the even digit.
+
+    ``round`` and ``format_string`` round the shortest decimal text of a double,
+    which turns 35.825 (in truth a little more) into a tie. The product with the
+    power of ten is therefore split into its double and the exact remainder.
+    """
+    scale = 10.0**digits
+
+    def halves(x):
+        wide = x * 134217729.0
+        high = wide - (wide - x)
+        return high, x - high
+
+    a = F.abs(c)
+    product = a * scale
+    (ah, al), (sh, sl) = halves(a), halves(scale)
+    rest = ((ah * sh - product) + ah * sl + al * sh) + al * sl
+    low = F.floor(product)
+    part = product - low
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
+    number = F.format_string(f"%.{digits}f", (low + up.cast("int")) / scale)
+    return F.concat(F.when(c < 0, "-").otherwise(""), number)

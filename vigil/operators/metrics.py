@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.numeric import binary_metric_columns, count_where, decide, f1, ratio
+from vigil.functions.numeric import binary_metric_columns, count_where, decide, f1, printed, ratio
 from vigil.operators.ranking import auc, rank_sums
 
 METRICS = ["accuracy", "precision", "recall", "f1_binary", "f1_macro", "roc_auc"]
@@ -159,7 +159,7 @@ def report(classwise: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     ]
     tail = s.select(*by, F.inline(F.array(*spread)))
     out = rows.unionByName(tail)
-    shown = {c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.bround(c, 4))) for c in ("precision", "recall", "f1")}
+    shown = {c: F.when(F.col(c).isNotNull(), printed(F.col(c), 4)) for c in ("precision", "recall", "f1")}
     return out.withColumns(shown)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.obfuscate import obfuscate_text
+from vigil.functions.text import clean_text
 from vigil.operators.metrics import evaluate
 
 
@@ -62,10 +64,11 @@ def cross_dataset(scores: DataFrame, truth: str = "label", score: str = "p") ->
     )
 
 
-def first_examples(df: DataFrame, n: int = 5, width: int = 120) -> DataFrame:
-    """The first n clean/obfuscated pairs in key order, shortened for display."""
-    return (
-        df.orderBy("doc_id")
-        .limit(n)
-        .select("doc_id", *[F.substring(c, 1, width).alias(c) for c in ("clean", "obfuscated")])
-    )
+def first_examples(df: DataFrame, text: str = "text", n: int = 5, width: int = 120) -> DataFrame:
+    """The first n texts in key order, cleaned and obfuscated, shortened for display.
+
+    The rows are picked before the text work: a distributed top-n on the key.
+    """
+    first = df.select("doc_id", text).orderBy("doc_id").limit(n).select("doc_id", clean_text(F.col(text)).alias("clean"))
+    both = first.withColumn("obfuscated", obfuscate_text(F.col("clean"), F.col("doc_id")))
+    return both.select("doc_id", *[F.substring(c, 1, width).alias(c) for c in ("clean", "obfuscated")])

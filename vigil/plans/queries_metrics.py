@@ -481,7 +481,7 @@ _rule("exp_obfuscate", RULES)
         FROM texts JOIN obfuscated USING (doc_id) ORDER BY doc_id LIMIT 5""",
 )
 def top_examples(spark, sf_dir):
-    return B.first_examples(_obfuscated(spark, sf_dir))
+    return B.first_examples(T.read(spark, sf_dir, "documents"))
 
 
 ROBUST = f"""{SC}, stacked AS (
