@@ -88,7 +88,8 @@ class TfidfModel:
 
     def counts(self, df: DataFrame, cols: list[str], text: str = "text") -> DataFrame:
         """cols + _i, _w: indices and unscaled TF-IDF weights of the known terms, in the row."""
-        return term_weights(df.select(*cols, text), self.counter, self.idf, self.cfg, cols, text)
+        rows = df.select(*cols, F.col(text).alias("_text"))
+        return term_weights(rows, self.counter, self.idf, self.cfg, cols, "_text")
 
     def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         """key, keep, p_hate (two classes) or probabilities (more).

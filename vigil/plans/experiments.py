@@ -99,13 +99,15 @@ def threshold_tuning(model_type: str, prepared: DataFrame, cfg=None) -> DataFram
     return S.tune_threshold(scores.withColumn("model", F.lit(model_type)), ["model"])
 
 
-def cascade_scores(prepared: DataFrame, t1: float = 0.2, stage1: str = "tfidf", stage2: str = "verifier", cfgs=(None, None)) -> DataFrame:
+def cascade_scores(
+    prepared: DataFrame, t1: float = 0.2, stage1: str = "tfidf", stage2: str = "verifier", cfgs=(None, None)
+) -> DataFrame:
     """Cheap model on every test row, expensive model on the routed rows only."""
     first, second = fit(stage1, prepared, cfg=cfgs[0]), fit(stage2, prepared, cfg=cfgs[1])
     test = prepared.filter(F.col("split") == "test").select("doc_id", "text", "label")
     return S.run_cascade(
         test,
-        lambda df: df.join(first.score(df), "doc_id"),
+        lambda df: first.score(df, keep=("text", "label")),
         lambda df: second.score(df, keep=("text", "label", "p1")),
         t1,
         lambda df: materialise(df, "stage1"),

@@ -65,9 +65,9 @@ SPLIT_IDS = f"""split_ids AS (
 
 @query("src_split_map", f"WITH {SPLIT_IDS} SELECT split, post_id FROM split_ids")
 def src_split_map(spark, sf_dir):
-    """``{split: [ids]}`` written in chunks of lines (no list holds a whole split), read back."""
+    """``{split: [ids]}`` written as many lines of at most 1000 ids, read back."""
     path = scratch_path(spark, "splits")
-    chunk = F.pmod(F.hash("post_id"), F.lit(16))
+    chunk = F.floor(F.substring("post_id", 5, 20).cast("long") / 1000)
     lists = split_ids(spark, sf_dir).groupBy("split", chunk.alias("chunk")).agg(F.collect_list("post_id").alias("ids"))
     lists.select(F.to_json(F.create_map("split", "ids")).alias("value")).write.text(path)
     return FS.read_split_map(spark, path)
