@@ -24,7 +24,7 @@ from vigil.operators.models import (
     fit_verifier,
     predictions,
 )
-from vigil.session import materialise, scratch_path, spread
+from vigil.session import materialise, scratch_path
 
 Model = TfidfModel | StageModel
 Trainer = Callable[[DataFrame], Model]
@@ -43,7 +43,7 @@ def prepare(corpus: DataFrame, salt: str = ":split") -> DataFrame:
     once, on the way into the table. It is partitioned by split, so that each
     later step opens only the files of its split.
     """
-    split = stratified_split(spread(corpus, "doc_id"), "doc_id", "label3", salt=salt)
+    split = stratified_split(corpus, "doc_id", "label3", salt=salt)
     path = scratch_path(corpus.sparkSession, "prepared")
     clean_nonempty(split).write.partitionBy("split").parquet(path)
     return corpus.sparkSession.read.parquet(path)

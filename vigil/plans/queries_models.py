@@ -66,7 +66,7 @@ VERIFY = ML.VerifierConfig(buckets=1 << 16, max_iter=50)
 
 
 def prepared(spark, sf_dir):
-    return E.prepare(T.corpus(spark, sf_dir))
+    return E.prepare(T.corpus(spark, sf_dir, text_work=True))
 
 
 def _fitted(name: str, model_type: str, cfg):
@@ -149,7 +149,7 @@ def exp_in_domain(spark, sf_dir):
 
 @query("exp_cross_dataset_fitted")
 def exp_cross_dataset_fitted(spark, sf_dir):
-    corpus = T.corpus(spark, sf_dir)
+    corpus = T.corpus(spark, sf_dir, text_work=True)
     corpora = {d: E.prepare(corpus.filter(F.col("dataset") == d)) for d in ("A", "B")}
     return rounded(E.cross_dataset("tfidf", corpora, TFIDF), 6)
 
@@ -182,4 +182,4 @@ def exp_group_audit_fitted(spark, sf_dir):
 
 @query("exp_multi_seed")
 def exp_multi_seed(spark, sf_dir):
-    return rounded(E.multi_seed("tfidf", T.corpus(spark, sf_dir), cfg=TFIDF), 6)
+    return rounded(E.multi_seed("tfidf", T.corpus(spark, sf_dir, text_work=True), cfg=TFIDF), 6)

@@ -32,9 +32,11 @@ def u_sql(expr: str) -> str:
 
 
 # ------------------------------------------------------------------- corpus
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, text_work: bool = False) -> DataFrame:
     """doc_id, text, lang, source, dataset, label, label3."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if text_work:
+        docs = spread(docs, "doc_id")
     labels = read(spark, sf_dir, "labels")
     label3 = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     first = F.substring("source", 4, 10).cast("int") < 10

@@ -55,7 +55,8 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """At least one task per core for a scan that feeds heavy per-row work.
 
     A small table in one file would keep all cores but one idle. A scan that
-    already has a task per core, as any large table has, is not shuffled.
+    already has a task per core, as any large table has, is not shuffled. Only for
+    plain scans: asking a join for its partitions would run its shuffles.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
