@@ -69,7 +69,8 @@ def three_way(model_type: str, prepared: DataFrame, cfg=None) -> tuple[DataFrame
     """Fit on label3, argmax on test: per-class rows and summary."""
     model = fit(model_type, prepared, "label3", cfg)
     scored = predictions(model.score(part(prepared, "test", "label3"), keep=("y",)))
-    rows = scored.withColumn("model", F.lit(model_type))
+    # Read by the per-class rows and by the summary.
+    rows = materialise(scored.select("y", "pred", F.lit(model_type).alias("model")), "scores")
     classwise = M.per_class(rows, ["model"], "y", "pred", 3)
     return classwise, M.multiclass_summary(classwise, ["model"])
 
