@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate
+from vigil.llm import decontaminate, substring_dedup
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -44,3 +44,23 @@ FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)"""
 def op5(spark, sf_dir):
     found = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("items")
+
+
+SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, {SPACED} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS ws
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least_id AS (SELECT ws, min(doc_id) AS m FROM win GROUP BY ws),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN least_id USING (ws) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def op3(spark, sf_dir):
+    return substring_dedup.report(read(spark, sf_dir, "documents"))
