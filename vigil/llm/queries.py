@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, substring_dedup
+from vigil.llm import decontaminate, near_dedup, substring_dedup
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -64,3 +64,23 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 @query("op3_substring_dedup", OP3_SQL)
 def op3(spark, sf_dir):
     return substring_dedup.report(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS s FROM
+        (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS root, b AS node FROM edge UNION SELECT r.root, e.b FROM reach r JOIN edge e ON r.node = e.a),
+comp AS (SELECT node, min(root) AS c FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(c, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.node = d.doc_id"""
+
+
+@query("op2_minhash_near_dedup", OP2_SQL)
+def op2(spark, sf_dir):
+    return near_dedup.report(read(spark, sf_dir, "documents"))
