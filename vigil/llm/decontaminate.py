@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.frames import fresh
+from vigil.llm.frames import fresh, plus
 from vigil.llm.words import ALNUM, Words, covered, per_text, pieces, raw_texts, sha256_hex, windows
 
 WINDOW = 10
@@ -164,7 +164,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_shar
             new = pa.array([c.decode() if h else None for c, h in zip(changed, n_hit)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, part, new], names=[*batch.schema.names, share, cut])
 
-    schema = docs.schema.add(share, "double").add(cut, "string")
+    schema = plus(docs.schema, **{share: "double", cut: "string"})
     seen = docs.mapInArrow(run, schema).filter(F.col(share) < drop_share)
     cols = {c: F.col(c) for c in docs.columns}
     cols["text"] = F.coalesce(cut, "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, near_dedup, substring_dedup
+from vigil.llm import decontaminate, near_dedup, substring_dedup, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -84,3 +84,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.node = d.doc_id"""
 @query("op2_minhash_near_dedup", OP2_SQL)
 def op2(spark, sf_dir):
     return near_dedup.report(read(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import exchange as X
-from vigil.llm.frames import fresh
+from vigil.llm.frames import fresh, plus
 from vigil.llm.words import NOT_SPACE, U64, Words, covered, per_text, pieces, raw_texts, sha256_hex, windows
 
 WINDOW = 13
@@ -233,7 +233,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
         new = pa.array([t.decode() if k else None for t, k in zip(changed, n)], pa.string())
         return left.append_column(lost, pa.array(n, pa.int64())).append_column(left_words, pa.array(np.diff(first) - n, pa.int64())).append_column(cut, new)
 
-    schema = docs.schema.add(lost, "long").add(left_words, "long").add(cut, "string")
+    schema = plus(docs.schema, **{lost: "long", left_words: "long", cut: "string"})
     found = _result(docs, window, block, schema, make).filter((F.col(lost) == 0) | (F.col(left_words) > 0))
     cols = {c: F.col(c) for c in docs.columns}
     cols["text"] = F.coalesce(cut, "text")
