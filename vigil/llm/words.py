@@ -82,14 +82,20 @@ class Words:
 
     def hashes(self, kind: int = 0) -> np.ndarray:
         """One 64-bit hash per word; ``kind`` 0 and 1 are independent."""
+        return self.prefix_hashes((), kind)[0]
+
+    def prefix_hashes(self, lengths: Iterable[int], kind: int = 0) -> list[np.ndarray]:
+        """Hashes of the whole words, then of their first bytes for each of ``lengths``."""
         if not self.n:
-            return np.zeros(0, dtype=np.uint64)
+            return [np.zeros(0, dtype=np.uint64) for _ in (0, *lengths)]
         poly = _POLY[kind]
         up, down = poly.powers(len(self.buf) + 1)
         total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
         np.cumsum(poly.value[self.buf] * up[: len(self.buf)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        begin, scale, out = total[self.start], down[self.start], []
+        for end in (self.end, *[np.minimum(self.start + n, self.end) for n in lengths]):
+            out.append(mix((total[end] - begin) * scale + (end - self.start).astype(np.uint64)))
+        return out
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
