@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, near_dedup, substring_dedup, toxicity
+from vigil.llm import bpe, decontaminate, near_dedup, substring_dedup, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -89,3 +89,15 @@ def op2(spark, sf_dir):
 @query("op1_toxicity")
 def op1(spark, sf_dir):
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def vocabulary_path() -> str:
+    """The byte-level vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_bpe_codec")
+def op6(spark, sf_dir):
+    return bpe.report(read(spark, sf_dir, "documents"), vocabulary_path())
