@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.llm import bpe, decontaminate, near_dedup, substring_dedup, toxicity
+from pyspark.sql import functions as F
+
+from vigil.llm import bpe, decontaminate, near_dedup, ngram_lm, substring_dedup, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -101,3 +103,9 @@ def vocabulary_path() -> str:
 @query("op6_bpe_codec")
 def op6(spark, sf_dir):
     return bpe.report(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op4_ngram_lm")
+def op4(spark, sf_dir):
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    return ngram_lm.report(read(spark, sf_dir, "documents"), train)
