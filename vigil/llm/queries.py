@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, near_dedup, ngram_lm, substring_dedup, toxicity
+from vigil.llm import bpe, decontaminate, html_text, near_dedup, ngram_lm, substring_dedup, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -109,3 +109,8 @@ def op6(spark, sf_dir):
 def op4(spark, sf_dir):
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
     return ngram_lm.report(read(spark, sf_dir, "documents"), train)
+
+
+@query("op8_html_text")
+def op8(spark, sf_dir):
+    return html_text.report(read(spark, sf_dir, "pages"))
