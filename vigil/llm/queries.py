@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, html_text, near_dedup, ngram_lm, substring_dedup, toxicity
+from vigil.llm import bpe, decontaminate, html_text, near_dedup, ngram_lm, substring_dedup, token_counts, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -114,3 +114,16 @@ def op4(spark, sf_dir):
 @query("op8_html_text")
 def op8(spark, sf_dir):
     return html_text.report(read(spark, sf_dir, "pages"))
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    import base64
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    shared = spark.sparkContext.broadcast(ranks)
+    encoder = token_counts.tiktoken_encoder_of(shared, public_tokenizers.PATTERN)
+    return token_counts.report(read(spark, sf_dir, "documents"), encoder, end=len(ranks))
