@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, html_text, near_dedup, ngram_lm, substring_dedup, token_counts, toxicity
+from vigil.llm import bpe, decontaminate, fingerprints, html_text, near_dedup, ngram_lm, substring_dedup, token_counts, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -127,3 +127,8 @@ def op10(spark, sf_dir):
     shared = spark.sparkContext.broadcast(ranks)
     encoder = token_counts.tiktoken_encoder_of(shared, public_tokenizers.PATTERN)
     return token_counts.report(read(spark, sf_dir, "documents"), encoder, end=len(ranks))
+
+
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    return fingerprints.report(read(spark, sf_dir, "documents"))
