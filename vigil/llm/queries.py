@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, fingerprints, html_text, near_dedup, ngram_lm, substring_dedup, token_counts, toxicity
+from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, near_dedup, ngram_lm, substring_dedup, token_counts, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -132,3 +132,8 @@ def op10(spark, sf_dir):
 @query("op9_fingerprints")
 def op9(spark, sf_dir):
     return fingerprints.report(read(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
