@@ -1,9 +1,11 @@
 """Labels, votes, splits, sampling, files."""
 
 import json
+import os
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import corpus as C
@@ -132,11 +134,66 @@ def test_partition_pruning(spark):
 
 
 def test_run_names(spark):
-    names = [("tfidf_news",), ("embed_cor_a_s7",), ("tfidf_a_3way",), ("tfidf_a_3way_s1337",)]
+    names = [("tfidf_news",), ("embed_cor_a_s7",), ("tfidf_a_3way",), ("tfidf_a_3way_s1337",), ("chat_cor_a_fewshot",), ("chat_b_zeroshot_s7",)]
     df = spark.createDataFrame(names, "r string").select("r", *[c.alias(k) for k, c in FS.run_key_columns(F.col("r")).items()])
     assert [tuple(r)[1:] for r in df.collect()] == [
-        ("tfidf", "news", "binary", 42),
-        ("embed", "cor_a", "binary", 7),
-        ("tfidf", "a", "multiclass", 42),
-        ("tfidf", "a", "multiclass", 1337),
+        ("tfidf", "news", None, "binary", 42),
+        ("embed", "cor_a", None, "binary", 7),
+        ("tfidf", "a", None, "multiclass", 42),
+        ("tfidf", "a", None, "multiclass", 1337),
+        ("chat", "cor_a", "fewshot", "binary", 42),
+        ("chat", "b", "zeroshot", "binary", 7),
     ]
+
+
+def _file(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+        f.write(text)
+    return str(folder)
+
+
+def test_public_csv_layout(spark, tmp_path):
+    head = ",count,hate_speech,offensive_language,neither,class,tweet\n"
+    path = _file(tmp_path / "a", "labeled.csv", head + '0,3,0,0,3,2,"!!! RT @u: say ""hi"",\nthere"\n1,3,0,3,0,1,plain\n2,3,3,0,0,0,bad\n3,3,0,0,3,,x\n')
+    assert sorted(tuple(r) for r in FS.read_csv_corpus(spark, path).collect()) == [('!!! RT @u: say "hi",\nthere', 0, 2), ("bad", 1, 0), ("plain", 0, 1)]
+    with pytest.raises(ValueError, match="class"):
+        FS.read_csv_corpus(spark, _file(tmp_path / "b", "x.csv", "label,tweet\n1,a\n"))
+    with pytest.raises(Exception, match="class is no number"):
+        FS.read_csv_corpus(spark, _file(tmp_path / "c", "x.csv", "class,tweet\nhate,a\n")).collect()
+
+
+def test_indented_documents(spark, tmp_path):
+    data = {"7_x": {"post_id": "7_x", "post_tokens": ["a", "b"], "annotators": [{"label": "normal", "annotator_id": 1, "target": []}] * 3}}
+    posts = _file(tmp_path / "posts", "dataset.json", json.dumps(data, indent=2))
+    ids = _file(tmp_path / "ids", "divisions.json", json.dumps({"train": ["7_x"], "val": [], "test": ["8_x"]}, indent=4))
+    assert [tuple(r) for r in FS.unify_posts(FS.read_posts(spark, posts)).collect()] == [("7_x", "a b", 0, 2)]
+    assert sorted(tuple(r) for r in FS.read_split_map(spark, ids).collect()) == [("test", "8_x"), ("train", "7_x")]
+    FS.posts_to_lines(FS.read_posts(spark, posts), str(tmp_path / "lines"))
+    assert [r.post_id for r in FS.read_posts(spark, str(tmp_path / "lines"), lines=True).collect()] == ["7_x"]
+    for broken in ('{"7_x": {"post_tokens": ["a"', "[1, 2]", "no json"):
+        path = _file(tmp_path / f"broken{len(broken)}", "x.json", broken)
+        with pytest.raises(Exception):
+            FS.read_posts(spark, path).collect()
+        with pytest.raises(Exception):
+            FS.read_split_map(spark, path).collect()
+
+
+def test_indented_metrics(spark, tmp_path):
+    run = {"accuracy": 0.9, "precision": 0.8, "recall": 0.7, "f1_binary": 0.75, "f1_macro": 0.8, "roc_auc": None, "confusion": [[5, 1], [2, 3]]}
+    _file(tmp_path / "runs" / "tfidf_a_s7", "metrics.json", json.dumps(run, indent=2))
+    _file(tmp_path / "runs" / "tfidf_a_s7", "other.json", "{}")
+    _file(tmp_path / "runs" / "gemini_a_fewshot", "metrics.json", json.dumps(run, indent=2))
+    out = sorted((r.model, r.dataset, r.regime or "", r.seed, r.accuracy, r.confusion) for r in FS.read_run_folders(spark, str(tmp_path / "runs")).collect())
+    assert out == [("gemini", "a", "fewshot", 42, 0.9, [[5, 1], [2, 3]]), ("tfidf", "a", "", 7, 0.9, [[5, 1], [2, 3]])]
+    _file(tmp_path / "runs" / "bad_a", "metrics.json", '{"accu')
+    with pytest.raises(Exception, match="no metrics"):
+        FS.read_run_folders(spark, str(tmp_path / "runs")).collect()
+
+
+def test_written_metrics_have_the_public_name(spark, tmp_path):
+    df = spark.createDataFrame([("m_a", 0.5, None), ("m_b_s7", 0.25, 0.75)], "run_name string, accuracy double, roc_auc double")
+    FS.write_metrics(df, str(tmp_path / "out"))
+    text = (tmp_path / "out" / "m_a" / "metrics.json").read_text()
+    assert json.loads(text) == {"accuracy": 0.5, "roc_auc": None} and text.count("\n") > 2
+    assert sorted((r.run_name, r.accuracy) for r in FS.read_run_folders(spark, str(tmp_path / "out")).collect()) == [("m_a", 0.5), ("m_b_s7", 0.25)]

@@ -1,6 +1,7 @@
 """Prompts, answers, cache and budget."""
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -90,6 +91,28 @@ def test_log_skips_broken_lines(spark):
     assert [(r.seq, r.key) for r in FS.read_cache_log(spark, path).collect()] == [(1, "a")]
 
 
+def test_log_without_numbers(spark, tmp_path):
+    lines = [("a", 0.1), ("b", 0.2), ("a", 0.3), ("c", 0.4), ("a", 0.5), ("d", 0.6)]
+    text = "".join(json.dumps({"key": k, "response": {"label": 1, "p_hate": p}}) + "\n" for k, p in lines)
+    text += '{"key": "c", "response": null}\n\n{"key": "d"}\n{"key": "b", "resp\n'
+    (tmp_path / "cache.jsonl").write_text(text)
+    entries = R.latest_entries(FS.read_cache_log(spark, str(tmp_path)))
+    assert {r.key: r.response and r.response.p_hate for r in entries.collect()} == {"a": 0.5, "b": 0.2, "c": None, "d": 0.6}
+    ask = spark.createDataFrame([("a",), ("c",), ("x",)], "key string")
+    assert {r.key: (r.p_hate, r.cached) for r in R.cached_scores(ask, entries).collect()} == {"a": (0.5, True), "c": (0.0, False), "x": (0.0, False)}
+    assert sorted(r.key for r in R.cache_misses(ask, entries).collect()) == ["c", "x"]
+
+
+def test_appends_number_their_lines(spark):
+    path = scratch_path(spark, "t-append")
+    row = "key string, response struct<p_hate:double,errored:boolean>"
+    for p in (0.1, 0.2, 0.3):
+        FS.append_cache(spark.createDataFrame([(k, (p, None)) for k in "abc"], row), path)
+    log = FS.read_cache_log(spark, path)
+    assert {r.key: r.response.p_hate for r in R.latest_entries(log).collect()} == {"a": 0.3, "b": 0.3, "c": 0.3}
+    assert log.select("seq").distinct().count() == 9
+
+
 def test_spend_stops_after_the_call_that_exceeds(spark):
     df = spark.createDataFrame([(i * 70000, 0.3) for i in range(10)], "seq long, cost_usd double")
     out = sorted((r.seq, round(r.spent_usd, 6), r.over_ceiling) for r in R.spend_until_ceiling(df, ceiling=1.0).collect())

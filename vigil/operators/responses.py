@@ -19,16 +19,21 @@ def latest_entries(log: DataFrame, fields: list[str] | None = None) -> DataFrame
     """Newest line per key, with all or only the named response fields.
 
     ``max_by`` combines before the exchange, so a key with very many lines sends
-    one row per task; a window would bring all its lines to one task.
+    one row per task; a window would bring all its lines to one task. Lines without
+    a number come before numbered ones, in the order of their place in the files.
+    A null response wins like any other.
     """
     response = F.col("response") if fields is None else F.struct(*[F.col(f"response.{f}") for f in fields])
-    slim = log.select("key", "seq", response.alias("response"))
-    return slim.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("response", "seq").alias("response"))
+    kept = F.when(F.col("response").isNotNull(), response)
+    order = F.struct(F.coalesce("seq", F.lit(-1).cast("long")), *(["at"] if "at" in log.columns else []))
+    slim = log.select("key", "seq", order.alias("order"), F.struct(kept.alias("response")).alias("held"))
+    newest = slim.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("held", "order").alias("held"))
+    return newest.select("key", "seq", "held.response")
 
 
 def usable(entries: DataFrame) -> DataFrame:
-    """Entries that count as hits: errored ones are tried again."""
-    return entries.filter(~F.coalesce(F.col("response.errored"), F.lit(False)))
+    """Entries that count as hits: errored ones and those without an answer are tried again."""
+    return entries.filter(F.col("response").isNotNull() & ~F.coalesce(F.col("response.errored"), F.lit(False)))
 
 
 def cache_status(entries: DataFrame) -> DataFrame:

@@ -26,10 +26,12 @@ from vigil.sources import files as FS
         WHERE doc_id % 9 <> 0""",
 )
 def src_csv_unify(spark, sf_dir):
-    """The corpus written as raw CSV (class, tweet; some classes empty), then read back."""
+    """The corpus written as raw CSV in the public column order (an unnamed index and
+    annotator counts before class and tweet; some classes empty), then read back."""
     path = scratch_path(spark, "csv")
     some = F.when(F.col("doc_id") % 9 == 0, None).otherwise(F.col("label3"))
-    raw = T.corpus(spark, sf_dir).select(some.alias("class"), F.col("text").alias("tweet"))
+    votes = [F.lit(3).alias("count"), *[(F.col("label3") == i).cast("int").alias(n) for i, n in enumerate(("hate_speech", "offensive_language", "neither"))]]
+    raw = T.corpus(spark, sf_dir).select(F.col("doc_id").alias("_c0"), *votes, some.alias("class"), F.col("text").alias("tweet"))
     FS.write_csv_corpus(raw, path)
     return FS.read_csv_corpus(spark, path)
 
@@ -41,13 +43,21 @@ def src_csv_unify(spark, sf_dir):
         FROM voted WHERE majority IN ('hatespeech', 'offensive', 'normal')""",
 )
 def src_json_posts(spark, sf_dir):
-    """Posts written as ``{id: post}`` lines, read back and unified by majority."""
+    """Posts written as indented documents ``{id: post, ...}`` of at most 1000 posts,
+    one document per file, read back and unified by majority."""
     path = scratch_path(spark, "posts")
-    post = F.struct("post_tokens", "annotators")
-    T.posts(spark, sf_dir).select(F.to_json(F.create_map("post_id", post)).alias("value")).write.text(path)
+    part = F.floor(F.substring("post_id", 5, 20).cast("long") / 1000).alias("part")
+    entry = F.struct("post_id", F.struct("post_tokens", "annotators"))
+    posts = F.map_from_entries(F.collect_list(entry))
+    _write_documents(T.posts(spark, sf_dir).groupBy(part).agg(posts.alias("doc")), path)
     return FS.unify_posts(FS.read_posts(spark, path))
 
 
+def _write_documents(docs, path):
+    """One file with one indented JSON document for each row (part, doc)."""
+    docs.select("part", F.to_json("doc", {"pretty": "true"}).alias("value")).write.partitionBy("part").text(path)
+
+
 def split_ids(spark, sf_dir):
     """Official split map derived from the documents: ids bucketed by hash."""
     u = uniform(F.col("doc_id"), ":official")
@@ -65,11 +75,12 @@ SPLIT_IDS = f"""split_ids AS (
 
 @query("src_split_map", f"WITH {SPLIT_IDS} SELECT split, post_id FROM split_ids")
 def src_split_map(spark, sf_dir):
-    """``{split: [ids]}`` written as many lines of at most 1000 ids, read back."""
+    """``{split: [ids], ...}`` written as indented documents for 1000 ids each, read back."""
     path = scratch_path(spark, "splits")
-    chunk = F.floor(F.substring("post_id", 5, 20).cast("long") / 1000)
-    lists = split_ids(spark, sf_dir).groupBy("split", chunk.alias("chunk")).agg(F.collect_list("post_id").alias("ids"))
-    lists.select(F.to_json(F.create_map("split", "ids")).alias("value")).write.text(path)
+    part = F.floor(F.substring("post_id", 5, 20).cast("long") / 1000).alias("part")
+    lists = split_ids(spark, sf_dir).groupBy(part, "split").agg(F.collect_list("post_id").alias("ids"))
+    whole = F.map_from_entries(F.collect_list(F.struct("split", "ids")))
+    _write_documents(lists.groupBy("part").agg(whole.alias("doc")), path)
     return FS.read_split_map(spark, path)
 
 
@@ -105,30 +116,39 @@ def sink_parquet_split(spark, sf_dir):
     return written.groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_hate"))
 
 
-def _written_cache(spark, sf_dir):
-    """Cache log on disk: two appends, plus blank and broken lines."""
-    path = scratch_path(spark, "cache")
-    log = T.cache_log(spark, sf_dir)
-    FS.append_cache(log.filter(F.col("seq") % 2 == 0), path)
-    FS.append_cache(log.filter(F.col("seq") % 2 == 1), path)
+def _broken_lines(log):
     broken = F.when(F.col("doc_id") % 2 == 0, " ").otherwise(F.concat(F.lit('{"key": "'), "key", F.lit('", "respo')))
-    log.filter(F.col("doc_id") % 5 == 0).select(broken.alias("value")).write.mode("append").text(path)
-    return path
+    return log.filter(F.col("doc_id") % 5 == 0).select(broken.alias("value"))
 
 
 @query(
     "src_jsonl_cache",
-    f"WITH {T.CACHE} SELECT key, seq, label, p_hate, raw, input_tokens, output_tokens, round(cost_usd, 12) AS cost_usd, CASE WHEN errored THEN true END AS errored, error FROM entries",
+    f"WITH {T.CACHE} SELECT key, label, p_hate, raw, input_tokens, output_tokens, round(cost_usd, 12) AS cost_usd, CASE WHEN errored THEN true END AS errored, error FROM entries",
 )
 def src_jsonl_cache(spark, sf_dir):
-    entries = R.latest_entries(FS.read_cache_log(spark, _written_cache(spark, sf_dir)))
-    return entries.select("key", "seq", "response.*").withColumn("cost_usd", F.round("cost_usd", 12))
+    """A log in the public layout, lines of key and response without a number, with
+    blank and broken lines: the last line of a key wins. All lines of a key are in one
+    file, in the order of their calls."""
+    path = scratch_path(spark, "cache")
+    log = T.cache_log(spark, sf_dir)
+    ordered = log.repartition("key").sortWithinPartitions("key", "seq")
+    ordered.select(F.to_json(F.struct("key", "response")).alias("value")).write.text(path)
+    _broken_lines(log).write.mode("append").text(path)
+    entries = R.latest_entries(FS.read_cache_log(spark, path))
+    return entries.select("key", "response.*").withColumn("cost_usd", F.round("cost_usd", 12))
 
 
-@query("sink_jsonl_cache", f"WITH {T.CACHE} SELECT seq, key, p_hate, raw FROM log")
+@query("sink_jsonl_cache", f"WITH {T.CACHE} SELECT seq % 2 = 1 AS later, key, p_hate, raw FROM log")
 def sink_jsonl_cache(spark, sf_dir):
-    log = FS.read_cache_log(spark, _written_cache(spark, sf_dir))
-    return log.select("seq", "key", "response.p_hate", "response.raw")
+    """Two appends that number their own lines: the second's numbers are all above the first's."""
+    path = scratch_path(spark, "cache")
+    log = T.cache_log(spark, sf_dir)
+    FS.append_cache(log.filter(F.col("seq") % 2 == 0).drop("seq"), path)
+    last = FS.read_cache_log(spark, path).agg(F.max("seq").alias("last"))
+    FS.append_cache(log.filter(F.col("seq") % 2 == 1).drop("seq"), path)
+    _broken_lines(log).write.mode("append").text(path)
+    lines = FS.read_cache_log(spark, path).crossJoin(F.broadcast(last.limit(1)))
+    return lines.select((F.col("seq") > F.col("last")).alias("later"), "key", "response.p_hate", "response.raw")
 
 
 RUNS_SQL = f"""{T.CORPUS}, {T.scored_sql('', 's42')}, {T.scored_sql('7', 's7')}, {T.scored_sql('1337', 's1337')},
@@ -162,24 +182,27 @@ def run_metrics(spark, sf_dir):
     return M.evaluate(test_scores(spark, sf_dir), RUN_KEYS, "label", "p")
 
 
-def _written_runs(spark, sf_dir):
-    """Metric files in the run-folder layout ``<model>_<dataset>[_s<seed>]/metrics.json``."""
+def _written_runs(spark, sf_dir, regimes=False):
+    """Metric files in the run-folder layout ``<model>_<dataset>[_<regime>][_s<seed>]/metrics.json``."""
     path = scratch_path(spark, "runs")
     runs = run_metrics(spark, sf_dir)
     suffix = F.when(F.col("seed") == 42, "").otherwise(F.concat(F.lit("_s"), F.col("seed").cast("string")))
-    named = runs.withColumn("run_name", F.concat_ws("_", "model", "dataset"))
+    regime = F.when((F.col("model") == "verifier") & F.lit(regimes), F.when(F.col("dataset") == "A", "zeroshot").otherwise("fewshot"))
+    named = runs.withColumn("run_name", F.concat_ws("_", "model", "dataset", regime))
     named = named.withColumn("run_name", F.concat("run_name", suffix)).select("run_name", *M.METRICS)
-    FS.write_metrics(named, path, ["run_name"])
+    FS.write_metrics(named, path)
     return path
 
 
 @query(
     "src_metrics_runs",
-    f"WITH {RUN_METRICS} SELECT model, dataset, seed, 'binary' AS task, {Q.rounded(Q.RATES)} FROM runs",
+    f"""WITH {RUN_METRICS} SELECT model, dataset, seed, 'binary' AS task,
+        CASE WHEN model = 'verifier' THEN CASE WHEN dataset = 'A' THEN 'zeroshot' ELSE 'fewshot' END END AS regime, {Q.rounded(Q.RATES)} FROM runs""",
 )
 def src_metrics_runs(spark, sf_dir):
-    runs = FS.read_run_folders(spark, _written_runs(spark, sf_dir))
-    return rounded(runs.select("model", "dataset", "seed", "task", *M.METRICS))
+    """Indented files in run folders; those of one model carry a prompt regime."""
+    runs = FS.read_run_folders(spark, _written_runs(spark, sf_dir, regimes=True))
+    return rounded(runs.select("model", "dataset", "seed", "task", "regime", *M.METRICS))
 
 
 @query(
@@ -188,7 +211,7 @@ def src_metrics_runs(spark, sf_dir):
 )
 def sink_metrics_json(spark, sf_dir):
     path = _written_runs(spark, sf_dir)
-    return rounded(spark.read.schema("run_name string, f1_binary double, roc_auc double").json(path))
+    return rounded(FS.read_run_folders(spark, path).select("run_name", "f1_binary", "roc_auc"))
 
 
 # -------------------------------------------------------------------- splits
