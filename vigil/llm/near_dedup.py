@@ -10,10 +10,10 @@
    threshold if 100 c < 80 (n1 + n2 - c); this exact bound removes most chance
    meetings before any set travels.
 3. Pairs are confirmed on full sets, never all pairs of a band: first each member
-   with the band's leader, then with ``LEADERS`` random members, then only members
-   of DIFFERENT components that the bound lets through. Pairs inside one component
-   cannot change the result, so no link is lost. The partner's set is shipped once to
-   each chunk of documents that needs it.
+   with the band's leader. Pairs inside one component cannot change the result any
+   more, so then the members outside a band's largest component are a query set
+   that is compared in blocks with the members of other components; no link is lost.
+   A set is shipped once to each place that needs it.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer
 than 4 words are one shingle; rows are judged one by one, rows with one id share a
@@ -36,7 +36,10 @@ from vigil.session import materialise
 
 SHINGLE = 4
 PERCENT = 80
-LEADERS = 8
+#: Sets that one member of the query set is compared with at a time.
+PROBED = 64
+#: Chunks of documents whose sets share a home when members of components are compared.
+CHUNKS_OF_HOME = 8
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -176,15 +179,67 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("home").cogroup(asked.groupBy("chunk")).applyInArrow(test, "a long, b long").distinct()
 
 
-def _possible(percent: int):
+def _led(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member with the leader of each of its bands: the member
+    whose shingles are the least its own. One pair per member and band."""
+    lead = members.groupBy("key").agg(F.min_by(F.struct("node", "n", "common"), F.struct(1 - F.col("common") / F.col("n"), "node")).alias("lead"))
+    lead = lead.select("key", *[F.col(f"lead.{c}").alias(f"o_{c}") for c in ("node", "n", "common")])
     c = F.least("common", "o_common")
-    return (100 * c >= percent * (F.col("n") + F.col("o_n") - c)) & (F.col("node") != F.col("o_node"))
-
+    possible = (100 * c >= percent * (F.col("n") + F.col("o_n") - c)) & (F.col("node") != F.col("o_node"))
+    return members.join(lead, "key").filter(possible).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (key, node, n, common, component) of different
+    components. In a band, those outside its largest component are the query set: each
+    is sent, once, to every home that holds members of its bands, and compared there in
+    blocks with the members of other components; no pair becomes a row. One link to a
+    component is enough, so its other members are skipped."""
+    by_part = members.groupBy("key", "component").agg(F.count("*").alias("m"))
+    bands = by_part.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("major")).filter("parts > 1")
+    open_ = materialise(members.join(bands.select("key", "major"), "key"), "members")
+    facts = ("node", "n", "common", "component")
+    here = open_.groupBy(*facts).agg(F.collect_list("key").alias("keys"))
+    at = sets.select(F.col("node").alias("at_node"), F.col("home").alias("at_home")).distinct()
+    homes = open_.join(at, F.col("node") == F.col("at_node")).groupBy("key").agg(F.collect_set("at_home").alias("homes"))
+    asking = open_.filter("component <> major").join(homes, "key").groupBy(*facts).agg(F.collect_list("key").alias("keys"), F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+    stored = sets.select("home", F.col("node").alias("set_node"), "data")
+    columns = (*facts, "keys", "data")
+    left = stored.join(here, F.col("node") == F.col("set_node")).select(F.col("home").alias("home"), *[F.col(c).alias(c) for c in columns])
+    asked = sets.select(F.col("node").alias("set_node"), "data").join(asking, F.col("node") == F.col("set_node"))
+    asked = asked.select(F.explode("homes").alias("to_home"), *[F.col(c).alias(c) for c in columns])
+
+    def test(key, mine, queries):
+        node, n, common, part = (np.array(mine.column(c).to_pylist(), dtype=np.int64) for c in facts)
+        own: list = [None] * len(node)
+        packed = mine.column("data").to_pylist()
+        index: dict[int, list[int]] = {}
+        for i, keys in enumerate(mine.column("keys").to_pylist()):
+            for k in keys:
+                index.setdefault(k, []).append(i)
+        links = []
+        for a, an, ac, ap, keys, data in zip(*(queries.column(c).to_pylist() for c in (*facts, "keys", "data"))):
+            near = np.array(sorted({i for k in keys for i in index.get(k, ())}), dtype=np.int64)
+            c = np.minimum(common[near], ac)
+            near = near[(part[near] != ap) & (100 * c >= percent * (n[near] + an - c))]
+            ask, done = X.unpack(data)[0], set()
+            for begin in range(0, len(near), PROBED):
+                block = [i for i in near[begin : begin + PROBED].tolist() if part[i] not in done]
+                if not block:
+                    continue
+                for i in block:
+                    if own[i] is None:
+                        own[i] = X.unpack(packed[i])[0]
+                flat = np.concatenate([own[i] for i in block])
+                hit = ask[np.minimum(np.searchsorted(ask, flat), len(ask) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum([len(own[i]) for i in block])[:-1])))
+                for i, x in zip(block, both.tolist()):
+                    if part[i] not in done and 100 * x >= percent * (len(own[i]) + len(ask) - x):
+                        done.add(int(part[i]))
+                        links.append((a, int(node[i])))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-def _paired(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    other = others.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "common", "component")])
-    met = members.join(other, (members["key"] == other["key"]) & (F.col("component") != F.col("o_component")) & _possible(percent))
-    return met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    return left.groupBy("home").cogroup(asked.groupBy("to_home")).applyInArrow(test, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -197,32 +252,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tup
     met = spread.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     members = materialise(spread.join(met, "key").select("key", "node"), "members")
     chunk = F.pmod(F.xxhash64("node"), F.lit(layout.chunks)).cast("int").alias("chunk")
-    sets = materialise(_sets_of(docs, members.select("node").distinct(), size).select(chunk, "*"), "sets")
+    home = F.pmod(F.xxhash64("node"), F.lit(max(X.LEAST, layout.chunks // CHUNKS_OF_HOME))).cast("int").alias("home")
+    sets = materialise(_sets_of(docs, members.select("node").distinct(), size).select(chunk, home, "*"), "sets")
     common = _common(sets, layout).groupBy("node").agg(F.max("n").alias("n"), F.max("common").alias("common"))
     common = common.filter(100 * F.col("common") >= percent * F.col("n"))
     members = materialise(members.join(common, "node").select("key", "node", "n", "common"), "members")
-    label = None
-    links = None
-    for turn in range(3):
-        if label is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-        by_key = now.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "n", "common", "component"), F.struct(1 - F.col("common") / F.col("n"), "node")).alias("lead"))
-        by_key = by_key.filter("low <> high")
-        if turn == 0:
-            others = by_key.select("key", "lead.*")
-        else:
-            now = materialise(now.join(by_key.select("key", "m"), "key"), "members")
-            draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-            others = now.filter(draw < F.lit(LEADERS) / F.col("m")) if turn == 1 else now
-        pairs = _paired(now, others, percent)
-        if turn == 2:
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        found = _confirmed(materialise(pairs, "pairs"), sets, percent)
-        links = materialise(found if links is None else links.unionByName(found), "links")
-        label = components(links)
-    label = label.withColumnRenamed("component", "component_id")
+    links = materialise(_confirmed(materialise(_led(members, percent), "pairs"), sets, percent), "links")
+    label = components(links)
+    now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+    links = links.unionByName(_across(now, sets, percent))
+    label = components(links).withColumnRenamed("component", "component_id")
     reps = reps.select("k1", "k2", "node").join(label, "node", "left")
     return signed.select("doc_id", "n_shingles", "k1", "k2"), reps.select("k1", "k2", F.coalesce("component_id", F.col("node")).alias("component_id"))
 
