@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vigil.functions.hashing import digest
 from vigil.functions.numeric import ratio
 
+#: Rows of one per stratum or class that are broadcast; beyond, an ordinary join is used.
+MAX_BROADCAST_ROWS = 10_000
+
 # Label and split names, polarity, target categories.
 LABEL3 = {"hatespeech": 0, "offensive": 1, "normal": 2}
 CLASS_NAMES = ["hate", "offensive", "neither/normal"]
@@ -117,6 +120,13 @@ def majority_vote(votes: DataFrame, by: str, vote: str, order: str, weak: str |
     )
 
 
+def few_values(df: DataFrame, column: Column):
+    """Hint for tables with a row per value of ``column``: a broadcast if ``df`` has few
+    values; a caller's column may have more than classes, and then an ordinary join is right."""
+    few = df.select(column.alias("v")).distinct().limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return F.broadcast if few else (lambda table: table)
+
+
 # --------------------------------------------------------------------- splits
 def stratified_split(
     df: DataFrame,
@@ -137,6 +147,7 @@ def stratified_split(
     """
     h = digest(F.col(key), salt)
     name = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    hint = few_values(df, name)
     ids = df.select(name.alias("_s"), h.alias("_h")).withColumn(
         "_slice", F.substring("_h", 1, prefix_digits)
     )
@@ -156,7 +167,7 @@ def stratified_split(
     )
     inside = Window.partitionBy("_s", "_slice", "cut").orderBy("_h")
     found = (
-        ids.join(F.broadcast(targets), ["_s", "_slice"])
+        ids.join(hint(targets), ["_s", "_slice"])
         .withColumn("_at", F.row_number().over(inside))
         .filter(F.col("_at") == F.col("_rank"))
         .groupBy("_s")
@@ -171,7 +182,7 @@ def stratified_split(
     return (
         df.withColumn("_h", h)
         .withColumn("_s", name)
-        .join(F.broadcast(found), "_s", "left")
+        .join(hint(found), "_s", "left")
         .withColumn("split", part)
         .drop("_h", "_s", "_a", "_b")
     )
@@ -248,4 +259,4 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight``; the broadcast table has one row per class."""
     weights = balanced_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(weights), label)
+    return df.join(few_values(df, F.col(label))(weights), label)

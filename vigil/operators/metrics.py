@@ -36,6 +36,7 @@ def score_totals(
     Confusion and AUC come out of the same aggregate: the decision is a function
     of the score, so both are sums over the distinct scores.
     """
+    df = df.withColumn(score, scored(F.col(score)))
     flagged = decide(F.col(score), threshold)
     sums = {"tp": F.col("pos") * flagged, "fp": F.col("neg") * flagged}
     return rank_sums(df, by, score, truth, sums).select(
@@ -48,13 +49,18 @@ def score_totals(
     )
 
 
+def scored(score: Column) -> Column:
+    """``score``; a row without one ends the job, as it is neither a hit nor a miss."""
+    return F.coalesce(score, F.raise_error(F.lit("a row without a score cannot be evaluated")).cast("double"))
+
+
 def evaluate(df: DataFrame, by: list[str], truth: str = "label", score: str = "p_hate", threshold=0.5) -> DataFrame:
     """Full binary record per group: four counts, five rates, ROC-AUC."""
     return with_binary_metrics(score_totals(df, by, truth, score, threshold))
 
 
 def roc_auc(df: DataFrame, by: list[str], truth: str = "label", score: str = "p_hate") -> DataFrame:
-    totals = rank_sums(df, by, score, truth)
+    totals = rank_sums(df.withColumn(score, scored(F.col(score))), by, score, truth)
     return totals.select(*by, F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"), auc().alias("roc_auc"))
 
 

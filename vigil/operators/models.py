@@ -12,22 +12,21 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, Normalizer, Word2Vec
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.numeric import argmax, decide, let
-from vigil.functions.tokens import whitespace_tokens
-from vigil.operators.features import TfidfConfig, idf_table, tf_weight, with_grams, with_terms
+from vigil.functions.tokens import whitespace_tokens, with_term_counts
+from vigil.operators.features import TfidfConfig, idf_table, tf_weight, with_grams
 from vigil.operators.metrics import evaluate
-from vigil.session import scratch_path
+from vigil.session import materialise, scratch_path
 
 # How a sparse vector is stored; used to read assembled structs back as vectors.
 SPARSE = 0
-ROWS_PER_TASK = 10_000
 
 
 def class_counts(train: DataFrame, label: str = "y") -> dict[int, int]:
@@ -52,11 +51,8 @@ def fit_regression(
     0..K-1.
     """
     n = sum(counts.values())
-    # Each iteration is a job over all partitions: small training sets get few.
-    tasks = min(features.rdd.getNumPartitions(), -(-n // ROWS_PER_TASK))
-    data = features.coalesce(max(1, tasks)).withColumn(
-        "_weight", class_weight(counts) if balanced else F.lit(1.0)
-    )
+    # Features are a written table, so its scan has a task for each split of bytes.
+    data = features.withColumn("_weight", class_weight(counts) if balanced else F.lit(1.0))
     lr = LogisticRegression(
         labelCol="y",
         weightCol="_weight",
@@ -127,7 +123,12 @@ def term_weights(
     df: DataFrame, counter: CountVectorizerModel, idf: list[float], cfg: TfidfConfig, cols: list[str], text: str
 ) -> DataFrame:
     """cols + _i (term indices) + _w (tf weight * idf), no shuffle and no Python function."""
-    counted = counter.transform(with_grams(df, cfg, text)).select(*cols, F.unwrap_udt("_tf").alias("_tf"))
+    return gram_weights(with_grams(df, cfg, text), counter, idf, cfg, cols)
+
+
+def gram_weights(df: DataFrame, counter: CountVectorizerModel, idf: list[float], cfg: TfidfConfig, cols: list[str]) -> DataFrame:
+    """As :func:`term_weights`, of rows that are cut into ``_grams``."""
+    counted = counter.transform(df).select(*cols, F.unwrap_udt("_tf").alias("_tf"))
     table = constant_array(idf)
     weights = F.zip_with("_tf.indices", "_tf.values", lambda i, v: tf_weight(v, cfg) * F.get(table, i))
     return counted.select(*cols, F.col("_tf.indices").alias("_i"), weights.alias("_w"))
@@ -171,20 +172,19 @@ def probability(margins: list[Column]) -> Column:
 def fit_tfidf(train: DataFrame, cfg: TfidfConfig = TfidfConfig(), key: str = "doc_id") -> TfidfModel:
     """Fit vocabulary, idf and regression on (key, text, y).
 
-    The vocabulary is chosen by our own aggregate, with a fixed order at the
-    cut; the counter is fitted on that table, one term per row, so that it knows
-    exactly these terms.
+    The texts are cut into n-grams once, on the way into a table that the vocabulary
+    and the features both read. The vocabulary is chosen by our own aggregate, with
+    a fixed order at the cut.
     """
-    spark = train.sparkSession
-    path = scratch_path(spark, "vocabulary")
-    idf_table(with_terms(train.select(key, "text"), cfg), cfg).write.parquet(path)
-    terms = spark.read.parquet(path).select(F.array("term").alias("_grams"), "idf")
-    counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=cfg.max_features, minDF=1.0).fit(terms)
-    index = F.get(F.unwrap_udt("_tf")["indices"], 0)
-    # At most max_features numbers reach the driver: they are part of the model.
-    rows = counter.transform(terms).select(index.alias("i"), "idf").collect()
-    idf = [float(r["idf"]) for r in sorted(rows, key=lambda r: r["i"])]
-    features = sparse_features(term_weights(train, counter, idf, cfg, [key, "y"], "text"), len(idf), [key, "y"])
+    grams = materialise(with_grams(train.select(key, "y", "text"), cfg), "grams")
+    counted = with_term_counts(grams.select(key, "_grams"), "_grams").drop("_grams")
+    # At most max_features terms and numbers reach the driver: they are the model.
+    terms = idf_table(counted, cfg).orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()
+    if not terms:
+        raise ValueError("no term is frequent enough for a vocabulary")
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="_grams", outputCol="_tf")
+    idf = [float(r["idf"]) for r in terms]
+    features = sparse_features(gram_weights(grams, counter, idf, cfg, [key, "y"]), len(idf), [key, "y"])
     lr = fit_regression(features, class_counts(train), cfg.C, cfg.max_iter, cfg.balanced)
     return TfidfModel(
         cfg, counter, idf, lr.coefficientMatrix.toArray().tolist(), [float(b) for b in lr.interceptVector]
@@ -197,9 +197,11 @@ class EmbedConfig:
     vector_size: int = 200
     window: int = 5
     min_count: int = 2
+    max_vocabulary: int = 1_000_000
     epochs: int = 20
     step_size: float = 0.025
-    partitions: int = 1
+    #: Tasks of the training; 0: as many as the cluster has cores.
+    partitions: int = 0
     seed: int = 42
     C: float = 1.0
     max_iter: int = 1000
@@ -287,14 +289,20 @@ def _fit_stages(kind: str, cfg, train: DataFrame, stages: list, label: str = "y"
 
 
 def fit_embedding(train: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> StageModel:
-    """Mean word vector + regression. More ``partitions`` train faster, less exactly."""
+    """Mean word vector + regression. More ``partitions`` train faster, less exactly.
+
+    Spark keeps vocabulary x dimension on the driver: ``max_vocabulary`` bounds it, by
+    a ``min_count`` that is raised from the measured frequencies where needed.
+    """
+    partitions = cfg.partitions or train.sparkSession.sparkContext.defaultParallelism
+    least = least_count(_words(train, "text", cfg), cfg)
     w2v = Word2Vec(
         vectorSize=cfg.vector_size,
         windowSize=cfg.window,
-        minCount=cfg.min_count,
+        minCount=least,
         maxIter=cfg.epochs,
         stepSize=cfg.step_size,
-        numPartitions=cfg.partitions,
+        numPartitions=partitions,
         seed=cfg.seed,
         inputCol="_words",
         outputCol="features",
@@ -302,6 +310,21 @@ def fit_embedding(train: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> StageMo
     return _fit_stages("embed", cfg, train, [w2v])
 
 
+def least_count(words: DataFrame, cfg: EmbedConfig) -> int:
+    """``min_count``, or the smallest count that at most ``max_vocabulary`` words reach."""
+    counts = words.select(F.explode_outer("_words").alias("w")).filter("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # Words per count; counts above the vocabulary's share of a million tell nothing more.
+    table = counts.filter(F.col("n") >= cfg.min_count).groupBy(F.least("n", F.lit(cfg.max_vocabulary)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
+    whole = Window.orderBy(F.desc("n"))
+    reached = table.withColumn("upto", F.sum("words").over(whole))
+    low = reached.agg(F.min(F.when(F.col("upto") <= cfg.max_vocabulary, F.col("n"))), F.max("upto")).first()
+    if (low[1] or 0) <= cfg.max_vocabulary:
+        return cfg.min_count
+    if low[0] is None:
+        raise ValueError(f"more than {cfg.max_vocabulary} words are as frequent as the most frequent one")
+    return int(low[0])
+
+
 def fit_verifier(train: DataFrame, cfg: VerifierConfig = VerifierConfig()) -> StageModel:
     """Hashed character n-grams of words (robust to spelling) + regression."""
     hashed = HashingTF(numFeatures=cfg.buckets, binary=True, inputCol="_grams", outputCol="_hashed")
@@ -315,7 +338,8 @@ def select_best(fits: dict[str, "TfidfModel | StageModel"], validation: DataFram
     for name, model in fits.items():
         rows = model.score(validation, keep=(label,)).withColumn("model", F.lit(name))
         scored = rows if scored is None else scored.unionByName(rows)
-    board = evaluate(scored, ["model"], truth=label).select("model", "f1_macro", "f1_binary", "roc_auc")
+    # A row per model: written, so that choosing and returning do not score twice.
+    board = materialise(evaluate(scored, ["model"], truth=label).select("model", "f1_macro", "f1_binary", "roc_auc"), "board")
     return board.orderBy(F.col("f1_macro").desc(), "model").first()["model"], board
 
 

@@ -119,8 +119,9 @@ def tune_threshold(df: DataFrame, by: list[str], truth: str = "label", score: st
 
 # -------------------------------------------------------------------- cascade
 def cascade_scores(df: DataFrame, t1: float = 0.20, p1: str = "p1", p2: str = "p2") -> DataFrame:
-    """Final score of a cascade when both scores are known: p2 where p1 >= t1, else p1."""
-    routed = F.col(p1) >= t1
+    """Final score of a cascade when both scores are known: p2 where p1 >= t1, else p1.
+    A row without a p1 is not routed and has no final score."""
+    routed = F.coalesce(F.col(p1) >= t1, F.lit(False))
     return df.withColumn("routed", routed).withColumn("p_hate", F.when(routed, F.col(p2)).otherwise(F.col(p1)))
 
 
@@ -136,15 +137,16 @@ def run_cascade(
     Both callables take a frame and add ``p_hate``. An expression such as
     ``when(p1 >= t1, udf(x))`` would run the expensive scorer on every row, so the
     rows are filtered first and the two parts united afterwards. ``materialise``
-    (a table in the shared folder) keeps stage 1 from running once per part.
+    (a table in the shared folder) keeps stage 1 from running once per part. Every
+    row of ``df`` comes back: one without a p1 is not routed and has no final score.
     """
     first = stage1(df).withColumnRenamed("p_hate", "p1")
     if materialise is not None:
         first = materialise(first)
-    routed = F.col("p1") >= t1
-    bypass = first.filter(~routed).withColumns({"p2": F.lit(None).cast("double"), "p_hate": F.col("p1")})
-    checked = stage2(first.filter(routed)).withColumn("p2", F.col("p_hate"))
-    return bypass.unionByName(checked).withColumn("routed", F.col("p2").isNotNull())
+    routed = F.coalesce(F.col("p1") >= t1, F.lit(False))
+    bypass = first.filter(~routed).withColumns({"p2": F.lit(None).cast("double"), "p_hate": F.col("p1"), "routed": F.lit(False)})
+    checked = stage2(first.filter(routed)).withColumns({"p2": F.col("p_hate"), "routed": F.lit(True)})
+    return bypass.unionByName(checked)
 
 
 def cascade_stats(df: DataFrame, by: list[str]) -> DataFrame:

@@ -9,12 +9,13 @@ from vigil.operators.ranking import order_statistics
 
 
 def latency_summary(timings: DataFrame, by: str = "run", ms: str = "ms") -> DataFrame:
-    """by -> n, median, p05, p95 in ms, all exact.
+    """by -> n, median, p05, p95 in ms, all exact. Null and NaN timings are no timings.
 
     The 5% and 95% points follow the exclusive rule: position q * (n + 1),
     interpolated between the neighbours; below 20 rows they are min and max.
     """
-    counts = timings.filter(F.col(ms).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    timings = timings.filter(F.col(ms).isNotNull() & ~F.isnan(F.col(ms).cast("double")))
+    counts = timings.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     # Exclusive 20-quantiles in integers: position j * (n + 1) / 20, clamped to 1 .. n - 1.
     cuts = [("p05", 1), ("p95", 19)]
@@ -51,13 +52,19 @@ def throughput(
 ) -> DataFrame:
     """Samples per second over the first full batches of each run; the ragged tail is dropped.
 
-    Only ``n_iters // batch_size`` batches count, so the row number is bounded and
-    Spark limits every group before the exchange.
+    Only ``n_iters // batch_size`` batches count. The ``seq`` of their last row is found
+    first, from a histogram; only rows up to it are numbered, so the window of a run
+    never holds more, however many rows the run has. ``seq`` is unique in a run.
     """
     rows = max(1, n_iters // batch_size) * batch_size
     order = Window.partitionBy(by).orderBy(seq)
+    sizes = timings.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = sizes.select(by, F.lit("last").alias("name"), F.least("_n", F.lit(rows)).cast("long").alias("rank"))
+    last = order_statistics(timings, by, seq, ranks).select(by, F.col("value").alias("_last"))
     batches = (
         timings.select(by, seq, ms)
+        .join(last, by)
+        .filter(F.col(seq) <= F.col("_last"))
         .withColumn("_rn", F.row_number().over(order))
         .filter(F.col("_rn") <= rows)
         .groupBy(by, F.floor((F.col("_rn") - 1) / batch_size).alias("_batch"))

@@ -106,9 +106,14 @@ def cascade_scores(
     """Cheap model on every test row, expensive model on the routed rows only."""
     first, second = fit(stage1, prepared, cfg=cfgs[0]), fit(stage2, prepared, cfg=cfgs[1])
     test = prepared.filter(F.col("split") == "test").select("doc_id", "text", "label")
+
+    def cheap(df: DataFrame) -> DataFrame:
+        # Only routed rows take their text along into the stage-1 table.
+        return first.score(df, keep=("text", "label")).withColumn("text", F.when(F.col("p_hate") >= t1, F.col("text")))
+
     return S.run_cascade(
         test,
-        lambda df: first.score(df, keep=("text", "label")),
+        cheap,
         lambda df: second.score(df, keep=("text", "label", "p1")),
         t1,
         lambda df: materialise(df, "stage1"),
@@ -119,21 +124,20 @@ def cascade_frontier(prepared: DataFrame, cfgs=(None, None)) -> DataFrame:
     """Score both stages once, sweep all thresholds over the scores."""
     first, second = fit("tfidf", prepared, cfg=cfgs[0]), fit("verifier", prepared, cfg=cfgs[1])
     test = prepared.filter(F.col("split") == "test")
-    p1 = first.score(test, keep=("label",)).withColumnRenamed("p_hate", "p1")
-    p2 = second.score(test).withColumnRenamed("p_hate", "p2")
-    both = p1.join(p2, "doc_id").withColumn("model", F.lit("tfidf>verifier"))
-    return S.cascade_sweep(both, ["model"])
+    # Both models score in the row: one narrow pass, no join.
+    p1 = first.score(test, keep=("label", "text")).withColumnRenamed("p_hate", "p1")
+    both = second.score(p1, keep=("label", "p1")).withColumnRenamed("p_hate", "p2")
+    return S.cascade_sweep(both.withColumn("model", F.lit("tfidf>verifier")), ["model"])
 
 
 def robustness(model_type: str, prepared: DataFrame, cfg=None) -> DataFrame:
     """Score the test split clean and obfuscated with one model."""
     model = fit(model_type, prepared, cfg=cfg)
     test = prepared.filter(F.col("split") == "test").select("doc_id", "text", "label")
-    noisy = test.withColumn("text", obfuscate_text(F.col("text"), F.col("doc_id")))
-    clean = model.score(test, keep=("label",)).withColumnRenamed("p_hate", "p_clean")
-    obf = model.score(noisy).withColumnRenamed("p_hate", "p_obf")
-    both = clean.join(obf, "doc_id").withColumn("model", F.lit(model_type))
-    return B.robustness(both, ["model"], "p_clean", "p_obf")
+    noisy = test.withColumn("noisy", obfuscate_text(F.col("text"), F.col("doc_id")))
+    clean = model.score(noisy, keep=("label", "noisy")).withColumnRenamed("p_hate", "p_clean")
+    both = model.score(clean, text="noisy", keep=("label", "p_clean")).withColumnRenamed("p_hate", "p_obf")
+    return B.robustness(both.withColumn("model", F.lit(model_type)), ["model"], "p_clean", "p_obf")
 
 
 def group_audit(model_type: str, prepared: DataFrame, group: str, order: list[str], cfg=None) -> DataFrame:
@@ -144,9 +148,17 @@ def group_audit(model_type: str, prepared: DataFrame, group: str, order: list[st
 
 
 def multi_seed(model_type: str, corpus: DataFrame, seeds: tuple[int, ...] = (42, 7, 1337), cfg=None) -> DataFrame:
-    """Refit under several split seeds and summarise the test metrics."""
+    """Refit under several split seeds and summarise the test metrics.
+
+    The texts are cleaned and written once, with the split of every seed beside them:
+    a split is a matter of key and label alone.
+    """
+    keys = corpus.select("doc_id", "label3")
+    for seed in seeds:
+        keys = stratified_split(keys, "doc_id", "label3", salt=f":{seed}").withColumnRenamed("split", f"split_{seed}")
+    cleaned = materialise(clean_nonempty(corpus.join(keys.drop("label3"), "doc_id")), "prepared")
     runs = None
     for seed in seeds:
-        m = in_domain(model_type, prepare(corpus, f":{seed}"), cfg).withColumn("seed", F.lit(seed))
+        m = in_domain(model_type, cleaned.withColumn("split", F.col(f"split_{seed}")), cfg).withColumn("seed", F.lit(seed))
         runs = m if runs is None else runs.unionByName(m)
     return M.seed_summary(materialise(runs, "runs"), ["model"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.text import clean_text
 from vigil.operators import features as X
 from vigil.operators import models as ML
 from vigil.operators import report as P
@@ -27,7 +28,7 @@ def _vocab_sql(size: int, min_df: int = 2) -> str:
   FROM freq WHERE df >= {min_df} ORDER BY cf DESC, term LIMIT {size})"""
 
 
-LONG = X.TfidfConfig(max_features=3000)
+LONG = X.TfidfConfig()
 
 
 def _docs(spark, sf_dir, cfg=LONG):
@@ -42,15 +43,14 @@ def feat_df_idf(spark, sf_dir):
     return rounded(X.term_frequencies(docs).withColumn("idf", X.idf(n, F.col("df"))))
 
 
-@query("win_vocab_topk", f"WITH {TERMS}, {_vocab_sql(500)} SELECT term, df, cf FROM vocab")
+@query("win_vocab_topk", f"WITH {TERMS}, {_vocab_sql(LONG.max_features)} SELECT term, df, cf FROM vocab")
 def win_vocab_topk(spark, sf_dir):
-    cfg = X.TfidfConfig(max_features=500)
-    return X.vocabulary(X.term_frequencies(_docs(spark, sf_dir, cfg)), cfg)
+    return X.vocabulary(X.term_frequencies(_docs(spark, sf_dir)), LONG)
 
 
 @query(
     "feat_tfidf",
-    f"""WITH {TERMS}, {_vocab_sql(3000)}, w AS (SELECT doc_id, term, tf, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term))
+    f"""WITH {TERMS}, {_vocab_sql(LONG.max_features)}, w AS (SELECT doc_id, term, tf, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term))
         SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM w""",
 )
 def feat_tfidf(spark, sf_dir):
@@ -59,10 +59,9 @@ def feat_tfidf(spark, sf_dir):
 
 
 # -------------------------------------------------------------- fitted models
-# Small settings, so that the checks stay short; the defaults are in the configs.
-TFIDF = X.TfidfConfig(max_features=20_000, max_iter=50)
-EMBED = ML.EmbedConfig(vector_size=32, epochs=2, partitions=8, max_iter=50)
-VERIFY = ML.VerifierConfig(buckets=1 << 16, max_iter=50)
+TFIDF = X.TfidfConfig()
+EMBED = ML.EmbedConfig()
+VERIFY = ML.VerifierConfig()
 
 
 def prepared(spark, sf_dir):
@@ -87,8 +86,8 @@ def mdl_embed_infer(spark, sf_dir):
     """Vectors of unseen texts (all conversations) from a model fitted on documents."""
     model = E.fit("embed", prepared(spark, sf_dir), cfg=EMBED)
     talk = T.read(spark, sf_dir, "conversations")
-    unseen = talk.select((F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), F.lower("text").alias("text"))
-    return model.vectors(unseen)
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return model.vectors(talk.select(key.alias("doc_id"), clean_text(F.col("text")).alias("text")))
 
 
 @query("mdl_select_best")
@@ -96,7 +95,7 @@ def mdl_select_best(spark, sf_dir):
     """Two settings fitted on train, compared by macro F1 on val."""
     p = prepared(spark, sf_dir)
     fits = {
-        f"C={c}": E.fit("tfidf", p, cfg=X.TfidfConfig(max_features=20_000, max_iter=50, C=c)) for c in (0.1, 10.0)
+        f"C={c}": E.fit("tfidf", p, cfg=X.TfidfConfig(C=c)) for c in (0.1, 10.0)
     }
     best, board = ML.select_best(fits, E.part(p, "val"))
     return rounded(board.withColumn("chosen", F.col("model") == best), 6)
@@ -111,9 +110,9 @@ def mdl_three_way(spark, sf_dir):
 
 @query("mdl_score")
 def mdl_score(spark, sf_dir):
-    """p_hate of all documents, labelled or not."""
+    """p_hate of all documents, labelled or not, cleaned like the training texts."""
     model = E.fit("tfidf", prepared(spark, sf_dir), cfg=TFIDF)
-    return model.score(T.texts(spark, sf_dir))
+    return model.score(T.texts(spark, sf_dir).withColumn("text", clean_text(F.col("text"))))
 
 
 @query("mdl_save_load")
