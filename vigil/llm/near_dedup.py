@@ -31,7 +31,7 @@ from vigil.llm import exchange as X
 from vigil.llm.components import components
 from vigil.llm.frames import fresh
 from vigil.llm.sketch import band_keys, sketches
-from vigil.llm.words import NOT_SPACE, U64, Words, mix, pieces, raw_texts, windows
+from vigil.llm.words import NOT_SPACE, U64, Words, mix, parts_of, pieces, raw_texts, windows
 from vigil.session import materialise
 
 SHINGLE = 4
@@ -71,14 +71,13 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             sets = shingle_sets(raw_texts(batch.column("text")), size)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
-            for at in range(0, len(full), 512):
-                part = full[at : at + 512]
-                first = np.concatenate(([0], np.cumsum([len(sets[i]) for i in part])))
-                for i, k in zip(part, band_keys(sketches(np.concatenate([sets[i] for i in part]), first))):
+            if full:
+                first = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])))
+                for i, k in zip(full, band_keys(sketches(np.concatenate([sets[i] for i in full]), first))):
                     bands[i] = k
             yield pa.RecordBatch.from_arrays(
                 [
@@ -99,7 +98,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node"), "node", "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             sets = shingle_sets(raw_texts(batch.column("text")), size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([X.pack(s) for s in sets], pa.binary())],

@@ -158,12 +158,16 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def by_batch(schema: pa.Schema, rows_of) -> object:
-    """Function for ``mapInArrow``: ``rows_of(batch)`` gives the columns of each batch."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows_of(batch), schema)], schema=schema)
-
-    return run
+def parts_of(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose ``column`` has at most ``limit`` bytes, or one row: what
+    is made from a slice stays small however many rows Spark puts into a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets = np.frombuffer(batch.column(column).buffers()[1], dtype=np.int64 if pa.types.is_large_string(batch.column(column).type) else np.int32)
+        offsets = offsets[batch.column(column).offset : batch.column(column).offset + batch.num_rows + 1]
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
