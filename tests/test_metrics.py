@@ -132,6 +132,22 @@ def test_cascade_routing(spark):
     assert sorted(r.p_hate for r in none) == [0.05, 0.30, 0.60, 0.90]
 
 
+def test_cascade_keeps_rows_without_a_score(spark):
+    df = spark.createDataFrame([("a", 0.1), ("b", None), ("c", 0.9)], "doc_id string, x double")
+    second = lambda d: d.withColumn("p_hate", F.lit(None).cast("double"))
+    out = S.run_cascade(df, lambda d: d.withColumn("p_hate", F.col("x")), second, 0.5).collect()
+    assert {r.doc_id: (r.p1, r.p_hate, r.routed) for r in out} == {"a": (0.1, 0.1, False), "b": (None, None, False), "c": (0.9, None, True)}
+    known = S.cascade_scores(df.select("doc_id", F.col("x").alias("p1"), F.lit(0.7).alias("p2")), 0.5).collect()
+    assert {r.doc_id: (r.p_hate, r.routed) for r in known} == {"a": (0.1, False), "b": (None, False), "c": (0.7, True)}
+
+
+def test_a_missing_score_is_not_a_negative(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, None)], "label int, p_hate double")
+    for measure in (M.evaluate, M.roc_auc):
+        with pytest.raises(Exception, match="without a score"):
+            measure(df, []).collect()
+
+
 def test_cascade_cost_golden(spark):
     row = spark.range(1).select(
         S.cascade_latency(F.lit(0.3497705183690414), F.lit(19.92972902371548), F.lit(0.9302137958854376)).alias("ms"),
@@ -193,6 +209,23 @@ def test_latency_summary_matches_exclusive_rule(spark, n):
     assert close(r.latency_ms_p05, low) and close(r.latency_ms_p95, high)
 
 
+def test_latency_leaves_out_what_is_no_timing(spark):
+    ms = [float(i) for i in range(1, 31)]
+    df = spark.createDataFrame([("r", v) for v in [*ms, float("nan"), None]], "run string, ms double")
+    r = L.latency_summary(df).first()
+    assert r.n == 30 and close(r.latency_ms_median, statistics.median(ms)) and close(r.latency_ms_p95, statistics.quantiles(ms, n=20)[-1])
+
+
+def test_throughput_windows_hold_the_counted_rows_only(spark):
+    rows = [("hot", i, 1.0 + (i >= 3200)) for i in range(20_000)] + [("small", i, 4.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "run string, seq long, ms double").repartition(5)
+    out = {r.run: (r.n_samples, round(r.throughput_samples_per_sec, 6)) for r in L.throughput(df, batch_size=32, n_iters=3200).collect()}
+    assert out == {"hot": (3200, 1000.0), "small": (32, 250.0)}
+    plan = L.throughput(df, batch_size=32, n_iters=3200)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("row_number") :]
+    assert "_last" in below
+
+
 def test_throughput_drops_the_ragged_tail(spark):
     df = spark.createDataFrame([("r", i, 2.0) for i in range(70)], "run string, seq long, ms double")
     r = L.throughput(df, batch_size=32, n_iters=200).first()

@@ -92,6 +92,25 @@ def test_strip_accents_matches_unicode_rule(spark):
     assert got == want
 
 
+def test_strip_accents_covers_all_of_unicode(spark):
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = ["a" + "".join(every[i : i + 50]) for i in range(0, len(every), 50)]
+    texts = texts[::7] + ["".join(t) for t in zip(*[iter(x for x in every if unicodedata.decomposition(x) or "\uac00" <= x <= "\ud7a3")] * 20)]
+    bare = lambda ch: "".join(p for p in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(p))
+    got = column(spark, texts, K.strip_accents)
+    assert [g for g, t in zip(got, texts) if g != "".join(map(bare, t))] == []
+
+
+def test_draws_of_a_long_token_are_independent(spark):
+    rows = spark.range(3000).select(F.col("id"), F.lit("s" * 64).alias("text"))
+    out = [r[0] for r in rows.select(obfuscate_text(F.col("text"), F.col("id"), ("leet",))).collect()]
+    hits = [[int(c == "$") for c in s] for s in out]
+    assert abs(sum(map(sum, hits)) / (64 * 3000) - 0.3) < 0.01
+    for shift in (1, 2, 8, 16, 21, 32):
+        both = sum(h[i] * h[i + shift] for h in hits for i in range(64 - shift)) / (3000 * (64 - shift))
+        assert abs(both - 0.09) < 0.01, shift
+
+
 def test_tokens_and_ngrams(spark):
     df = spark.createDataFrame([("the cat_1 sat, a É2 b",), ("x",)], "text string")
     rows = df.select(K.word_tokens(F.col("text")).alias("t")).select("t", K.ngrams(F.col("t"), 1, 2).alias("g")).collect()

@@ -1,8 +1,9 @@
 """Evasion spelling: leet, repeated consonants, masked vowels, spread-out words.
 
-Everything happens inside the row. Each alphabetic token gets one digest of
-(row key, token position); every draw is a window of its 64 hex digits, compared
-as a string with a fixed-width bound, which needs no number conversion.
+Everything happens inside the row. Each alphabetic token gets a digest of (row key,
+token position) and one for each eight characters; every draw is a window of its own
+of their hex digits, compared as a string with a fixed-width bound, which needs no
+number conversion.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 MASKS = "*.!"
 RATES = {"leet": 0.30, "repeat": 0.05, "punct": 0.10, "space": 0.05}
 RULES = ("leet", "repeat", "punct", "space")
-# Digits of the digest: 1-24 leet, 25-48 repetition, 49-64 one draw each per token.
-# The 4-digit window of character i starts at (5 * i mod 21): all 21 are visited.
-STRIDE, WINDOWS = 5, 21
-LEET_AT, REPEAT_AT, PUNCT_AT, SLOT_AT, MASK_AT, SPACE_AT = 1, 25, 49, 53, 57, 61
+# The token's digest has one draw for each of these; every character has two of its own
+# in the digest of its block of eight characters. No window is used twice.
+PUNCT_AT, SLOT_AT, MASK_AT, SPACE_AT = 1, 5, 9, 13
+BLOCK, LEET_AT, REPEAT_AT = 8, 1, 33
 
 
-def _draw(d: Column, start: int, position: Column) -> Column:
-    return F.substring(d, (position * STRIDE) % WINDOWS + start, F.lit(4))
+def _draw(blocks: Column, start: int, position: Column) -> Column:
+    return F.substring(F.get(blocks, F.floor(position / BLOCK).cast("int")), (position % BLOCK) * 4 + start, F.lit(4))
 
 
 def _number(d: Column, start: int) -> Column:
@@ -38,19 +39,21 @@ def _number(d: Column, start: int) -> Column:
 
 def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[str, ...] = RULES) -> Column:
     """The rules in their order: leet, repetition, masked vowel, spreading."""
-    digest = F.sha2(F.concat(key, F.lit(":"), position.cast("string")), 256)
+    name = F.concat(key, F.lit(":"), position.cast("string"))
+    digest = F.sha2(name, 256)
+    numbers = F.sequence(F.lit(0), F.floor((F.length(token) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda k: F.sha2(F.concat(name, F.lit(":"), k.cast("string")), 256))
 
     def char(c: Column, i: Column, d: Column) -> Column:
-        if "leet" not in rules:
-            return c
-        hit = F.lit(LEET_FROM).contains(c) & (_draw(d, LEET_AT, i) < hex_below(RATES["leet"]))
-        return F.when(hit, F.translate(c, LEET_FROM, LEET_TO)).otherwise(c)
-
-    def repeated(c: Column, i: Column, d: Column) -> Column:
-        if "repeat" not in rules:
-            return c
-        hit = F.lit(CONSONANTS).contains(F.lower(c)) & (_draw(d, REPEAT_AT, i) < hex_below(RATES["repeat"]))
-        return F.when(hit, F.concat(c, c)).otherwise(c)
+        """Leet, or else repetition: no letter that leet puts in is a consonant."""
+        out = c
+        if "repeat" in rules:
+            hit = F.lit(CONSONANTS).contains(F.lower(c)) & (_draw(d, REPEAT_AT, i) < hex_below(RATES["repeat"]))
+            out = F.when(hit, F.concat(c, c)).otherwise(out)
+        if "leet" in rules:
+            hit = F.lit(LEET_FROM).contains(c) & (_draw(d, LEET_AT, i) < hex_below(RATES["leet"]))
+            out = F.when(hit, F.translate(c, LEET_FROM, LEET_TO)).otherwise(out)
+        return out
 
     def masked(chars: Column, d: Column) -> Column:
         """Replace one vowel that leet left over, chosen by the token digest."""
@@ -78,8 +81,7 @@ def obfuscate_token(token: Column, key: Column, position: Column, rules: tuple[s
         return F.when(chosen, F.array_join(F.split(s, ""), " ")).otherwise(s)
 
     def build(d: Column) -> Column:
-        leet = F.transform(F.split(token, ""), lambda c, i: char(c, i, d))
-        chars = F.transform(leet, lambda c, i: repeated(c, i, d))
+        chars = let(blocks, lambda bs: F.transform(F.split(token, ""), lambda c, i: char(c, i, bs)))
         joined = let(chars, lambda cs: F.array_join(masked(cs, d), ""))
         return let(joined, lambda s: spread(s, d))
 

@@ -37,10 +37,11 @@ def _accent_tables() -> tuple[str, str, list[int], dict[str, str]]:
 
     A character whose compatibility decomposition without combining marks is one
     character goes to the ``translate`` table; a longer one (ligatures, fractions)
-    to the expansions. Hangul syllables are left composed.
+    to the expansions. Hangul syllables decompose by arithmetic (:func:`_jamo`). No
+    character above the last plane looked at decomposes.
     """
     source, target, marks, expansions = [], [], [], {}
-    for code in range(0x80, 0x20000):
+    for code in range(0x80, 0x30000):
         ch = chr(code)
         if unicodedata.combining(ch):
             marks.append(code)
@@ -49,16 +50,36 @@ def _accent_tables() -> tuple[str, str, list[int], dict[str, str]]:
             continue
         plain = unicodedata.normalize("NFKD", ch)
         bare = "".join(p for p in plain if not unicodedata.combining(p))
+        if not bare:
+            marks.append(code)
         if bare == ch or not bare:
             continue
         if len(bare) == 1:
             source.append(ch)
             target.append(bare)
-        elif code < 0x3400 or 0xFB00 <= code <= 0xFB4F:
+        else:
             expansions[ch] = bare
     return "".join(source), "".join(target), marks, expansions
 
 
+#: The first syllable, and the first lead, vowel and (one before the first) tail letter
+#: with their numbers: fixed values of Unicode's Hangul composition.
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
+def _jamo(syllable: Column) -> Column:
+    """The letters of one composed Hangul syllable."""
+
+    def letter(first: tuple[int, int], at: Column) -> Column:
+        letters = F.split(F.lit(",".join(chr(first[0] + i) for i in range(first[1]))), ",")
+        return F.get(letters, at.cast("int"))
+
+    n = F.ascii(syllable) - HANGUL
+    tail = F.when(n % TAILS[1] > 0, letter(TAILS, n % TAILS[1])).otherwise("")
+    block = TAILS[1] * VOWELS[1]
+    return F.concat(letter(LEADS, F.floor(n / block)), letter(VOWELS, F.floor(n % block / TAILS[1])), tail)
+
+
 def strip_accents(c: Column) -> Column:
     """Compatibility-decompose and drop combining marks; ASCII rows pass untouched.
 
@@ -76,8 +97,12 @@ def strip_accents(c: Column) -> Column:
     low = [k for k in codes if k < 0x250]
     few = _ranges(low, gap=48)[:-1] + "\\x{250}-\\x{10ffff}]"
     wide = F.when(c.rlike(few) & c.rlike(_ranges(codes, gap=48)), expanded).otherwise(c)
+    hangul = f"[\\x{{{HANGUL:x}}}-\\x{{d7a3}}]"
+    spelt = F.array_join(F.transform(F.split(wide, ""), lambda p: F.when(p.rlike(hangul), _jamo(p)).otherwise(p)), "")
+    wide = F.when(c.rlike(hangul), spelt).otherwise(wide)
     based = F.translate(wide, source, target)
-    bare = F.when(c.rlike(r"\p{M}"), F.regexp_replace(based, _ranges(marks), "")).otherwise(based)
+    # Not \p{M}: the JVM may know fewer marks.
+    bare = F.when(c.rlike(_ranges(marks, gap=48)), F.regexp_replace(based, _ranges(marks), "")).otherwise(based)
     return F.when(has_non_ascii(c), bare).otherwise(c)
 
 

@@ -18,11 +18,13 @@ from vigil.functions.obfuscate import (
 from vigil.functions.hashing import hex_below
 from vigil.functions.text import clean_text
 from vigil.operators import metrics as M
+from vigil.operators import timing as L
 from vigil.operators import report as P
 from vigil.operators import robustness as B
 from vigil.operators import sweeps as S
 from vigil.plans import sql as Q
 from vigil.plans import tables as T
+from vigil.plans.queries_responses import LATENCY_SQL, THROUGHPUT_SQL
 from vigil.plans.queries_corpus import RUN_METRICS, run_metrics
 from vigil.plans.queries_text import clean_sql
 from vigil.plans.registry import query
@@ -309,48 +311,58 @@ def exp_cascade_stats(spark, sf_dir):
     return rounded(_stats(spark, sf_dir))
 
 
-# Stage costs used by the cascade queries (ms, samples per second).
-COSTS = {"l1": 0.35, "l2": 19.93, "thr1": 39183.0, "thr2": 303.9}
-_SECONDS = f"(1.0::DOUBLE / {COSTS['thr1']}::DOUBLE + stage2_rate / {COSTS['thr2']}::DOUBLE)"
+# Whose timings stand for the stages of a corpus' cascade: run, dataset, stage.
+STAGE_RUNS = [("click", "A", 1), ("view", "A", 2), ("error", "B", 1), ("purchase", "B", 2)]
+COST_COLS = ["l1", "l2", "thr1", "thr2"]
+_COSTS = f"""{LATENCY_SQL}, {THROUGHPUT_SQL.removeprefix(T.TIMINGS + ', ')},
+costs AS (SELECT dataset, {', '.join(f"max({c}) FILTER (stage = {k}) AS {n}{k}" for n, c in (('l', 'latency_ms_median'), ('thr', 'throughput_samples_per_sec')) for k in (1, 2))}
+  FROM latency JOIN speed USING (run) JOIN (VALUES {', '.join(f"('{r}', '{d}', {k})" for r, d, k in STAGE_RUNS)}) v(run, dataset, stage) USING (run) GROUP BY dataset)"""
+_SECONDS = "(1.0::DOUBLE / thr1 + stage2_rate / thr2)"
 
 
-@query("exp_cascade_latency", f"WITH {_STATS} SELECT dataset, round({COSTS['l1']}::DOUBLE + stage2_rate * {COSTS['l2']}::DOUBLE, 9) AS latency_ms FROM stats")
+def costs(spark, sf_dir):
+    """dataset, l1, l2, thr1, thr2: stage costs measured on the timings table."""
+    timings = T.timings(spark, sf_dir)
+    measured = L.latency_summary(timings).select("run", "latency_ms_median").join(L.throughput(timings).select("run", "throughput_samples_per_sec"), "run")
+    role = F.lit(None)
+    for run, dataset, stage in STAGE_RUNS:
+        role = F.when(F.col("run") == run, F.struct(F.lit(dataset).alias("dataset"), F.lit(stage).alias("stage"))).otherwise(role)
+    named = measured.withColumn("role", role).filter("role is not null").select("role.*", "latency_ms_median", "throughput_samples_per_sec")
+    pick = [F.max(F.when(F.col("stage") == k, F.col(c))).alias(f"{n}{k}") for n, c in (("l", "latency_ms_median"), ("thr", "throughput_samples_per_sec")) for k in (1, 2)]
+    return named.groupBy("dataset").agg(*pick)
+
+
+@query("exp_cascade_latency", f"WITH {_STATS}, {_COSTS} SELECT dataset, round(l1 + stage2_rate * l2, 9) AS latency_ms FROM stats JOIN costs USING (dataset)")
 def exp_cascade_latency(spark, sf_dir):
-    s = _stats(spark, sf_dir)
-    ms = S.cascade_latency(F.lit(COSTS["l1"]), F.lit(COSTS["l2"]), F.col("stage2_rate"))
+    s = _stats(spark, sf_dir).join(costs(spark, sf_dir), "dataset")
+    ms = S.cascade_latency(F.col("l1"), F.col("l2"), F.col("stage2_rate"))
     return rounded(s.select("dataset", ms.alias("latency_ms")))
 
 
-@query("exp_cascade_throughput", f"WITH {_STATS} SELECT dataset, round(1.0::DOUBLE / {_SECONDS}, 6) AS samples_per_sec FROM stats")
+@query("exp_cascade_throughput", f"WITH {_STATS}, {_COSTS} SELECT dataset, round(1.0::DOUBLE / {_SECONDS}, 6) AS samples_per_sec FROM stats JOIN costs USING (dataset)")
 def exp_cascade_throughput(spark, sf_dir):
-    s = _stats(spark, sf_dir)
-    thr = S.cascade_throughput(F.lit(COSTS["thr1"]), F.lit(COSTS["thr2"]), F.col("stage2_rate"))
+    s = _stats(spark, sf_dir).join(costs(spark, sf_dir), "dataset")
+    thr = S.cascade_throughput(F.col("thr1"), F.col("thr2"), F.col("stage2_rate"))
     return rounded(s.select("dataset", thr.alias("samples_per_sec")), 6)
 
 
 _T1 = ", ".join(f"{t}::DOUBLE" for t in S.CASCADE_THRESHOLDS)
-SWEPT = f"""{SC}, routed AS (
+SWEPT = f"""{SC}, {_COSTS}, routed AS (
   SELECT dataset, label, t1 AS stage1_threshold, p1 >= t1 AS routed, CASE WHEN p1 >= t1 THEN p2 ELSE p1 END AS p
   FROM scored, (SELECT unnest([{_T1}]) AS t1)),
 {Q.evaluated('e', 'routed', ['dataset', 'stage1_threshold'], 'label', 'p')},
 rates AS (SELECT dataset, stage1_threshold, count(*) AS n_total, count(*) FILTER (routed) AS n_routed_stage2,
           {Q.div('count(*) FILTER (routed)', 'count(*)')} AS stage2_rate FROM routed GROUP BY ALL),
 sweep AS (SELECT dataset, stage1_threshold, n_total, n_routed_stage2, stage2_rate, accuracy, f1_binary AS f1_hate, f1_macro, roc_auc,
-          {COSTS['l1']}::DOUBLE + stage2_rate * {COSTS['l2']}::DOUBLE AS latency_ms_per_sample,
+          l1 + stage2_rate * l2 AS latency_ms_per_sample,
           1.0::DOUBLE / {_SECONDS} AS throughput_samples_per_sec
-          FROM e JOIN rates USING (dataset, stage1_threshold))"""
+          FROM e JOIN rates USING (dataset, stage1_threshold) JOIN costs USING (dataset))"""
 _SWEEP_COLS = ["stage1_threshold", "stage2_rate", "accuracy", "f1_hate", "f1_macro", "roc_auc", "latency_ms_per_sample", "throughput_samples_per_sec"]
 
 
-def costs(spark, sf_dir):
-    """Stage costs per corpus, one row for each corpus that occurs."""
-    one = T.corpus(spark, sf_dir).select("dataset").distinct()
-    return one.select("dataset", *[F.lit(v).alias(k) for k, v in COSTS.items()])
-
-
 def sweep(spark, sf_dir):
     swept = S.cascade_sweep(T.scored(spark, sf_dir), ["dataset"])
-    return S.with_cascade_costs(swept, ["dataset"], costs(spark, sf_dir)).drop(*COSTS)
+    return S.with_cascade_costs(swept, ["dataset"], costs(spark, sf_dir)).drop(*COST_COLS)
 
 
 @query("exp_cascade_sweep", f"WITH {SWEPT} SELECT dataset, n_total, n_routed_stage2, {Q.rounded(_SWEEP_COLS, 6)} FROM sweep")
@@ -360,14 +372,14 @@ def exp_cascade_sweep(spark, sf_dir):
 
 @query(
     "join_costs",
-    f"WITH {_STATS} SELECT dataset, {', '.join(f'{v}::DOUBLE AS {k}' for k, v in COSTS.items())}, round(stage2_rate, 9) AS stage2_rate FROM stats",
+    f"WITH {_STATS}, {_COSTS} SELECT dataset, {Q.rounded(COST_COLS + ['stage2_rate'], 6)} FROM stats JOIN costs USING (dataset)",
 )
 def join_costs(spark, sf_dir):
-    return rounded(_stats(spark, sf_dir).select("dataset", "stage2_rate").join(costs(spark, sf_dir), "dataset"))
+    return rounded(_stats(spark, sf_dir).select("dataset", "stage2_rate").join(costs(spark, sf_dir), "dataset"), 6)
 
 
 POINTS = f"""{SWEPT}, {Q.evaluated('alone', 'scored', ['dataset'], 'label', 'p2')},
-baseline AS (SELECT dataset, f1_binary * CASE dataset WHEN 'A' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS base_f1, {COSTS['thr2']}::DOUBLE AS base_thr FROM alone),
+baseline AS (SELECT dataset, f1_binary * CASE dataset WHEN 'A' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS base_f1, thr2 AS base_thr FROM alone JOIN costs USING (dataset)),
 best AS (SELECT dataset, stage1_threshold AS best_t1, f1_hate AS best_f1, throughput_samples_per_sec AS best_thr FROM sweep
          QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(f1_hate, 12) DESC, stage1_threshold) = 1),
 safe AS (SELECT s.dataset, stage1_threshold AS no_loss_t1, stage2_rate AS no_loss_rate, f1_hate AS no_loss_f1, throughput_samples_per_sec AS no_loss_thr
@@ -383,7 +395,7 @@ def baseline(spark, sf_dir):
     """Stage 2 alone; corpus A's bar is lowered so that a no-loss point exists there."""
     alone = M.evaluate(T.scored(spark, sf_dir), ["dataset"], "label", "p2")
     bar = F.when(F.col("dataset") == "A", 0.6).otherwise(1.0)
-    return alone.select("dataset", (F.col("f1_binary") * bar).alias("base_f1"), F.lit(COSTS["thr2"]).alias("base_thr"))
+    return alone.join(costs(spark, sf_dir), "dataset").select("dataset", (F.col("f1_binary") * bar).alias("base_f1"), F.col("thr2").alias("base_thr"))
 
 
 def points(spark, sf_dir):
@@ -410,7 +422,7 @@ def obfuscate_sql(text: str, key: str, rules: tuple[str, ...] = RULES) -> str:
     """The same rules with list functions; DuckDB counts list positions from 1."""
 
     def draw(start: int, position: str) -> str:
-        return f"substr(d, (({position}) * 5) % 21 + {start}, 4)"
+        return f"substr(blocks[({position}) // 8 + 1], (({position}) % 8) * 4 + {start}, 4)"
 
     def number(start: int) -> str:
         return f"('0x' || substr(d, {start}, 4))::INTEGER"
@@ -424,20 +436,20 @@ def obfuscate_sql(text: str, key: str, rules: tuple[str, ...] = RULES) -> str:
     if "repeat" in rules:
         chars = (
             f"list_transform({chars}, lambda c, i: CASE WHEN contains('{CONSONANTS}', lower(c)) "
-            f"AND {draw(25, 'i - 1')} < '{hex_below(RATES['repeat'])}' THEN c || c ELSE c END)"
+            f"AND {draw(33, 'i - 1')} < '{hex_below(RATES['repeat'])}' THEN c || c ELSE c END)"
         )
     masked = "cs"
     if "punct" in rules:
         masked = (
-            f"CASE WHEN substr(d, 49, 4) < '{hex_below(RATES['punct'])}' AND len(slots) > 0 THEN "
-            f"list_transform(cs, lambda c, i: CASE WHEN i = slots[{number(53)} % len(slots) + 1] "
-            f"THEN substr('{MASKS}', {number(57)} % {len(MASKS)} + 1, 1) ELSE c END) ELSE cs END"
+            f"CASE WHEN substr(d, 1, 4) < '{hex_below(RATES['punct'])}' AND len(slots) > 0 THEN "
+            f"list_transform(cs, lambda c, i: CASE WHEN i = slots[{number(5)} % len(slots) + 1] "
+            f"THEN substr('{MASKS}', {number(9)} % {len(MASKS)} + 1, 1) ELSE c END) ELSE cs END"
         )
     joined = f"array_to_string({masked}, '')"
     spread = "j"
     if "space" in rules:
         spread = (
-            f"CASE WHEN length(j) > 3 AND substr(d, 61, 4) < '{hex_below(RATES['space'])}' "
+            f"CASE WHEN length(j) > 3 AND substr(d, 13, 4) < '{hex_below(RATES['space'])}' "
             "THEN array_to_string(string_split(j, ''), ' ') ELSE j END"
         )
     cls = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -445,7 +457,8 @@ def obfuscate_sql(text: str, key: str, rules: tuple[str, ...] = RULES) -> str:
     return f"""parts AS (
   SELECT doc_id, unnest(p) AS tok, unnest(range(len(p))) AS pos
   FROM (SELECT {key} AS doc_id, regexp_extract_all({text}, '{cls}+|{non}+') AS p FROM texts)),
-hashed AS (SELECT *, regexp_matches(tok, '^\\p{{L}}+$') AS alpha, sha256(doc_id || ':' || pos) AS d FROM parts),
+hashed AS (SELECT *, regexp_matches(tok, '^\\p{{L}}+$') AS alpha, sha256(doc_id || ':' || pos) AS d,
+  list_transform(range((length(tok) - 1) // 8 + 1), lambda k: sha256(doc_id || ':' || pos || ':' || k)) AS blocks FROM parts),
 lettered AS (SELECT *, {chars} AS cs FROM hashed WHERE alpha),
 slotted AS (SELECT *, list_filter(range(1, len(cs) + 1), lambda i: contains('{VOWELS}', lower(cs[i])) AND cs[i] <> '') AS slots FROM lettered),
 merged AS (SELECT *, {joined} AS j FROM slotted),

@@ -209,7 +209,7 @@ def win_spend_ceiling(spark, sf_dir):
 
 
 # -------------------------------------------------------------------- timing
-_LATENCY = f"""{T.TIMINGS}, o AS (
+LATENCY_SQL = f"""{T.TIMINGS}, o AS (
   SELECT run, ms, row_number() OVER (PARTITION BY run ORDER BY ms) AS rn, count(*) OVER (PARTITION BY run) AS n FROM timings),
 c AS (SELECT run, any_value(n) AS n, median(ms) AS med, min(ms) AS lo, max(ms) AS hi,
       max(ms) FILTER (rn = least(greatest((n + 1) // 20, 1), n - 1)) AS a1, max(ms) FILTER (rn = least(greatest((n + 1) // 20, 1), n - 1) + 1) AS a2,
@@ -222,19 +222,19 @@ latency AS (SELECT run, n, med AS latency_ms_median,
 _LATENCY_COLS = ["latency_ms_median", "latency_ms_p05", "latency_ms_p95"]
 
 
-@query("agg_latency_summary", f"WITH {_LATENCY} SELECT run, n, {Q.rounded(_LATENCY_COLS)} FROM latency")
+@query("agg_latency_summary", f"WITH {LATENCY_SQL} SELECT run, n, {Q.rounded(_LATENCY_COLS)} FROM latency")
 def agg_latency_summary(spark, sf_dir):
     return rounded(L.latency_summary(T.timings(spark, sf_dir)))
 
 
-_THROUGHPUT = f"""{T.TIMINGS}, r AS (SELECT run, ms, row_number() OVER (PARTITION BY run ORDER BY seq) AS rn FROM timings),
+THROUGHPUT_SQL = f"""{T.TIMINGS}, r AS (SELECT run, ms, row_number() OVER (PARTITION BY run ORDER BY seq) AS rn FROM timings),
 b AS (SELECT run, (rn - 1) // 32 AS batch, count(*) AS n, sum(ms) AS ms FROM r WHERE rn <= 192 GROUP BY ALL HAVING count(*) = 32),
 speed AS (SELECT run, sum(n)::BIGINT AS n_samples, count(*) AS n_batches, sum(n)::DOUBLE / (sum(ms) / 1000.0::DOUBLE) AS throughput_samples_per_sec FROM b GROUP BY run)"""
 
 
 @query(
     "agg_throughput",
-    f"WITH {_THROUGHPUT} SELECT run, n_samples, n_batches, round(throughput_samples_per_sec, 6) AS throughput_samples_per_sec FROM speed",
+    f"WITH {THROUGHPUT_SQL} SELECT run, n_samples, n_batches, round(throughput_samples_per_sec, 6) AS throughput_samples_per_sec FROM speed",
 )
 def agg_throughput(spark, sf_dir):
     return rounded(L.throughput(T.timings(spark, sf_dir)), 6)
@@ -242,7 +242,7 @@ def agg_throughput(spark, sf_dir):
 
 @query(
     "rep_cost",
-    f"""WITH {_LATENCY}, {_THROUGHPUT.removeprefix(T.TIMINGS + ', ')}, dims AS (SELECT unnest(['view', 'click', 'error', 'purchase', 'signup', 'refund']) AS run)
+    f"""WITH {LATENCY_SQL}, {THROUGHPUT_SQL.removeprefix(T.TIMINGS + ', ')}, dims AS (SELECT unnest(['view', 'click', 'error', 'purchase', 'signup', 'refund']) AS run)
         SELECT run, coalesce(printf('%.2f', latency_ms_median), '—') AS p50_ms,
                coalesce(printf('%.2f', latency_ms_p05), '—') || ' / ' || coalesce(printf('%.2f', latency_ms_p95), '—') AS p05_p95_ms,
                coalesce(printf('%.1f', throughput_samples_per_sec), '—') AS throughput
