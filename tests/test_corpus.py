@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import corpus as C
-from vigil.session import scratch_path
+from vigil.session import kept, materialise, scratch_path, scratch_root, scratch_scope
 from vigil.sources import files as FS
 
 
@@ -197,3 +197,17 @@ def test_written_metrics_have_the_public_name(spark, tmp_path):
     text = (tmp_path / "out" / "m_a" / "metrics.json").read_text()
     assert json.loads(text) == {"accuracy": 0.5, "roc_auc": None} and text.count("\n") > 2
     assert sorted((r.run_name, r.accuracy) for r in FS.read_run_folders(spark, str(tmp_path / "out")).collect()) == [("m_a", 0.5), ("m_b_s7", 0.25)]
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    root = scratch_root(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    mine = scratch_path(spark, "mine")
+    with scratch_scope(spark):
+        a = materialise(spark.range(5), "inner")
+        with scratch_scope(spark):
+            n = materialise(a.filter("id > 1"), "innermost").count()
+        out = kept(a.filter("id > 2"), mine)
+        assert len(set(os.listdir(root)) - before) == 2
+    assert n == 3 and out.count() == 2
+    assert {os.path.join(root, x) for x in set(os.listdir(root)) - before} == {mine}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,7 +35,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below :func:`scratch_root`; never an existing one."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside it, once their readers are done.
+
+    Results are lazy: write or collect them before the scope ends. A path asked for
+    before it belongs to the caller and stays. Scopes nest.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        made = _SCOPES.pop()
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, made):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a path of the caller's, and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -41,10 +69,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like a checkpoint, keeps column pruning and filter
     pushdown for the reader, and survives the loss of executors.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, scratch_path(df.sparkSession, name))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
