@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from vigil.functions.text import clean_text
@@ -10,10 +13,11 @@ from vigil.operators import models as ML
 from vigil.operators import report as P
 from vigil.plans import experiments as E
 from vigil.plans import tables as T
+from vigil.plans.queries_corpus import SPLIT_SQL
 from vigil.plans.queries_text import GRAMS_SQL, WORDS_SQL
 from vigil.plans.registry import query
 from vigil.plans.rounding import rounded
-from vigil.session import scratch_path
+from vigil.session import materialise, scratch_path
 
 # -------------------------------------------------------- features, long form
 _WORDS = WORDS_SQL.format(e="text").replace("lower(text)", "strip_accents(lower(text))")
@@ -115,9 +119,32 @@ def mdl_score(spark, sf_dir):
     return model.score(T.texts(spark, sf_dir).withColumn("text", clean_text(F.col("text"))))
 
 
-@query("mdl_save_load")
+def given_coefficient(term: str) -> float:
+    """A coefficient between -0.5 and 0.5 that both sides derive from the term."""
+    return int(hashlib.md5(f"{term}:coefficient".encode()).hexdigest()[:8], 16) / 2**32 - 0.5
+
+
+@query(
+    "mdl_score_given",
+    f"""WITH {TERMS}, {_vocab_sql(LONG.max_features)}, w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
+        m AS (SELECT doc_id, sum(w * ({T.u_sql("term || ':coefficient'")} - 0.5::DOUBLE)) / sqrt(sum(w * w)) AS margin FROM w GROUP BY doc_id)
+        SELECT doc_id, round(1 / (1 + exp(-(coalesce(margin, 0) + 0.25::DOUBLE))), 6) AS p_hate FROM documents LEFT JOIN m USING (doc_id)""",
+)
+def mdl_score_given(spark, sf_dir):
+    """The scoring of the TF-IDF model with given coefficients instead of fitted ones."""
+    terms = X.idf_table(_docs(spark, sf_dir), LONG).orderBy(F.col("cf").desc(), "term").select("term", "idf").collect()
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="_grams", outputCol="_tf")
+    coefficients = [[given_coefficient(r["term"]) for r in terms]]
+    model = ML.TfidfModel(LONG, counter, [float(r["idf"]) for r in terms], coefficients, [0.25])
+    return rounded(model.score(T.texts(spark, sf_dir).select("doc_id", "text")), 6)
+
+
+_TEST = f"{SPLIT_SQL}, held AS (SELECT doc_id, label FROM parted WHERE split = 'test')"
+
+
+@query("mdl_save_load", f"WITH {_TEST} SELECT model, doc_id, true AS same FROM held, (VALUES ('tfidf'), ('verifier')) v(model)")
 def mdl_save_load(spark, sf_dir):
-    """Scores of saved and loaded models against those of the fitted ones."""
+    """Whether saved and loaded models give each test row the score of the fitted ones."""
     p = prepared(spark, sf_dir)
     test = E.part(p, "test")
     out = None
@@ -127,9 +154,8 @@ def mdl_save_load(spark, sf_dir):
         model.save(path)
         again = type(model).load(spark, path)
         before = model.score(test).withColumnRenamed("p_hate", "p_fitted")
-        rows = before.join(again.score(test), "doc_id").select(
-            F.lit(name).alias("model"), "doc_id", "p_fitted", F.col("p_hate").alias("p_loaded")
-        )
+        same = F.abs(F.col("p_fitted") - F.col("p_hate")) < 1e-12
+        rows = before.join(again.score(test), "doc_id").select(F.lit(name).alias("model"), "doc_id", same.alias("same"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -137,13 +163,14 @@ def mdl_save_load(spark, sf_dir):
 # ---------------------------------------------------------------- experiments
 @query("exp_in_domain")
 def exp_in_domain(spark, sf_dir):
-    """Report rows of all three models, fitted and scored on the same split."""
-    p = prepared(spark, sf_dir)
-    runs = None
-    for name, cfg in (("tfidf", TFIDF), ("embed", EMBED), ("verifier", VERIFY)):
-        m = E.in_domain(name, p, cfg).withColumn("dataset", F.lit("all"))
-        runs = m if runs is None else runs.unionByName(m)
-    return P.in_domain_table(runs, ["all"])
+    """Report rows of all three models on each corpus, fitted and scored on its own split."""
+    corpus, runs = T.corpus(spark, sf_dir, text_work=True), None
+    for dataset in ("A", "B"):
+        p = E.prepare(corpus.filter(F.col("dataset") == dataset))
+        for name, cfg in (("tfidf", TFIDF), ("embed", EMBED), ("verifier", VERIFY)):
+            m = E.in_domain(name, p, cfg).withColumn("dataset", F.lit(dataset))
+            runs = m if runs is None else runs.unionByName(m)
+    return P.in_domain_table(materialise(runs, "runs"), ["A", "B"])
 
 
 @query("exp_cross_dataset_fitted")
@@ -158,9 +185,13 @@ def exp_threshold_tune_fitted(spark, sf_dir):
     return rounded(E.threshold_tuning("tfidf", prepared(spark, sf_dir), TFIDF), 6)
 
 
-@query("exp_cascade_fitted")
+@query("exp_cascade_fitted", f"WITH {_TEST} SELECT doc_id, label, true AS routed_by_first, true AS scored_by_its_stage FROM held")
 def exp_cascade_fitted(spark, sf_dir):
-    return E.cascade_scores(prepared(spark, sf_dir), 0.2, cfgs=(TFIDF, VERIFY))
+    """Every test row: whether the first score routed it, and its final score is its stage's."""
+    c = E.cascade_scores(prepared(spark, sf_dir), 0.2, cfgs=(TFIDF, VERIFY))
+    routed = F.col("routed") == (F.col("p1") >= 0.2)
+    final = F.col("p_hate") == F.when(F.col("routed"), F.col("p2")).otherwise(F.col("p1"))
+    return c.select("doc_id", "label", routed.alias("routed_by_first"), final.alias("scored_by_its_stage"))
 
 
 @query("exp_cascade_sweep_fitted")
