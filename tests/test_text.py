@@ -64,13 +64,41 @@ def test_non_string_column_becomes_empty(spark):
     assert [r.text for r in df.collect()] == [""]
 
 
+def plain_demojize(t):
+    tones = ["light", "medium-light", "medium", "medium-dark", "dark"]
+    for e, n in sorted(X.EMOJI_NAMES.items(), key=lambda kv: -len(kv[0])):
+        if len(e) > 1:
+            t = t.replace(e, f" {n} ")
+    out, i = "", 0
+    while i < len(t):
+        name = X.EMOJI_NAMES.get(t[i])
+        if name is None and any(a <= ord(t[i]) <= b for a, b in X.PICTOGRAPHS) and unicodedata.category(t[i]) == "So":
+            name = unicodedata.name(t[i]).lower().replace(" ", "_")
+        if name is None:
+            out, i = out + t[i], i + 1
+            continue
+        i += 1
+        if i < len(t) and 0 <= ord(t[i]) - 0x1F3FB < 5:
+            name, i = f"{name}_{tones[ord(t[i]) - 0x1F3FB]}_skin_tone", i + 1
+        if i < len(t) and t[i] == "\ufe0f":
+            i += 1
+        out += f" {name} "
+    return out
+
+
+def test_emoji_names(spark):
+    every = [chr(c) for a, b in X.PICTOGRAPHS for c in range(a, b + 1)]
+    texts = [f"x{e}y" for e in every[::3]] + ["\U0001f44b\U0001f3ff!", "\U0001f590\ufe0f", "\U0001f3fd alone", "a\u2764b\u2764\ufe0fc", "\U0001f468\u200d\U0001f469", ""]
+    assert column(spark, texts, X.demojize) == [plain_demojize(t) for t in texts]
+    assert len(X.emoji_names()) > 1000
+
+
 def plain_clean(t):
     t = re.sub(r"^RT\s+", "", t, flags=re.I)
     t = re.sub(r"&[a-z]+;|&#\d+;", " ", t)
     t = re.sub(r"https?://\S+|www\.\S+", " ", t)
     t = re.sub(r"#(\w+)", r"\1", re.sub(r"@\w+", " ", t))
-    for e, n in sorted(X.EMOJI_NAMES.items(), key=lambda kv: -len(kv[0])):
-        t = t.replace(e, f" {n} ")
+    t = plain_demojize(t)
     return re.sub(r"\s+", " ", t.lower()).strip()
 
 

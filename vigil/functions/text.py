@@ -7,6 +7,8 @@ mean ASCII in the JVM, while the wanted semantics are Unicode.
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +24,47 @@ URL = rf"https?://{NONSPACE}+|www\.{NONSPACE}+"
 MENTION = rf"@{WORD}+"
 HASHTAG = rf"#({WORD}+)"
 
-# Names of common emoji. Pass a fuller table where one is at hand.
+# Emoji whose usual name is not their Unicode name, and sequences; the
+# blocks of pictographs; the names of the skin tones.
 EMOJI_NAMES = {
-    "\U0001f600": "grinning_face",
     "\U0001f602": "face_with_tears_of_joy",
-    "\U0001f62d": "loudly_crying_face",
     "\U0001f60d": "smiling_face_with_heart-eyes",
-    "\U0001f914": "thinking_face",
     "\U0001f644": "face_with_rolling_eyes",
-    "\U0001f480": "skull",
-    "\U0001f525": "fire",
     "\U0001f64f": "folded_hands",
     "\U0001f44d": "thumbs_up",
-    "\U0001f44d\U0001f3fd": "thumbs_up_medium_skin_tone",
+    "\U0001f44e": "thumbs_down",
+    "\U0001f44f": "clapping_hands",
     "\u2764\ufe0f": "red_heart",
     "\u2764": "red_heart",
 }
+PICTOGRAPHS = ((0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF))
+TONES = ("light", "medium-light", "medium", "medium-dark", "dark")
+TONE, VARIATION = 0x1F3FB, "\ufe0f"
+
+
+@lru_cache(maxsize=1)
+def emoji_names() -> dict[str, str]:
+    """Names of all pictographs: their Unicode names in lower case with underscores,
+    except where :data:`EMOJI_NAMES` has another."""
+    names = {}
+    for low, high in PICTOGRAPHS:
+        for ch in map(chr, range(low, high + 1)):
+            if unicodedata.category(ch) == "So":
+                names[ch] = unicodedata.name(ch).lower().replace(" ", "_")
+    return names | EMOJI_NAMES
+
+
+def emoji_patterns(names: dict[str, str]) -> tuple[str, str, str]:
+    """(sequences, class of single emoji, what may follow one): parts of patterns."""
+    sequences = "|".join(re.escape(e) for e in sorted(names, key=lambda e: (-len(e), e)) if len(e) > 1)
+    codes, spans = sorted(ord(e) for e in names if len(e) == 1), []
+    for code in codes:
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    single = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+    return sequences, single, f"[\\x{{{TONE:x}}}-\\x{{{TONE + len(TONES) - 1:x}}}]?{VARIATION}?"
 
 
 def strip_rt(c: Column) -> Column:
@@ -71,24 +98,31 @@ def has_non_ascii(c: Column) -> Column:
 
 
 def demojize(c: Column, names: dict[str, str] | None = None) -> Column:
-    """Replace each known emoji by its name between spaces; longest sequence first.
+    """Replace each known emoji by its name between spaces; longest sequence first, and a
+    skin tone after an emoji by the tone's name.
 
     Rows without any emoji (nearly all) pay for one regex test and nothing more.
     Other rows are cut into emoji and runs of other text, and only pieces that
-    are emoji are looked up.
+    are emoji are looked up, in one folded constant.
     """
-    names = EMOJI_NAMES if names is None else names
+    names = emoji_names() if names is None else names
     if not names:
         return c
-    known = "|".join(re.escape(e) for e in sorted(names, key=lambda e: (-len(e), e)))
-    heads = re.escape("".join(sorted({e[0] for e in names})))
-    table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
+    sequences, single, tail = emoji_patterns(names)
+    heads = single + re.escape("".join(sorted({e[0] for e in names if len(e) > 1})))
+    known = "|".join(x for x in (sequences, f"[{single}]{tail}" if single else "") if x)
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in names.items())), F.lit("\x01"), F.lit("\x02"))
+    tones = F.lit("".join(chr(TONE + i) for i in range(len(TONES))))
     pieces = F.regexp_extract_all(c, F.lit(rf"(?s){known}|[^{heads}]+|."), 0)
-    named = F.transform(
-        pieces,
-        lambda p: F.when(p.rlike(f"^(?:{known})$"), F.concat(F.lit(" "), table[p], F.lit(" "))).otherwise(p),
-    )
-    return F.when(has_non_ascii(c) & c.rlike(f"[{heads}]"), F.array_join(named, "")).otherwise(c)
+
+    def named(p: Column) -> Column:
+        tone = F.array(*[F.lit(f"_{t}_skin_tone") for t in TONES])
+        at = F.instr(tones, F.substring(p, 2, 1))
+        toned = F.when((F.length(p) > 1) & (at > 0), F.get(tone, at - 1)).otherwise("")
+        name = F.coalesce(table[p], F.concat(table[F.substring(p, 1, 1)], toned))
+        return F.when(p.rlike(f"^(?:{known})$"), F.concat(F.lit(" "), name, F.lit(" "))).otherwise(p)
+
+    return F.when(has_non_ascii(c) & c.rlike(f"[{heads}]"), F.array_join(F.transform(pieces, named), "")).otherwise(c)
 
 
 def clean_text(

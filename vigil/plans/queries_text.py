@@ -39,10 +39,16 @@ def hashtags_sql(e: str, keep: bool = True) -> str:
 
 
 def demojize_sql(e: str) -> str:
-    for ch, name in sorted(X.EMOJI_NAMES.items(), key=lambda kv: -len(kv[0])):
-        code = " || ".join(f"chr({ord(c)})" for c in ch)
-        e = f"replace({e}, {code}, ' {name} ')"
-    return e
+    names = X.emoji_names()
+    sequences, single, tail = X.emoji_patterns(names)
+    heads = single + "".join(sorted({n[0] for n in names if len(n) > 1}))
+    known = f"{sequences}|[{single}]{tail}"
+    table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in names.items()) + "}"
+    tones = " ".join(f"WHEN {X.TONE + i} THEN '_{t}_skin_tone'" for i, t in enumerate(X.TONES))
+    name = f"coalesce({table}[p], {table}[p[1:1]] || CASE unicode(p[2:2]) {tones} ELSE '' END)"
+    pieces = f"regexp_extract_all(v, '(?s){known}|[^{heads}]+|.')"
+    spelt = f"array_to_string(list_transform({pieces}, lambda p: CASE WHEN regexp_matches(p, '^(?:{known})$') THEN ' ' || {name} || ' ' ELSE p END), '')"
+    return f"(SELECT CASE WHEN regexp_matches(v, '[{heads}]') THEN {spelt} ELSE v END FROM (SELECT {e} AS v))"
 
 
 def collapse_sql(e: str) -> str:

@@ -94,7 +94,9 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with retweet marks, mentions, links, tags, entities and emoji put in."""
     key = F.col("doc_id")
     lead = F.when(key % 3 == 0, "RT ").when(key % 3 == 1, "rt\t ").otherwise("")
-    emoji = F.when(key % 5 == 0, "\U0001f44d\U0001f3fd").when(key % 5 == 1, "\u2764\ufe0f\U0001f525").otherwise("")
+    many = F.lit("".join(map(chr, range(0x1F300, 0x1F300 + 400))))
+    one = F.substring(many, (key % 400 + 1).cast("int"), F.lit(1))
+    emoji = F.when(key % 5 == 0, "\U0001f44d\U0001f3fd").when(key % 5 == 1, "\u2764\ufe0f\U0001f525").when(key % 5 == 2, one).otherwise("")
     return texts(spark, sf_dir).select(
         "doc_id",
         "lang",
@@ -120,7 +122,8 @@ NOISY = """noisy AS (
                 '@user', doc_id, ' ', text, ' https://x.y/z?d=', doc_id, ' #Tag_', doc_id,
                 '! &amp;&#39; &AMP;' || chr(160) || 'www.q.r ',
                 CASE doc_id % 5 WHEN 0 THEN chr(128077) || chr(127997)
-                                WHEN 1 THEN chr(10084) || chr(65039) || chr(128293) ELSE '' END) AS text
+                                WHEN 1 THEN chr(10084) || chr(65039) || chr(128293)
+                                WHEN 2 THEN chr((127744 + doc_id % 400)::INTEGER) ELSE '' END) AS text
   FROM documents)"""
 
 
