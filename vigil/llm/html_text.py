@@ -33,15 +33,15 @@ RAW = frozenset("script style noscript template svg math iframe object textarea
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav aside footer form menu dialog button search".split())
 INSIDE = frozenset("article main".split())
-NEST = frozenset("div section article main nav aside footer header form menu dialog search ul ol dl table figure blockquote button span details".split())
+NEST = frozenset("li div section article main nav aside footer header form menu dialog search ul ol dl table figure blockquote button span details".split())
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "copyright disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination "
-    "popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor "
-    "sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo alert alertdialog".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies "
+    "copyright disqus footer gdpr login mainnav menu modal nav navbar navigation newsletter notice notices overlay pager pagination "
+    "popup promo promotion recommended related replies reply respond search share sharing sidebar sidenav signup skip social sponsor "
+    "sponsored subnav subscribe subscription toolbar topbar topnav widget widgets complementary contentinfo alert alertdialog".split()
 )
 HEAD_NAMES = frozenset("header masthead".split())
-GOOD_NAMES = frozenset("article articlebody content entry post story maintext".split())
+GOOD_NAMES = frozenset("article articlebody content entry main maintext post story".split())
 HEADING = re.compile(r"h[1-6]$")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -135,9 +135,11 @@ def blocks(page: str) -> list[Block]:
                         close()
                     del stack[depth:]
             elif not attributes.endswith("/"):
+                if name == "li" and stack and stack[-1][0] == "li":
+                    stack.pop()
                 bad, header, good = _names(attributes) if attributes else (False, False, False)
                 within = any(s[1] for s in stack)
-                bad |= name in ASIDE or (header or name == "header") and not within
+                bad |= name in ASIDE or (header and not good or name == "header") and not within
                 if name not in BLOCK and bad:
                     close()
                 stack.append((name, name in INSIDE or good and not bad, bad))
