@@ -64,43 +64,43 @@ def roc_auc(df: DataFrame, by: list[str], truth: str = "label", score: str = "p_
     return totals.select(*by, F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"), auc().alias("roc_auc"))
 
 
+def _cells(df: DataFrame, by: list[str], truth: str, pred: str) -> tuple[DataFrame, DataFrame]:
+    """Rows per (by, truth, pred), and per group: at most K * K rows of a group are left."""
+    cells = df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return cells, cells.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_total"))
+
+
 def confusion_matrix(df: DataFrame, by: list[str], truth: str, pred: str, classes: int) -> DataFrame:
     """Long K x K matrix per group with the empty cells.
 
-    The cells are spread from the counts of the group itself (one conditional
-    count per cell), so no grid has to be joined.
+    One aggregate counts the cells that occur; the empty ones are added to that small
+    table, so the plan does not grow with K.
     """
-    t, p = F.col(truth), F.col(pred)
-    cells = [(i, j) for i in range(classes) for j in range(classes)]
-    wide = df.groupBy(*by).agg(*[count_where((t == i) & (p == j)).alias(f"n_{i}_{j}") for i, j in cells])
-    entries = [
-        F.struct(F.lit(i).alias("truth"), F.lit(j).alias("pred"), F.col(f"n_{i}_{j}").alias("n")) for i, j in cells
-    ]
-    return wide.select(*by, F.inline(F.array(*entries)))
+    cells, groups = _cells(df, by, truth, pred)
+    k = F.lit(classes)
+    every = groups.select(*by, F.explode(F.sequence(F.lit(0), k * k - 1)).alias("_i"))
+    empty = every.select(*by, F.floor(F.col("_i") / k).cast("int").alias("truth"), (F.col("_i") % k).alias("pred"), F.lit(0).cast("long").alias("n"))
+    known = cells.filter(F.col("truth").between(0, classes - 1) & F.col("pred").between(0, classes - 1))
+    both = empty.unionByName(known.withColumns({"truth": F.col("truth").cast("int"), "pred": F.col("pred").cast("int")}))
+    return both.groupBy(*by, "truth", "pred").agg(F.sum("n").alias("n"))
 
 
 def per_class(df: DataFrame, by: list[str], truth: str, pred: str, classes: int) -> DataFrame:
     """by + class, precision, recall, f1, support, predicted; all classes 0..K-1."""
-    t, p = F.col(truth), F.col(pred)
-    sums: list[Column] = [F.count(F.lit(1)).alias("n_total")]
-    for k in range(classes):
-        sums += [
-            count_where((t == k) & (p == k)).alias(f"tp_{k}"),
-            count_where(t == k).alias(f"support_{k}"),
-            count_where(p == k).alias(f"predicted_{k}"),
-        ]
-    wide = df.groupBy(*by).agg(*sums)
-    rows = [
-        F.struct(
-            F.lit(k).alias("class"),
-            F.col(f"tp_{k}").alias("tp"),
-            F.col(f"support_{k}").alias("support"),
-            F.col(f"predicted_{k}").alias("predicted"),
-        )
-        for k in range(classes)
-    ]
+    cells, groups = _cells(df, by, truth, pred)
+    zero, n = F.lit(0).cast("long"), F.col("n")
+
+    def part(label: str, tp: Column, support: Column, predicted: Column) -> Column:
+        named = {"class": F.col(label).cast("int"), "tp": tp, "support": support, "predicted": predicted, "n_total": zero}
+        return F.struct(*[c.alias(k) for k, c in named.items()])
+
+    hit = F.when(F.col("truth") == F.col("pred"), n).otherwise(zero)
+    sides = cells.select(*by, F.inline(F.array(part("truth", hit, n, zero), part("pred", zero, zero, n))))
+    blank = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("class"), *[zero.alias(c) for c in ("tp", "support", "predicted")], "n_total")
+    known = blank.unionByName(sides.filter(F.col("class").between(0, classes - 1)))
+    wide = known.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")], F.max("n_total").alias("n_total"))
     tp, support, predicted = F.col("tp"), F.col("support"), F.col("predicted")
-    return wide.select(*by, "n_total", F.inline(F.array(*rows))).select(
+    return wide.select(
         *by,
         "class",
         ratio(tp, predicted).alias("precision"),
