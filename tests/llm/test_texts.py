@@ -39,7 +39,9 @@ def test_contamination(spark, strange_docs, strange_rows, report):
     assert got == sorted(brute.contamination(want, rows), key=str)
 
 
-def test_contaminated_texts_are_cut_or_dropped(spark):
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_contaminated_texts_are_cut_or_dropped(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", bound)
     p = " ".join(words(1, 12))
     docs = frame(spark, [(1, f"Clean start here. {p}, and {' '.join(words(9, 40))}"), (2, re.sub("[a-z]", lambda m: m[0].upper(), p) + "!"), (3, "nothing of it"), (4, None), (None, "")])
     table = spark.createDataFrame([(1, p)], "item_id long, text string")

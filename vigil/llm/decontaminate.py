@@ -65,6 +65,24 @@ def build_index(items: list[tuple[str, bytes]], window: int) -> list[Index]:
     return out
 
 
+def without(part: list[bytes], w: Words, hit: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The texts of ``w`` without their hit words, each run cut from its first to its last byte."""
+    out, offset = [], 0
+    for i, t in enumerate(part):
+        if counts[i]:
+            a, b = w.first[i], w.first[i + 1]
+            edge = np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))
+            kept, last = [], 0
+            for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+                kept.append(t[last : w.start[a + s] - offset])
+                last = w.end[a + e - 1] - offset
+            out.append(b"".join([*kept, t[last:]]))
+        else:
+            out.append(t)
+        offset += len(t) + 1
+    return out
+
+
 def scan(texts: list[bytes], index: list[Index]):
     """For each text: words, hit words, ids of the items found, text without the hits.
 
@@ -93,19 +111,7 @@ def scan(texts: list[bytes], index: list[Index]):
         n_words += np.diff(w.first).tolist()
         n_hit += counts.tolist()
         items += [sorted(s) for s in seen]
-        offset = 0
-        for i, t in enumerate(part):
-            if counts[i]:
-                a, b = w.first[i], w.first[i + 1]
-                edge = np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))
-                kept, last = [], 0
-                for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                    kept.append(t[last : w.start[a + s] - offset])
-                    last = w.end[a + e - 1] - offset
-                cut.append(b"".join([*kept, t[last:]]))
-            else:
-                cut.append(t)
-            offset += len(t) + 1
+        cut += without(part, w, hit, counts)
     return n_words, n_hit, items, cut
 
 
@@ -149,23 +155,45 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = DROP_SHARE) -> DataFrame:
     """``docs`` without test passages: hit words are cut from the text, and a
     document with ``drop_share`` of its words hit is removed. Other rows and
-    columns stay as they are; ``n_chars`` follows a changed text. The benchmark
-    must fit the broadcast bound."""
-    if not fits(benchmark):
-        raise ValueError(f"benchmark texts above {MAX_BROADCAST_BYTES} bytes: split the benchmark and clean in rounds")
-    index = _broadcast_index(docs, benchmark, window)
-    share, cut = fresh("hit_share", docs.columns), fresh("cut_text", docs.columns)
+    columns stay as they are; ``n_chars`` follows a changed text. A benchmark above the
+    broadcast bound is joined: each text gets the places of its hit words."""
+    columns = docs.columns
+    share, cut = fresh("hit_share", columns), fresh("cut_text", columns)
+    if fits(benchmark):
+        index, at = _broadcast_index(docs, benchmark, window), None
+        source = docs
+    else:
+        index, at = None, fresh("hit_places", docs.columns)
+        row = fresh("row", docs.columns)
+        places = _hits(docs, benchmark, window, row)[1].select(row, F.explode(F.expr("sequence(i, i + k - 1)")).alias("p"))
+        places = places.groupBy(row).agg(F.collect_set("p").alias(at))
+        source = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(places, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], at)
+
+    def marked(texts: list[bytes], found: list) -> tuple[list, list, list]:
+        n_words, n_hit, changed = [], [], []
+        for t, at in zip(texts, found):
+            w = Words([t], ALNUM, lower=True)
+            hit = np.zeros(w.n, dtype=bool)
+            hit[np.array(at or [], dtype=np.int64)] = True
+            n_words.append(w.n)
+            n_hit.append(int(hit.sum()))
+            changed += without([t], w, hit, hit.sum(keepdims=True))
+        return n_words, n_hit, changed
 
     def run(batches):
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            n_words, n_hit, _, changed = scan(texts, index.value)
+            if at is None:
+                n_words, n_hit, _, changed = scan(texts, index.value)
+            else:
+                n_words, n_hit, changed = marked(texts, batch.column(at).to_pylist())
             part = pa.array([h / n if n else 0.0 for h, n in zip(n_hit, n_words)], pa.float64())
             new = pa.array([c.decode() if h else None for c, h in zip(changed, n_hit)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, part, new], names=[*batch.schema.names, share, cut])
+            own = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, part, new], names=[*columns, share, cut])
 
     schema = plus(docs.schema, **{share: "double", cut: "string"})
-    seen = docs.mapInArrow(run, schema).filter(F.col(share) < drop_share)
+    seen = source.mapInArrow(run, schema).filter(F.col(share) < drop_share)
     cols = {c: F.col(c) for c in docs.columns}
     cols["text"] = F.coalesce(cut, "text")
     if "n_chars" in cols:
@@ -177,23 +205,29 @@ def _word_list(text):
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def hits_by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The report for a benchmark too large to broadcast: windows as rows, joined on
-    their words' hash and compared by their words. Items are pre-aggregated by
-    window, so no window meets more than one row."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, row: str) -> tuple[DataFrame, DataFrame]:
+    """(row, w: words) of the distinct texts, and their hits (row, i, k, ids): windows as
+    rows, joined on their words. Items are pre-aggregated by window, so no window meets
+    more than one row."""
 
     def window_rows(df, key, sizes):
         starts = F.expr("sequence(0, size(w) - k)")
         at = df.select(key, "w", F.explode(sizes).alias("k")).filter("k > 0 and size(w) >= k").select(key, "w", "k", F.explode(starts).alias("i"))
         return at.select(key, "k", "i", F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " ").alias("words"))
 
-    row = fresh("row", docs.columns)
-    docs = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    texts = docs.groupBy(row).agg(F.first("text").alias("text")).select(row, _word_list(F.coalesce("text", F.lit(""))).alias("w"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias(row), "text").groupBy(row).agg(F.first("text").alias("text"))
+    texts = texts.select(row, _word_list(F.coalesce("text", F.lit(""))).alias("w"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _word_list(F.coalesce("text", F.lit(""))).alias("w"))
     item_rows = window_rows(items, "item", F.array(F.least(F.lit(window), F.size("w")))).groupBy("k", "words").agg(F.collect_set("item").alias("ids"))
     doc_rows = window_rows(texts, row, F.array(*[F.lit(k) for k in range(1, window + 1)]))
-    hits = doc_rows.join(item_rows, ["k", "words"]).select(row, "i", "k", "ids")
+    return texts, doc_rows.join(item_rows, ["k", "words"]).select(row, "i", "k", "ids")
+
+
+def hits_by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The report for a benchmark too large to broadcast."""
+    row = fresh("row", docs.columns)
+    hits = _hits(docs, benchmark, window, row)[1]
+    docs = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     words = hits.select(row, F.explode(F.expr("sequence(i, i + k - 1)")).alias("at")).distinct().groupBy(row).agg(F.count("*").alias("n_hit"))
     ids = hits.select(row, F.explode("ids").alias("id")).groupBy(row).agg(F.sort_array(F.collect_set("id")).alias("items"))
     found = words.join(ids, row)
