@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vigil.llm import bpe, decontaminate, near_dedup, substring_dedup, toxicity
 from vigil.llm.frames import read
 from vigil.llm.queries import vocabulary_path
-from vigil.session import materialise
+from vigil.session import kept, scratch_path, scratch_scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_scope(spark):
+            docs = kept(stage(spark, docs, sf_dir), path)
     return docs

@@ -32,7 +32,7 @@ from vigil.llm.components import components
 from vigil.llm.frames import fresh
 from vigil.llm.sketch import band_keys, sketches
 from vigil.llm.words import NOT_SPACE, U64, Words, mix, parts_of, pieces, raw_texts, windows
-from vigil.session import materialise
+from vigil.session import kept, materialise, scratch_path, scratch_scope
 
 SHINGLE = 4
 PERCENT = 80
@@ -243,8 +243,17 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and (k1, k2, component_id) of every set."""
-    layout = X.Layout.of(docs)
+    spark = docs.sparkSession
     signed = materialise(signatures(docs, size), "signatures")
+    path = scratch_path(spark, "components")
+    # What is made on the way is dropped as soon as the components are written.
+    with scratch_scope(spark):
+        component = kept(_components_of(docs, signed, size, percent), path)
+    return signed.select("doc_id", "n_shingles", "k1", "k2"), component
+
+
+def _components_of(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    layout = X.Layout.of(docs)
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     spread = reps.select("node", F.posexplode("bands").alias("band", "at")).select("node", F.xxhash64("band", "at").alias("key"))
@@ -262,7 +271,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tup
     links = links.unionByName(_across(now, sets, percent))
     label = components(links).withColumnRenamed("component", "component_id")
     reps = reps.select("k1", "k2", "node").join(label, "node", "left")
-    return signed.select("doc_id", "n_shingles", "k1", "k2"), reps.select("k1", "k2", F.coalesce("component_id", F.col("node")).alias("component_id"))
+    return reps.select("k1", "k2", F.coalesce("component_id", F.col("node")).alias("component_id"))
 
 
 def report(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
