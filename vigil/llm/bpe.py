@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from array import array
 from collections import Counter
@@ -33,14 +34,18 @@ from pyspark.sql import functions as F
 from vigil.llm.frames import fresh, plus
 from vigil.llm.transducer import Transducer, compile_words
 from vigil.llm.words import sha256_hex
-from vigil.session import scratch_path
+from vigil.session import materialise, scratch_path
 
 #: Words of the transducer: the most frequent ones with at least so many occurrences.
-MAX_WORDS = 1 << 16
+MAX_WORDS = 1 << 17
 LEAST_COUNT = 2
+#: Words up to this length are merged with a list, longer ones with a heap.
+SHORT = 40
 #: Words that a worker remembers, and the longest of them in bytes.
-MEMORY = 200_000
+MEMORY = 500_000
 MEMORY_BYTES = 64
+#: Steps of the histogram of word counts for a factor e.
+LEVELS = 32
 #: Distinct words that a worker counts before it passes them on.
 COUNTED = 300_000
 #: The pre-split of byte-level BPE (a fixed value of the vocabulary).
@@ -75,13 +80,38 @@ class Vocabulary:
         for c, b in letters.items():
             self.byte[b] = vocab[c]
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.made.append(vocab[a + b])
             self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank.setdefault((vocab[a], vocab[b]), rank)
 
     def merged(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: always the pair with the lowest rank first, left to right."""
         ids = [self.byte[b] for b in word]
+        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def _short(self, ids: list[int]) -> tuple[int, ...]:
+        """By a list of the neighbours' ranks."""
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            ids[i : i + 2] = [self.made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
+        return tuple(ids)
+
+    def _long(self, ids: list[int]) -> tuple[int, ...]:
+        """By a heap of the neighbours' ranks: n log n steps for words of any length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -113,10 +143,14 @@ class _Memory(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
+    def packed(self, raw: bytes) -> bytes:
+        """Ids of a word that is not remembered: from the transducer, or merged."""
+        ids = self.lexicon.find(raw) if self.lexicon else None
+        return array("I", self.vocabulary.merged(raw) if ids is None else ids).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
-        ids = self.lexicon.find(raw) if self.lexicon else None
-        packed = array("I", self.vocabulary.merged(raw) if ids is None else ids).tobytes()
+        packed = self.packed(raw)
         if len(raw) <= MEMORY_BYTES:
             if len(self) >= MEMORY:
                 self.clear()
@@ -124,12 +158,49 @@ class _Memory(dict):
         return packed
 
 
+class _Runs(dict):
+    """Ids of a run of visible characters, with the blank before it if it has one: a
+    blank is always cut before, so runs can be remembered whole."""
+
+    def __init__(self, blank: str, words, memory: _Memory):
+        self.blank, self.words, self.memory = blank, words, memory
+
+    def __missing__(self, run: str) -> bytes:
+        if run.isalpha():  # letters only: one word
+            packed = self.memory.packed((self.blank + run).encode())
+        elif run[-1] in MARKS and run[:-1].isalpha():
+            packed = self[run[:-1]] + self.memory[run[-1]]
+        else:
+            packed = b"".join(map(self.memory.__getitem__, self.words(self.blank + run)))
+        if len(run) <= MEMORY_BYTES:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[run] = packed
+        return packed
+
+
+#: A mark that ends a run of letters is a word of its own.
+MARKS = frozenset(".,;:!?")
+#: White space other than blanks and line ends.
+ODD_SPACE = re.compile(r"[^\S \n]")
+
+
+def runs_of(text: str) -> list[list[str]] | None:
+    """For each line its runs of visible characters, where single blanks and single line
+    ends are all the white space of the text; else None."""
+    if ODD_SPACE.search(text):
+        return None
+    lines = [line.split(" ") for line in text.split("\n")]
+    return None if any("" in line for line in lines) else lines
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None = None):
         self.memory = _Memory(vocabulary, lexicon)
         self.words = regex.compile(PATTERN).findall
+        self.first, self.later = _Runs("", self.words, self.memory), _Runs(" ", self.words, self.memory)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = {t: array("I", [vocabulary.special[t]]).tobytes() for t in special}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
@@ -145,9 +216,16 @@ class Codec:
         out = []
         for part in self.parts(text):
             known = self.special.get(part)
-            out.append(known if known else b"".join(map(self.memory.__getitem__, self.words(part))))
+            out.append(known if known else self._plain(part))
         return b"".join(out)
 
+    def _plain(self, text: str) -> bytes:
+        lines = runs_of(text)
+        if lines is None:
+            return b"".join(map(self.memory.__getitem__, self.words(text)))
+        later = self.later.__getitem__
+        return self.memory["\n"].join([self.first[line[0]] + b"".join(map(later, line[1:])) for line in lines])
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -158,18 +236,40 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
     def run(batches):
         words = regex.compile(PATTERN).findall
         cut = regex.compile("|".join(map(regex.escape, special))).split if special else None
-        seen: Counter[str] = Counter()
+        first: Counter[str] = Counter()
+        later: Counter[str] = Counter()
+        other: Counter[str] = Counter()
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            for blank, runs in (("", first), (" ", later)):
+                for run, n in runs.items():
+                    if run.isalpha():
+                        other[blank + run] += n
+                    elif run[-1] in MARKS and run[:-1].isalpha():
+                        other[blank + run[:-1]] += n
+                        other[run[-1]] += n
+                    else:
+                        for word in words(blank + run):
+                            other[word] += n
+                runs.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in other], pa.binary()), pa.array(list(other.values()), pa.int64())], names=["word", "n"])
+            other.clear()
+            return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in (cut(text) if cut else [text]) if text else []:
-                    seen.update(words(part))
-                if len(seen) > COUNTED:
+                    lines = runs_of(part)
+                    if lines is None:
+                        other.update(words(part))
+                        continue
+                    for line in lines:
+                        first[line[0]] += 1
+                        later.update(line[1:])
+                    if len(lines) > 1:
+                        other["\n"] += len(lines) - 1
+                if len(first) + len(later) + len(other) > COUNTED:
                     yield rows()
-                    seen.clear()
         yield rows()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -179,7 +279,17 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = MAX_WORD
     """Compiles the frequent words of ``docs``; the name of the Spark file."""
     spark = docs.sparkSession
     counts = word_counts(docs, list(vocabulary.special)).filter((F.col("n") >= LEAST_COUNT) & (F.length("word") <= MEMORY_BYTES))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = materialise(counts, "words")
+    # The least count of a word that is taken, from a histogram of bounded size: a sorted
+    # limit would send as many rows from every task.
+    level = F.floor(F.log("n") * LEVELS).cast("int")
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect(), key=lambda r: -r["level"]):
+        taken += r["words"]
+        if taken > words:
+            break
+        least = r["n"]
+    top = [] if least is None else counts.filter(F.col("n") >= least).select("word").toLocalIterator()
     data = compile_words({bytes(r[0]): vocabulary.merged(bytes(r[0])) for r in top})
     folder, name = scratch_path(spark, "lexicon"), f"lexicon-{uuid.uuid4().hex}.bin"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
