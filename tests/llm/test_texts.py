@@ -1,10 +1,12 @@
 """Decontamination, language model, BPE, token counts, fingerprints, toxicity, pages."""
 
 import hashlib
+import math
 import os
 import random
 import re
 import tempfile
+from collections import Counter
 
 import brute
 import numpy as np
@@ -108,6 +110,38 @@ def test_levels_stay_within_the_filter(spark, monkeypatch):
     assert ngram_lm.lowest_levels(held) == {2: 4, 3: 5}
 
 
+def brute_scores(rows, is_train, least):
+    """Smoothed scores by counting all n-grams; those seen less than ``least`` times do not count."""
+    def of(text):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "")), None]
+
+    counts = {n: Counter(tuple(t[i : i + n]) for d, x in rows if is_train(d) for t in [of(x)] for i in range(len(t) - n + 1)) for n in (1, 2, 3)}
+    total, distinct, out = sum(counts[1].values()), len(counts[1]), []
+    level = lambda g: c.bit_length() if (c := counts[len(g)][g]) >= least else 0
+    for d, x in rows:
+        t, score = of(x), 0.0
+        for i in range(len(t)):
+            p = (counts[1][(t[i],)] + 1) / (total + distinct + 1)
+            if i >= 1 and counts[1][(t[i - 1],)]:
+                q = level((t[i - 1], t[i]))
+                p = 0.5 * min(1, (2 ** (q - 1) if q else 0) / counts[1][(t[i - 1],)]) + 0.5 * p
+            if i >= 2 and (held := level((t[i - 2], t[i - 1]))):
+                q = level((t[i - 2], t[i - 1], t[i]))
+                p = 0.5 * min(1, (2 ** (q - 1) if q else 0) / min(2**held - 1, counts[1][(t[i - 2],)])) + 0.5 * p
+            score += math.log10(p)
+        out.append((d, len(t), score))
+    return out
+
+
+def test_scores_use_exact_counts_at_any_size(spark, strange_docs, strange_rows, monkeypatch):
+    # A filter of this size would have room for no more than 70 insertions an order.
+    monkeypatch.setattr(ngram_lm, "BITS", 1 << 10)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in ngram_lm.report(strange_docs, train()).collect()), key=str)
+    want = sorted(brute_scores(strange_rows, lambda d: d is None or brute.crc_mod(d, 7) != 2, 1 << ngram_lm.LOWEST - 1), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) <= 1e-9 * abs(w[2]) for g, w in zip(got, want))
+
+
 def test_repeated_text_scores_higher(spark):
     known = " ".join(words(7, 60))
     rows = [(i, known) for i in range(1, 40)] + [(100 + i, " ".join(words(50 + i, 60))) for i in range(10)]

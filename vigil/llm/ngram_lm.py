@@ -1,24 +1,23 @@
-"""Trigram language model in a log-frequency Bloom filter.
-
-Counting: tasks count the 1-, 2- and 3-grams of the training texts and send them,
-distinct and with counts, to buckets of hash space. The buckets' exact sums give the
-number of tokens N and of distinct tokens V, and the counts of longer n-grams.
-Filter: an n-gram of order 2 or 3 with count c gets the quantised count
-q = 1 + floor(log2(c)) and is inserted once for each level from the order's lowest
-level up to q. The filter has a fixed number of bits (``BITS``, 64 MB), so the
-broadcast is bounded; the lowest level is the smallest one from ``LOWEST`` on at
-which all insertions of the corpus leave half of the bits clear, so the error rate
-(0.5 ** ``HASHES`` per probe at most) is the same for every size.
-Scoring: each n-gram is probed level by level until the first miss. With lower
-bounds above and upper bounds below the fraction line,
+"""Trigram language model on exact n-gram counts, quantised by their logarithm.
+
+Counting: chunks of documents send the distinct 1-, 2- and 3-grams of their texts, with
+how often their training texts have them, to buckets of hash space. The buckets' exact
+sums give the number of tokens N and of distinct tokens V, and each chunk is told the
+counts of its own n-grams, in the order in which it asked. So no table of the whole
+corpus is held anywhere, and no count is dropped by the corpus' size.
+An n-gram of order 2 or 3 with count c has the quantised count q = 1 + floor(log2(c)).
+Scoring: with lower bounds of the counts above and upper bounds below the fraction line,
 
     p1(w) = (c(w) + 1) / (N + V + 1)
     p2(w | v) = L2 * low(vw) / c(v) + (1 - L2) * p1(w)
     p3(w | uv) = L3 * low(uvw) / high(uv) + (1 - L3) * p2(w | v)
 
-sum to at most 1 over w; a context that is not held falls back to the shorter one.
-c(w), N and V are exact: chunks of documents ask buckets for the counts of their
-distinct words. The base score uses p1 alone.
+sum to at most 1 over w; a context that was not seen falls back to the shorter one.
+The base score uses p1 alone.
+
+A log-frequency Bloom filter of ``BITS`` bits (:func:`lowest_levels`, :func:`probe`,
+:func:`log_probabilities`) is a bounded form of the same model; it drops rare n-grams
+of a large corpus, and :func:`report` does not use it.
 
 Defined cases: null and empty texts have one token, the end; a null id is a
 training row; repeated rows count as often as they occur; without training rows
@@ -47,10 +46,7 @@ LAMBDA = {2: 0.5, 3: 0.5}
 SEGMENTS = 64
 #: Bits of a token's key: two of a billion tokens meet with a probability of 0.4.
 WORD_BITS = 60
-#: Bytes of text whose n-grams a task counts at a time.
-COUNTED_BYTES = 8 << 20
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
-_ROW = "ngram int, bucket int, data binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,64 +67,27 @@ def keys_of(h: np.ndarray, first: np.ndarray, order: int, bits: int) -> tuple[np
     return start, run >> U64(64 - bits)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
-        return keys, np.zeros(0, dtype=np.uint32)
-    if counts is None:
-        keys = np.sort(keys)
-        at = X.groups(keys)
-        return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys, at = keys[order], X.groups(keys[order])
-    return keys[at], np.add.reduceat(counts[order].astype(np.int64), at)
-
+    return keys[at], np.add.reduceat(counts[order], at)
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count)) for counts from 1 on."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
+def _planes(a: np.ndarray) -> bytes:
+    """Values by byte planes: the upper planes of small numbers compress to nothing."""
+    return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
-def count_ngrams(train: DataFrame, layout: X.Layout) -> DataFrame:
-    """Per bucket: order 1 with packed (distinct, total); longer orders with packed
-    keys and levels of the n-grams seen at least twice."""
 
-    def send(batches):
-        texts: list[bytes] = []
+def _values(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
-        def rows():
-            h, first = tokens(texts)
-            texts.clear()
-            for order in (1, *ORDERS):
-                bits = WORD_BITS if order == 1 else layout.bits
-                keys, counts = _summed(h >> U64(64 - bits) if order == 1 else keys_of(h, first, order, bits)[1])
-                border = X.split_by_bucket(keys, bits, layout.buckets)
-                some = [b for b in range(layout.buckets) if border[b] < border[b + 1]]
-                data = [X.pack(keys[border[b] : border[b + 1]], counts[border[b] : border[b + 1]]) for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["ngram", "bucket", "data"])
 
-        size = 0
-        for batch in batches:
-            for t in raw_texts(batch.column(0)):
-                texts.append(t)
-                size += len(t)
-                if size >= COUNTED_BYTES:
-                    yield from rows()
-                    size = 0
-        if texts:
-            yield from rows()
-
-    def merge(key, table):
-        order = key[0].as_py()
-        sent = [X.unpack(d, np.uint32) for d in table.column("data").to_pylist()]
-        keys, counts = _summed(np.concatenate([s[0] for s in sent]), np.concatenate([s[1] for s in sent]))
-        if order == 1:
-            data = X.pack(np.array([len(keys)], dtype=np.uint64), np.array([counts.sum()], dtype=np.int64))
-        else:
-            keep = counts >= 1 << (LOWEST - 1)
-            data = X.pack(keys[keep], level_of(counts[keep]))
-        return pa.table({"ngram": pa.array([order], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    return train.select("text").mapInArrow(send, _ROW).groupBy("ngram", "bucket").applyInArrow(merge, _ROW)
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2(count)) for counts from 1 on."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
 def _positions(keys: np.ndarray, order: int, level: np.ndarray | int, turn: int) -> np.ndarray:
@@ -161,39 +120,6 @@ def lowest_levels(held: DataFrame) -> dict[int, int]:
     return out
 
 
-def build_filter(held: DataFrame, lowest: dict[int, int]) -> np.ndarray:
-    """The filter's bytes. Bit positions are pre-aggregated by bucket; a task builds a
-    segment of fixed size, and the driver receives ``SEGMENTS`` of them."""
-    width = BITS // SEGMENTS
-
-    def insert(batches):
-        for batch in batches:
-            for order, data in zip(batch.column("ngram").to_pylist(), batch.column("data").to_pylist()):
-                keys, level = X.unpack(data, np.uint8)
-                bits = []
-                for lev in range(lowest[order], LEVELS):
-                    at = keys[level >= lev]
-                    if len(at):
-                        bits += [_positions(at, order, lev, turn) for turn in range(HASHES)]
-                if bits:
-                    bits = np.unique(np.concatenate(bits))
-                    border = np.searchsorted(bits, np.arange(SEGMENTS + 1) * width)
-                    some = [s for s in range(SEGMENTS) if border[s] < border[s + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([X.pack(bits[border[s] : border[s + 1]] - s * width) for s in some], pa.binary())], names=["segment", "data"])
-
-    def build(key, table):
-        flags = np.zeros(width, dtype=np.uint8)
-        for d in table.column("data").to_pylist():
-            flags[X.unpack(d)[0].astype(np.int64)] = 1
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(BITS // 8, dtype=np.uint8)
-    made = held.select("ngram", "data").mapInArrow(insert, "segment int, data binary").groupBy("segment").applyInArrow(build, "segment int, data binary")
-    for r in made.toLocalIterator():
-        out[r[0] * width // 8 : (r[0] + 1) * width // 8] = np.frombuffer(r[1], np.uint8)
-    return out
-
-
 def probe(bloom: np.ndarray, keys: np.ndarray, order: int, low: int) -> np.ndarray:
     """Quantised count of each key, 0 where it is not held: one more level per hit."""
     level = np.zeros(len(keys), dtype=np.uint8)
@@ -209,22 +135,28 @@ def probe(bloom: np.ndarray, keys: np.ndarray, order: int, low: int) -> np.ndarr
 
 
 def log_probabilities(h: np.ndarray, first: np.ndarray, count: np.ndarray, total: int, distinct: int, bloom: np.ndarray, lowest: dict[int, int], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base and smoothed log10 probability of every token; ``count`` is c of each."""
+    """:func:`smoothed` with the quantised counts that a filter holds."""
+    levels = {order: probe(bloom, keys_of(h, first, order, bits)[1], order, lowest[order]) for order in ORDERS}
+    return smoothed(h, first, count, total, distinct, levels)
+
+
+def smoothed(h: np.ndarray, first: np.ndarray, count: np.ndarray, total: int, distinct: int, levels: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Base and smoothed log10 probability of every token; ``count`` is c of each, ``levels``
+    the quantised counts of the 2- and 3-grams in the order of :func:`windows`."""
     p1 = (count + 1) / (total + distinct + 1)
     p = p1.copy()
-    start, keys = keys_of(h, first, 2, bits)
+    start = windows(h, first, 2)[0]
     pair = np.zeros(len(h), dtype=np.uint8)
-    pair[start + 1] = probe(bloom, keys, 2, lowest[2])
+    pair[start + 1] = levels[2]
     at = start + 1
     context = count[at - 1].astype(np.float64)
     known = context > 0
     at, context = at[known], context[known]
     low = np.where(pair[at] > 0, 2.0 ** (pair[at].astype(np.float64) - 1), 0)
     p[at] = LAMBDA[2] * np.minimum(1, low / context) + (1 - LAMBDA[2]) * p1[at]
-    start, keys = keys_of(h, first, 3, bits)
+    start = windows(h, first, 3)[0]
     held = pair[start + 1] > 0
-    start, keys = start[held], keys[held]
-    triple = probe(bloom, keys, 3, lowest[3])
+    start, triple = start[held], levels[3][held]
     at = start + 2
     high = np.minimum(2.0 ** pair[start + 1].astype(np.float64) - 1, np.maximum(count[start], 1))
     low = np.where(triple > 0, 2.0 ** (triple.astype(np.float64) - 1), 0)
@@ -232,6 +164,18 @@ def log_probabilities(h: np.ndarray, first: np.ndarray, count: np.ndarray, total
     return np.log10(p1), np.log10(p)
 
 
+def grams_of(table: pa.Table, flag: str, bits: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+    """Tokens of a chunk, where its texts begin, and per order the key of every n-gram and
+    whether a training text has it."""
+    h, first = tokens(raw_texts(table.column("text")))
+    own = np.repeat(np.array(table.column(flag).to_pylist(), dtype=np.uint32), np.diff(first))
+    grams = {1: (h >> U64(64 - WORD_BITS), own)}
+    for order in ORDERS:
+        start, keys = keys_of(h, first, order, bits)
+        grams[order] = keys, own[start]
+    return h, first, grams
+
+
 def report(docs: DataFrame, train) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     document row; ``train`` is the condition of the training rows."""
@@ -239,46 +183,55 @@ def report(docs: DataFrame, train) -> DataFrame:
     flag = fresh("train", docs.columns)
     docs = docs.withColumn(flag, F.coalesce(train, F.lit(True)))
     layout = X.Layout.of(docs)
-    counted = materialise(count_ngrams(docs.filter(flag), layout), "ngrams")
-    total = distinct = 0
-    for r in counted.filter("ngram = 1").select("data").toLocalIterator():
-        n, t = X.unpack(r[0], np.int64)
-        distinct, total = distinct + int(n[0]), total + int(t[0])
-    held = counted.filter("ngram > 1")
-    lowest = lowest_levels(held)
-    bloom = docs.sparkSession.sparkContext.broadcast(build_filter(held, lowest))
+    width = {order: WORD_BITS if order == 1 else layout.bits for order in (1, *ORDERS)}
     parts, chunk = X.chunked(docs, layout)
 
     def ask(key, table):
-        h, first = tokens(raw_texts(table.column("text")))
-        keys = h >> U64(64 - WORD_BITS)
-        own = np.repeat(np.array(table.column(flag).to_pylist(), dtype=np.int64), np.diff(first))
-        names, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weights=own, minlength=len(names)).astype(np.uint32)
-        return X.to_buckets(key[0].as_py(), WORD_BITS, layout.buckets, names, counts)
+        sent = []
+        for order, (keys, own) in grams_of(table, flag, layout.bits)[2].items():
+            rows = X.to_buckets(key[0].as_py(), width[order], layout.buckets, *_summed(keys, own))
+            sent.append(rows.append_column("ngram", pa.array([order] * len(rows), pa.int32())))
+        return pa.concat_tables(sent)
 
     def answer(key, table):
-        chunks, (keys, counts) = X.gather(table, np.uint32)
-        order = np.argsort(keys, kind="stable")
-        keys, counts, chunks = keys[order], counts[order].astype(np.int64), chunks[order]
+        order, bucket = key[0].as_py(), key[1].as_py()
+        sent = [X.unpack(d, np.uint32) for d in table.column("data").to_pylist()]
+        keys, counts = (np.concatenate([s[i] for s in sent]) for i in (0, 1))
+        by = np.argsort(keys, kind="stable")
+        keys, counts = keys[by], counts[by].astype(np.int64)
         at = X.groups(keys)
-        sums = np.repeat(np.add.reduceat(counts, at), np.diff(np.append(at, len(keys))))
-        # A chunk that holds all occurrences of a word knows its count.
-        told = sums > counts
-        return X.answer(key[0].as_py(), chunks[told], keys[told], sums[told])
+        sums = np.add.reduceat(counts, at)
+        total, distinct = (int(sums.sum()), int((sums > 0).sum())) if order == 1 else (0, 0)
+        told = np.empty(len(keys), dtype=np.int64)
+        told[by] = np.repeat(sums, np.diff(np.append(at, len(keys))))
+        if order > 1:
+            told = level_of(told)
+        # Answers stand in the order of the chunk's sorted keys, so no key travels back.
+        data = [_planes(x) for x in np.split(told, np.cumsum([len(s[0]) for s in sent])[:-1])]
+        n = len(data)
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "ngram": pa.array([order] * n, pa.int32()),
+                "bucket": pa.array([bucket] * n, pa.int32()),
+                "data": pa.array(data, pa.binary()),
+                "n_distinct": pa.array([distinct] + [0] * (n - 1), pa.int64()),
+                "n_total": pa.array([total] + [0] * (n - 1), pa.int64()),
+            }
+        )
 
     def rate(key, table, told):
-        texts = raw_texts(table.column("text"))
-        h, first = tokens(texts)
-        keys = h >> U64(64 - WORD_BITS)
-        own = np.repeat(np.array(table.column(flag).to_pylist(), dtype=np.int64), np.diff(first))
-        names, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weights=own, minlength=len(names)).astype(np.int64)
-        for d in told.column("data").to_pylist():
-            k, c = X.unpack(d, np.int64)
-            counts[np.searchsorted(names, k)] = c
-        count = counts[inverse] if len(h) else np.zeros(0, dtype=np.int64)
-        base, smooth = log_probabilities(h, first, count, total, distinct, bloom.value, lowest, layout.bits)
+        h, first, grams = grams_of(table, flag, layout.bits)
+        answers = sorted(zip(*(told.column(c).to_pylist() for c in ("ngram", "bucket", "data"))))
+        found = {}
+        for order, (keys, _) in grams.items():
+            kind = np.int64 if order == 1 else np.uint8
+            n = np.concatenate([np.zeros(0, dtype=kind), *[_values(d, kind) for o, _, d in answers if o == order]])
+            if order > 1:
+                n[n < LOWEST] = 0
+            found[order] = n[np.unique(keys, return_inverse=True)[1]]
+        count = found.pop(1)
+        base, smooth = smoothed(h, first, count, total, distinct, found)
         begin = first[:-1]
         sums = [np.add.reduceat(v, begin) if len(begin) else v for v in (base, smooth, (count > 0).astype(np.int64))]
         return pa.table(
@@ -294,6 +247,9 @@ def report(docs: DataFrame, train) -> DataFrame:
         )
 
     by_chunk = parts.groupBy(chunk)
-    told = by_chunk.applyInArrow(ask, X.TO_BUCKET).groupBy("bucket").applyInArrow(answer, X.TO_CHUNK)
+    asked = by_chunk.applyInArrow(ask, f"{X.TO_BUCKET}, ngram int")
+    told = materialise(asked.groupBy("ngram", "bucket").applyInArrow(answer, "chunk int, ngram int, bucket int, data binary, n_distinct long, n_total long"), "counts")
+    distinct, total = (int(v or 0) for v in told.agg(F.sum("n_distinct"), F.sum("n_total")).first())
+    told = told.select("chunk", "ngram", "bucket", "data")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
