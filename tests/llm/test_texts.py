@@ -142,6 +142,15 @@ def test_scores_use_exact_counts_at_any_size(spark, strange_docs, strange_rows,
     assert all(abs(g[2] - w[2]) <= 1e-9 * abs(w[2]) for g, w in zip(got, want))
 
 
+def test_ngrams_seen_once_count(spark):
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.report(frame(spark, [(1, "one two three")]), F.lit(True)).collect()}
+    # Each of the four tokens (the end is one) occurs once, as does each n-gram.
+    p1 = 2 / 9
+    p2 = 0.5 + 0.5 * p1
+    p3 = 0.5 + 0.5 * p2
+    assert abs(got[1] - math.log10(p1 * p2 * p3 * p3)) < 1e-12
+
+
 def test_repeated_text_scores_higher(spark):
     known = " ".join(words(7, 60))
     rows = [(i, known) for i in range(1, 40)] + [(100 + i, " ".join(words(50 + i, 60))) for i in range(10)]

@@ -4,7 +4,7 @@ Counting: chunks of documents send the distinct 1-, 2- and 3-grams of their text
 how often their training texts have them, to buckets of hash space. The buckets' exact
 sums give the number of tokens N and of distinct tokens V, and each chunk is told the
 counts of its own n-grams, in the order in which it asked. So no table of the whole
-corpus is held anywhere, and no count is dropped by the corpus' size.
+corpus is held anywhere, and no n-gram is dropped at any size.
 An n-gram of order 2 or 3 with count c has the quantised count q = 1 + floor(log2(c)).
 Scoring: with lower bounds of the counts above and upper bounds below the fraction line,
 
@@ -39,7 +39,7 @@ from vigil.session import materialise
 ORDERS = (2, 3)
 BITS = 1 << 29
 HASHES = 5
-LOWEST = 2
+LOWEST = 1
 LEVELS = 40
 #: Weight of the longer n-gram, for orders 2 and 3.
 LAMBDA = {2: 0.5, 3: 0.5}
@@ -227,8 +227,6 @@ def report(docs: DataFrame, train) -> DataFrame:
         for order, (keys, _) in grams.items():
             kind = np.int64 if order == 1 else np.uint8
             n = np.concatenate([np.zeros(0, dtype=kind), *[_values(d, kind) for o, _, d in answers if o == order]])
-            if order > 1:
-                n[n < LOWEST] = 0
             found[order] = n[np.unique(keys, return_inverse=True)[1]]
         count = found.pop(1)
         base, smooth = smoothed(h, first, count, total, distinct, found)
