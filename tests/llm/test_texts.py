@@ -371,3 +371,20 @@ def test_language_evidence_is_fused(spark):
     got = {r["page_id"]: r["lang"] for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), texts).collect()}
     assert got[200] == "de" and got[201] == "en" and got[202] == "de" and got[203] == "en"
     assert all(got[i] == "de" and got[100 + i] == "en" for i in range(30))
+
+
+def test_declared_language_is_found_anywhere(spark):
+    texts = spark.createDataFrame([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")], "text string, lang string")
+    tail = "<body><p>42</p></body></html>"
+    pages = {
+        1: (f"<!-- {'licence ' * 1000} --><html lang=de>{tail}", "de"),
+        2: ("\n" * 5000 + f"<HTML class='a' LANG='FR-ca'>{tail}", "fr"),
+        3: (f"<script>var s = '<html lang=fr>';{'x;' * 4000}</script><html lang=de>{tail}", "de"),
+        4: (f"<!-- <html lang=fr> --><html lang=de>{tail}", "de"),
+        5: (f"<html><!-- <html lang=fr> -->{tail}", None),
+        6: (f"<html data-x='a > b' lang=en>{tail}", "en"),
+        7: ("<html " * 50_000, None),
+    }
+    rows = [(i, f"http://a.example/{i}", page) for i, (page, _) in pages.items()]
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), texts).collect()
+    assert {r["page_id"]: r["declared"] for r in got} == {i: lang for i, (_, lang) in pages.items()}

@@ -4,7 +4,8 @@
   (one row of counts per task and language, summed by a grouped aggregation). The
   likelihood of a page is tempered to that of ``EVIDENCE`` trigrams at most, because
   neighbouring trigrams are not independent.
-* Declared: the ``lang`` attribute of the markup and a language code in the path. How
+* Declared: the ``lang`` attribute of the markup's html tag, wherever on the page that
+  stands outside comments and scripts, and a language code in the path. How
   far to trust each is counted over all pages that have one, against the text.
 * Host: a page's prior is its host's share of languages, smoothed by that of its
   address suffix, which is smoothed by that of all pages. The shares are sums of the
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.html_text import blocks, main_text, train
+from vigil.llm.html_text import _CLOSE, _TOKEN, blocks, main_text, train
 from vigil.llm.words import LOWER, U64, mix, pieces, raw_texts
 from vigil.session import materialise
 
@@ -44,7 +45,8 @@ _KEEP = np.ones(256, dtype=bool)
 _KEEP[:0x41] = False
 _KEEP[0x5B:0x61] = False
 _KEEP[0x7B:0x80] = False
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_DECLARED = re.compile(r"<html\b.*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I | re.S)
+_HTML = re.compile(r"<html\b", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)([^?#]*)", re.I)
 
 
@@ -99,6 +101,24 @@ def address(url: str | None) -> tuple[str, str, list[str]]:
     return host, host.rpartition(".")[2], [p.lower() for p in m[2].split("/") if p]
 
 
+def declared_language(page: str) -> str | None:
+    """Language code of the first html tag that has one, wherever on the page it stands.
+    Comments hold no tags, nor do scripts, styles and other raw elements."""
+    if not _HTML.search(page):
+        return None
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if found := _DECLARED.match(m[0]):
+            return found[1].lower()
+        name = (m[2] or "").lower()
+        # The head's own elements are read one by one.
+        if name in _CLOSE and name != "head" and not m[1] and not m[3].endswith("/"):
+            stop = _CLOSE[name].search(page, at)
+            at = stop.end() if stop else (len(page) if name in ("script", "style") else at)
+    return None
+
+
 def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     """page_id, url, host, suffix, declared, in_path, text (log likelihoods, tempered)."""
     shared = pages.sparkSession.sparkContext.broadcast((logs, train()))
@@ -110,7 +130,7 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
             cols: list[list] = [[] for _ in range(5)]
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 host, suffix, path = address(url)
-                declared = _DECLARED.search(page[:4096]) if page else None
+                declared = declared_language(page) if page else None
                 text = (main_text(page, tree) or " ".join(b.text for b in blocks(page))) if page else ""
                 total, n = np.zeros(len(langs)), 0
                 raw = text.encode()
@@ -119,7 +139,7 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                     total += table[:, g].sum(axis=1)
                     n += len(g)
                 total *= min(1.0, EVIDENCE / max(1, n))
-                for c, v in zip(cols, (host, suffix, declared[1].lower() if declared and declared[1].lower() in known else None, next((p for p in path if p in known), None), (total - total.max()).tolist())):
+                for c, v in zip(cols, (host, suffix, declared if declared in known else None, next((p for p in path if p in known), None), (total - total.max()).tolist())):
                     c.append(v)
             kinds = [pa.string()] * 4 + [pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["page_id", "url", "host", "suffix", "declared", "in_path", "text"])
