@@ -51,3 +51,16 @@ def test_metric_queries_do_not_read_texts(spark):
 def test_python_functions_are_absent(spark):
     for name in ("text_clean", "exp_obfuscate", "feat_tfidf", "llm_parse", "agg_latency_summary"):
         assert "Python" not in plan(spark, name), name
+
+
+@pytest.mark.parametrize("name", ["exp_cross_dataset_fitted", "exp_threshold_tune_fitted", "exp_robustness_fitted", "exp_multi_seed"])
+def test_fitted_analyses_cover_all_models_and_corpora(spark, name, monkeypatch):
+    from vigil.operators import models as ML
+    from vigil.operators import features as X
+    from vigil.plans import queries_models as Q
+
+    small = (("tfidf", X.TfidfConfig(max_features=50, max_iter=2)), ("embed", ML.EmbedConfig(vector_size=4, epochs=1, max_iter=2)), ("verifier", ML.VerifierConfig(buckets=256, max_iter=2)))
+    monkeypatch.setattr(Q, "MODELS", small, raising=False)
+    corpus = "train" if name == "exp_cross_dataset_fitted" else "dataset"
+    rows = entry.queries()[name](spark, SF).collect()
+    assert {(r["model"], r[corpus]) for r in rows} == {(m, d) for m in ("tfidf", "embed", "verifier") for d in ("A", "B")}

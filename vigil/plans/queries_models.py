@@ -161,6 +161,28 @@ def mdl_save_load(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- experiments
+MODELS = (("tfidf", TFIDF), ("embed", EMBED), ("verifier", VERIFY))
+DATASETS = ("A", "B")
+
+
+def _corpora(spark, sf_dir):
+    """The comments of each corpus."""
+    corpus = T.corpus(spark, sf_dir, text_work=True)
+    return {d: corpus.filter(F.col("dataset") == d) for d in DATASETS}
+
+
+def _stacked(runs):
+    out = None
+    for m in runs:
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _of_all(run, corpora):
+    """The rows of ``run`` for every model on every corpus, with the corpus."""
+    return _stacked(run(name, corpus, cfg).withColumn("dataset", F.lit(d)) for d, corpus in corpora.items() for name, cfg in MODELS)
+
+
 @query("exp_in_domain")
 def exp_in_domain(spark, sf_dir):
     """Report rows of all three models on each corpus, fitted and scored on its own split."""
@@ -175,14 +197,16 @@ def exp_in_domain(spark, sf_dir):
 
 @query("exp_cross_dataset_fitted")
 def exp_cross_dataset_fitted(spark, sf_dir):
-    corpus = T.corpus(spark, sf_dir, text_work=True)
-    corpora = {d: E.prepare(corpus.filter(F.col("dataset") == d)) for d in ("A", "B")}
-    return rounded(E.cross_dataset("tfidf", corpora, TFIDF), 6)
+    """All three models, fitted on each corpus and scored on the other."""
+    corpora = {d: E.prepare(c) for d, c in _corpora(spark, sf_dir).items()}
+    return rounded(_stacked(E.cross_dataset(name, corpora, cfg) for name, cfg in MODELS), 6)
 
 
 @query("exp_threshold_tune_fitted")
 def exp_threshold_tune_fitted(spark, sf_dir):
-    return rounded(E.threshold_tuning("tfidf", prepared(spark, sf_dir), TFIDF), 6)
+    """The tuned threshold of all three models on each corpus."""
+    corpora = {d: E.prepare(c) for d, c in _corpora(spark, sf_dir).items()}
+    return rounded(_of_all(E.threshold_tuning, corpora), 6)
 
 
 @query("exp_cascade_fitted", f"WITH {_TEST} SELECT doc_id, label, true AS routed_by_first, true AS scored_by_its_stage FROM held")
@@ -201,7 +225,9 @@ def exp_cascade_sweep_fitted(spark, sf_dir):
 
 @query("exp_robustness_fitted")
 def exp_robustness_fitted(spark, sf_dir):
-    return rounded(E.robustness("tfidf", prepared(spark, sf_dir), TFIDF), 6)
+    """All three models on the clean and the obfuscated test rows of each corpus."""
+    corpora = {d: E.prepare(c) for d, c in _corpora(spark, sf_dir).items()}
+    return rounded(_of_all(E.robustness, corpora), 6)
 
 
 @query("exp_group_audit_fitted")
@@ -212,4 +238,5 @@ def exp_group_audit_fitted(spark, sf_dir):
 
 @query("exp_multi_seed")
 def exp_multi_seed(spark, sf_dir):
-    return rounded(E.multi_seed("tfidf", T.corpus(spark, sf_dir, text_work=True), cfg=TFIDF), 6)
+    """All three models on each corpus under several split seeds."""
+    return rounded(_of_all(lambda name, corpus, cfg: E.multi_seed(name, corpus, cfg=cfg), _corpora(spark, sf_dir)), 6)
