@@ -343,6 +343,26 @@ def test_main_text():
         assert html_text.main_text(page, tree) == ""
 
 
+def test_one_name_does_not_drop_an_article():
+    tree, body = html_text.train(), "<p>One paragraph that has some ten words in its line.</p><p>Another has words.</p>"
+    want = "One paragraph that has some ten words in its line.\n\nAnother has words."
+    for start, end in [
+        ("<article class='post has-sidebar'>", "</article>"), ("<div class='content no-comments'>", "</div>"), ("<article class='post tag-social category-search'>", "</article>"),
+        ("<main class='widget'>", "</main>"), ("<div class='entry sponsored'>", "</div>"), ("<div class='post category-search'>", "</div>"),
+    ]:
+        assert html_text.main_text(f"<body>{start}{body}{end}</body>", tree) == want, start
+    for start, end in [("<div class='post-navigation'>", "</div>"), ("<article id='comment-5' class='comment'>", "</article>"), ("<article hidden>", "</article>"), ("<div class='sidebar'>", "</div>")]:
+        assert html_text.main_text(f"<body>{start}{body}{end}</body>", tree) == "", start
+
+
+def test_neighbours_count_inside_an_article():
+    tree = html_text.train()
+    paragraph, link = f"<p>{'word ' * 65}</p>", "<p><a href=1>one</a></p>"
+    line = "<p><a href=2>Nine linked words that say where to read</a> more</p>"
+    of = lambda around: "Nine linked" in html_text.main_text(f"<article>{paragraph}{around}{line}{around}</article>", tree)
+    assert of(paragraph) and not of(link)
+
+
 def test_the_tree_fits_its_table():
     data, tree = html_text.labelled(), html_text.train()
     assert np.mean([tree.says(tuple(r[:-1])) == bool(r[-1]) for r in data]) > 0.95

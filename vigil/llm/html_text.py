@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks of text at its block-level tags. A block is described
 by its word count and link density, those of the blocks before and after it, and by
-the containers around it; a decision tree (CART, trained here on the table of :func:`labelled`)
+the containers around it, judged by element and by usual names in class, id and role; a decision tree (CART, trained here on the table of :func:`labelled`)
 decides which blocks are article text. Scripts, styles and comments never make blocks.
 
 Defined cases: null and empty pages give an empty text; broken tags end at the page's
@@ -42,6 +42,8 @@ BAD_NAMES = frozenset(
 )
 HEAD_NAMES = frozenset("header masthead".split())
 GOOD_NAMES = frozenset("article articlebody content entry main maintext post story".split())
+#: First words of names that tell a state or a topic of an element, not its part of the page.
+STATES = frozenset("has have no not with without is tag category".split())
 HEADING = re.compile(r"h[1-6]$")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -60,19 +62,26 @@ class Block:
     heading: bool
 
 
-def _names(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes name a page part that is bad, a header, or good."""
-    bad = header = good = False
+def _names(attributes: str, element: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes name a page part that is bad, a header, or good. Names are
+    counted one by one: bad ones need a majority over good ones and an article element."""
+    hidden = header = False
+    bad, good, article = 0, 0, element in INSIDE
     for name, a, b, c in _NAMED.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            bad = True
+            hidden = True
         elif name in ("class", "id", "role"):
-            parts = set(_PARTS.findall(value))
-            bad |= bool(parts & BAD_NAMES)
-            header |= bool(parts & HEAD_NAMES) or name == "role" and value == "banner"
-            good |= bool(parts & GOOD_NAMES) or name == "role" and value in ("main", "article")
-    return bad, header, good
+            for one in value.split():
+                parts = _PARTS.findall(one)
+                if not parts or len(parts) > 1 and parts[0] in STATES:
+                    continue
+                header |= not HEAD_NAMES.isdisjoint(parts) or name == "role" and one == "banner"
+                if not BAD_NAMES.isdisjoint(parts):
+                    bad += 1
+                elif not GOOD_NAMES.isdisjoint(parts) or name == "role" and one in ("main", "article"):
+                    good += 1
+    return hidden or bad > good + article, header, good > 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -126,7 +135,7 @@ def blocks(page: str) -> list[Block]:
             if name != "a":
                 anchors = 0
             heading = not closing and bool(HEADING.match(name))
-            leaf_bad = not closing and bool(attributes) and name not in NEST and _names(attributes)[0]
+            leaf_bad = not closing and bool(attributes) and name not in NEST and _names(attributes, name)[0]
         if name in NEST and name not in VOID:
             if closing:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -137,7 +146,7 @@ def blocks(page: str) -> list[Block]:
             elif not attributes.endswith("/"):
                 if name == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                bad, header, good = _names(attributes) if attributes else (False, False, False)
+                bad, header, good = _names(attributes, name) if attributes else (False, False, False)
                 within = any(s[1] for s in stack)
                 bad |= name in ASIDE or (header and not good or name == "header") and not within
                 if name not in BLOCK and bad:
@@ -153,7 +162,8 @@ FEATURES = ("words", "links", "words before", "links before", "words after", "li
 SURROUNDINGS = ((0, 0.0, 0, 0.0), (1, 1.0, 1, 1.0), (70, 0.0, 60, 0.0), (3, 0.0, 80, 0.1), (90, 0.1, 2, 0.0), (6, 1.0, 40, 0.0), (50, 0.0, 8, 0.9), (2, 0.0, 4, 0.0))
 
 #: Blocks with a known container: words, link density, inside, outside, bad, heading, then
-#: 1 for article text. "inside" is an article container, "outside" a block beside one.
+#: 1 for article text, or the numbers of the surroundings in which they are. "inside" is an
+#: article container, "outside" a block beside one.
 CONTAINED = (
     # menus, footers, adverts, notices, forms and comments
     (6, 1.0, 0, 1, 1, 0, 0), (12, 0.0, 0, 1, 1, 0, 0), (55, 0.0, 1, 0, 1, 0, 0), (3, 0.0, 1, 0, 1, 1, 0),
@@ -163,9 +173,10 @@ CONTAINED = (
     # article text: titles, short and long paragraphs, lists with some links
     (8, 0.0, 1, 0, 0, 1, 1), (1, 0.0, 1, 0, 0, 0, 1), (70, 0.0, 1, 0, 0, 0, 1), (400, 0.01, 1, 0, 0, 0, 1),
     (35, 0.2, 1, 0, 0, 0, 1), (6, 1.0, 1, 0, 0, 1, 1), (20, 0.4, 1, 0, 0, 0, 1), (3, 0.3, 1, 0, 0, 0, 1),
-    (11, 0.6, 1, 0, 0, 0, 1),
+    # linked lines inside an article container: not among link scraps; whole ones between paragraphs
+    (11, 0.6, 1, 0, 0, 0, (0, 2, 3, 4, 5, 6, 7)), (9, 0.9, 1, 0, 0, 0, (2,)),
     # link lists inside an article container
-    (2, 1.0, 1, 0, 0, 0, 0), (9, 0.9, 1, 0, 0, 0, 0), (4, 0.8, 1, 0, 0, 0, 0),
+    (2, 1.0, 1, 0, 0, 0, 0), (4, 0.8, 1, 0, 0, 0, 0),
 )
 
 #: Blocks without one: words, link density, those before and after, heading, label.
@@ -187,7 +198,11 @@ OPEN = (
 
 def labelled() -> np.ndarray:
     """The labelled table: rows of ``FEATURES`` and the label."""
-    rows = [(words, links, *around, inside, outside, bad, heading, label) for words, links, inside, outside, bad, heading, label in CONTAINED for around in SURROUNDINGS]
+    rows = [
+        (words, links, *around, inside, outside, bad, heading, int(i in label) if isinstance(label, tuple) else label)
+        for words, links, inside, outside, bad, heading, label in CONTAINED
+        for i, around in enumerate(SURROUNDINGS)
+    ]
     return np.array(rows + [(*r[:6], 0, 0, 0, r[6], r[7]) for r in OPEN], dtype=np.float64)
 
 
