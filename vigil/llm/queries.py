@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, near_dedup, ngram_lm, substring_dedup, token_counts, toxicity
+from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, near_dedup, ngram_lm, spelling, substring_dedup, token_counts, toxicity
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -137,3 +137,32 @@ def op9(spark, sf_dir):
 @query("op7_language_id")
 def op7(spark, sf_dir):
     return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (SELECT x AS b, 0 AS k, CAST(x AS BIGINT) AS v FROM range(256) t(x)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) GROUP BY ALL),
+coded AS (SELECT w, n, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), '..'),
+  lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM runs),
+hashed AS (SELECT w, n, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM coded, tab),
+cut AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+skips AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT s.word, o.word AS other, o.n AS m FROM skips s JOIN skips o USING (a, b) WHERE s.word != o.word
+  UNION SELECT s.word, w.word, w.n FROM skips s JOIN words w ON w.word = s.a || s.b
+  UNION SELECT w.word, s.word, s.n FROM skips s JOIN words w ON w.word = s.a || s.b),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form,
+  CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN ends USING (word)"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark, sf_dir):
+    return spelling.report(read(spark, sf_dir, "documents"))
