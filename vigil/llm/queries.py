@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, near_dedup, ngram_lm, spelling, substring_dedup, token_counts, toxicity
+from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, near_dedup, ngram_lm, spelling, substring_dedup, token_counts, toxicity, warc
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -166,3 +166,19 @@ SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed
 @query("op11_spelling_variants", OP11_SQL)
 def op11(spark, sf_dir):
     return spelling.report(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex, min(page_id) OVER (PARTITION BY sha256(b)) AS first FROM p),
+d AS (SELECT page_id, n, first, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((CAST('0x' || substr(hex, 5 * (j // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (j % 4) AS BIGINT)) & 31) + 1, 1)), '') AS code FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d"""
+
+
+@query("op12_warc", OP12_SQL)
+def op12(spark, sf_dir):
+    return warc.report(read(spark, sf_dir, "pages"))
