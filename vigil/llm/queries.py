@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, near_dedup, ngram_lm, spelling, substring_dedup, token_counts, toxicity, warc
+from vigil.llm import bpe, decontaminate, fingerprints, html_text, language_id, lexical, near_dedup, ngram_lm, spelling, substring_dedup, token_counts, toxicity, warc
 from vigil.llm.frames import read
 from vigil.plans.registry import Query
 
@@ -182,3 +182,26 @@ FROM d"""
 @query("op12_warc", OP12_SQL)
 def op12(spark, sf_dir):
     return warc.report(read(spark, sf_dir, "pages"))
+
+
+TERMS = r"list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+dt AS (SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, sum(n) AS terms FROM dt),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM dt) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+b AS (SELECT row_number() OVER () AS i, item_id, {TERMS} AS t FROM benchmark),
+bt AS (SELECT DISTINCT i, unnest(t) AS term FROM b),
+m AS (SELECT r, doc_id, 100 - 90 + CAST((90 * n * docs) // terms AS BIGINT) AS m FROM dt, total),
+s AS (SELECT i, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM bt JOIN tf USING (term) JOIN df USING (term) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, m.doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, m.doc_id NULLS LAST) AS rank
+      FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN b USING (i) WHERE rank <= 10"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark, sf_dir):
+    return lexical.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
