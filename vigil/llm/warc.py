@@ -50,6 +50,8 @@ END = b"\r\n\r\n"
 #: Claims beyond this many bytes fail the length check.
 LONGEST = 1 << 30
 LEVEL = 6
+#: File names that are broadcast; more are joined.
+BROADCAST_FILES = 100_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "<urn:page:{}>"
 NOT_GZ = "{*[!z],*[!g]z,*[!.]gz}"
@@ -355,9 +357,12 @@ def read_archives(spark: SparkSession, path: str, compress: bool = True, payload
     found = materialise(given.mapInArrow(_walk(kind, payload, False), FOUND), "salvage")
     # Files with a candidate that is open where a split ends are read again in file order.
     again = found.filter("kind = 'open'").select("file").distinct()
-    ordered = given.join(again, "file", "left_semi").repartition("file").sortWithinPartitions("file", "split", "place")
-    ordered = ordered.mapInArrow(_walk(kind, payload, True), FOUND)
-    rows = found.join(again, "file", "left_anti").unionByName(materialise(ordered, "salvage"))
+    many, rows = again.count(), found
+    if many:
+        names = F.broadcast(again) if many <= BROADCAST_FILES else again
+        ordered = given.join(names, "file", "left_semi").repartition("file").sortWithinPartitions("file", "split", "place")
+        ordered = ordered.mapInArrow(_walk(kind, payload, True), FOUND)
+        rows = found.join(again, "file", "left_anti").unionByName(materialise(ordered, "salvage"))
     # One row per split of a file.
     ends = rows.filter("kind = 'size'").select("file", "split", "at", "length")
     w = Window.partitionBy("file").orderBy("split")
