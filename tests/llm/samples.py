@@ -10,6 +10,14 @@ def words(seed, n):
     return [r.choice("alpha beta gamma delta Eps zeta eta theta iota kappa lambda mu nu xi été ß 漢字 🙂 don't 42".split()) + str(r.randint(0, 40)) for _ in range(n)]
 
 
+def thue_morse(letters):
+    """Two words of so many letters (a power of two) that any polynomial modulo 2^64 confuses."""
+    a, b = "a", "b"
+    while len(a) < letters:
+        a, b = a + b, b + a
+    return a, b
+
+
 def strange():
     """(doc_id, text) with every case that the docstrings define."""
     passage = " ".join(words(1, 30))
@@ -22,6 +30,9 @@ def strange():
         (None, None), (21, passage + "\n" + passage), (22, " ".join(words(6, 40_000))), (23, "x" * 300_000), (24, "a" + "\x00" + "b c d e"),
         (-5, " ".join(base[:100])), (25, " ".join(words(6, 40_000)[100:400])), (26, "<|endoftext|> text <|endoftext|>"), (27, "\r\n".join([passage] * 3)),
     ]
+    for letters in (1024, 8192):
+        for i, w in enumerate(thue_morse(letters)):
+            rows += [(letters + i, w), (letters + 10 + i, " ".join([*words(8, 12), w]))]
     return rows
 
 

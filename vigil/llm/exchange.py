@@ -43,7 +43,7 @@ class Layout:
 def chunked(docs: DataFrame, layout: Layout) -> tuple[DataFrame, str]:
     """``docs`` with its chunk as first column, and that column's name."""
     name = fresh("chunk", docs.columns)
-    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(layout.chunks)).cast("int").alias(name)
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.chunks)).cast("int").alias(name)
     return docs.select(chunk, "*"), name
 
 

@@ -137,22 +137,32 @@ def _smallest(key, table):
     at = np.flatnonzero(np.concatenate(([True], (wide[1:] != wide[:-1]) | (check[1:] != check[:-1]))))
     least = np.repeat(owner[at], np.diff(np.append(at, len(wide))))
     told = least < owner
-    return X.answer(key[0].as_py(), chunks[told], wide[told], least[told])
+    return X.answer(key[0].as_py(), chunks[told], wide[told], check[told], least[told])
 
 
 def _removed(docs: pa.Table, told: pa.Table, window: int):
     """Texts of the chunk and a flag for every word that goes."""
     texts = raw_texts(docs.column("text"))
-    wide, least = _hits(told, np.int64)
-    first, h, _ = chunk_hashes(texts)
+    wide, check, least = _hits(told, np.uint32, np.int64)
+    first, h, h2 = chunk_hashes(texts, both=True)
     start, mine = windows(h, first, window)
+    mine2 = (windows(h2, first, window)[1] >> U64(32)).astype(np.uint32)
     owner = word_owner(first, ids_of(docs))[start]
     best = owner.copy()
     if len(start):
-        order = np.lexsort((owner, mine))
-        at = X.groups(mine[order])
+        order = np.lexsort((owner, mine2, mine))
+        a, b = mine[order], mine2[order]
+        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         best[order] = np.repeat(owner[order][at], np.diff(np.append(at, len(start))))
         place = _member(mine, wide)
+        while len(wide):
+            # Equal first hashes are told apart by the second.
+            other = (place >= 0) & (check[place] != mine2)
+            if not other.any():
+                break
+            after = place[other] + 1
+            same = (after < len(wide)) & (wide[np.minimum(after, len(wide) - 1)] == mine[other])
+            place[other] = np.where(same, after, -1)
         best = np.where(place >= 0, np.minimum(best, least[place] if len(least) else best), best)
     return texts, first, covered(start[best < owner], window, len(h))
 

@@ -1,8 +1,9 @@
 """Words of many texts at once: numpy arrays of positions and 64-bit hashes.
 
 A batch of texts is joined into one byte buffer; a table of 256 flags finds the
-words, and one cumulative polynomial gives every word its hash, so no Python loop
-runs over words. Null texts count as empty. Work is cut into pieces of bounded
+words, and blocks of eight bytes are scrambled into the hashes of all words at once
+(words above ``LONG_WORD`` bytes one by one with BLAKE2), so no Python loop runs over
+common words. Null texts count as empty. Work is cut into pieces of bounded
 size, a single longer text being a piece of its own.
 """
 
@@ -41,24 +42,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Poly:
-    """Value table per byte and powers of an odd base, with their inverses."""
+#: Words above so many bytes are hashed one by one.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_SEED = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD95))
 
-    def __init__(self, seed: int, base: int):
-        self.value = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, b, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up, self.down
-
-
-_POLY = {0: _Poly(11, 0x9E3779B97F4A7C15), 1: _Poly(12, 0xD6E8FEB86659FD95)}
+def _hash(blocks: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, kind: int) -> np.ndarray:
+    """Hash of the bytes from each ``start``: blocks of eight, each scrambled with what the
+    blocks before gave; ``blocks`` has the eight bytes from every place on."""
+    h = mix(size.astype(np.uint64) * U64(2) + _SEED[kind])
+    h = mix(h ^ (blocks[start] & _KEEP[np.minimum(size, 8)])) + _SEED[kind]
+    at = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(at):
+        h[at] = mix(h[at] ^ (blocks[start[at] + done] & _KEEP[np.minimum(size[at] - done, 8)])) + _SEED[kind]
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]], digest_size=8, salt=bytes([kind])).digest(), "little")
+    return mix(h)
 
 
 class Words:
@@ -88,14 +91,10 @@ class Words:
         """Hashes of the whole words, then of their first bytes for each of ``lengths``."""
         if not self.n:
             return [np.zeros(0, dtype=np.uint64) for _ in (0, *lengths)]
-        poly = _POLY[kind]
-        up, down = poly.powers(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(poly.value[self.buf] * up[: len(self.buf)], out=total[1:])
-        begin, scale, out = total[self.start], down[self.start], []
-        for end in (self.end, *[np.minimum(self.start + n, self.end) for n in lengths]):
-            out.append(mix((total[end] - begin) * scale + (end - self.start).astype(np.uint64)))
-        return out
+        padded = np.concatenate((self.buf, np.zeros(8, dtype=np.uint8)))
+        blocks = np.ndarray(len(self.buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        ends = (self.end, *[np.minimum(self.start + n, self.end) for n in lengths])
+        return [_hash(blocks, padded, self.start, end - self.start, kind) for end in ends]
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
