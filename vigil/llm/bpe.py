@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.frames import fresh, plus
 from vigil.llm.transducer import Transducer, compile_words
-from vigil.llm.words import sha256_hex
+from vigil.llm.words import parts_of, sha256_hex
 from vigil.session import materialise, scratch_path
 
 #: Words of the transducer: the most frequent ones with at least so many occurrences.
@@ -41,8 +41,8 @@ MAX_WORDS = 1 << 17
 LEAST_COUNT = 2
 #: Words up to this length are merged with a list, longer ones with a heap.
 SHORT = 40
-#: Words that a worker remembers, and the longest of them in bytes.
-MEMORY = 500_000
+#: Words, and runs, that a worker remembers, and the longest of them in bytes.
+MEMORY = 200_000
 MEMORY_BYTES = 64
 #: Steps of the histogram of word counts for a factor e.
 LEVELS = 32
@@ -256,7 +256,7 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
             other.clear()
             return out
 
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             for text in batch.column(0).to_pylist():
                 for part in (cut(text) if cut else [text]) if text else []:
                     lines = runs_of(part)
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, vocabulary_path: str, digests: bool = True, ids: boo
 
     def run(batches):
         codec = Codec(shared.value, Transducer.mapped(SparkFiles.get(lexicon)))
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             texts = batch.column("text").to_pylist()
             coded = [codec.encode(t) if t else b"" for t in texts]
             sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
