@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.session import materialise
+from vigil.session import materialise, scratch_path, scratch_scope
 
 WIDTH = 24
 ROUNDS = 20
@@ -113,6 +113,12 @@ def order_of(docs: DataFrame) -> DataFrame:
     return materialise(out, "order")
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a compressed table at ``path``."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _likeness(n1: Column, n2: Column, differing: Column) -> Column:
     return F.when(n1 + n2 == 0, 1.0).otherwise((n1 + n2 - differing) / (n1 + n2 + differing))
 
@@ -141,35 +147,50 @@ def _retried(pairs: DataFrame) -> DataFrame:
     return total.groupBy("row", "side").agg(F.sum("differing").alias("differing"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, next_id for every document row."""
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
+def _units(docs: DataFrame, path: str) -> DataFrame:
+    """row, doc_id, next_id, n_chars, edited_sha256 and the digests of the text, of the
+    edited text and of the next text. Array functions without code generation are copied
+    into each use by the optimizer: a written table makes every list once."""
     order = order_of(docs)
     before = order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "need")
     given = docs.join(before, "row").select("to", "doc_id", F.expr("substring(text, 1, need)").alias("begin"), digests(F.col("text")).alias("next_units"))
     given = given.groupBy(F.col("to").alias("row")).agg(F.first("begin").alias("begin"), F.first("next_units").alias("next_units"), F.first("doc_id").alias("next_id"))
     both = docs.join(given, "row")
-    n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.col("begin"))
     units = both.select(
-        "row", "doc_id", "next_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("units"), digests(edited).alias("edited_units"), "next_units"
+        "row", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("units"), digests(edited).alias("edited_units"), "next_units"
     )
-    # Array functions without code generation are copied into each use by the optimizer:
-    # a written table makes every list and sketch once.
-    units = materialise(units, "units")
+    return _written(units, path)
+
+
+def _first_round(units: DataFrame, path: str) -> DataFrame:
+    """``units`` with sketches, their sizes, the numbers of differing digests (null where
+    peeling failed) and, for failed pairs alone, the digests again."""
     cells = units.select("*", *[F.expr(sketch(u)).alias(f"s_{u}") for u in ("units", "edited_units", "next_units")])
     cells = cells.select("row", "doc_id", "next_id", "n_chars", "edited_sha256", "units", "edited_units", "next_units", "s_units", "s_edited_units", "s_next_units")
     differing = {
         side: F.expr(f"transform(array({peel('s_units', f's_{side}_units')}), z -> if({clean('z')}, size(z.found), cast(null as int)))[0]") for side in ("edited", "next")
     }
     first = cells.select(
-        "row", "doc_id", "next_id", "n_chars", "edited_sha256", shown(F.col("s_units")).alias("fingerprint"), shown(F.col("s_edited_units")).alias("edited_fingerprint"),
+        "row", "doc_id", "next_id", "n_chars", F.unhex("edited_sha256").alias("edited_sha256"), "s_units", "s_edited_units",
         *[d.alias(f"d_{side}") for side, d in differing.items()], *[F.size(f"{u}").alias(f"n_{u}") for u in ("units", "edited_units", "next_units")],
         *[F.when(differing[side].isNull(), F.array("units", f"{side}_units")).alias(f"again_{side}") for side in ("edited", "next")],
     )
-    first = materialise(first, "sketches")
+    return _written(first, path)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, next_id for every document row."""
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    docs = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
+    path = scratch_path(spark, "sketches")
+    # Tables made on the way go as soon as the next one is written.
+    with scratch_scope(spark):
+        at = scratch_path(spark, "units")
+        with scratch_scope(spark):
+            units = _units(docs, at)
+        first = _first_round(units, path)
     failed = None
     for side in ("edited", "next"):
         part = first.filter(F.col(f"d_{side}").isNull()).select("row", F.lit(side).alias("side"), F.col(f"again_{side}")[0].alias("a"), F.col(f"again_{side}")[1].alias("b")).dropDuplicates(["row"])
@@ -177,4 +198,5 @@ def report(docs: DataFrame) -> DataFrame:
     more = _retried(failed).groupBy("row").agg(*[F.max(F.when(F.col("side") == s, F.col("differing"))).alias(f"more_{s}") for s in ("edited", "next")])
     out = first.join(more, "row", "left")
     near = {s: _likeness(F.col("n_units"), F.col(f"n_{s}_units"), F.coalesce(f"d_{s}", f"more_{s}")) for s in ("edited", "next")}
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near["edited"].alias("near_edited"), near["next"].alias("near_next"), "next_id")
+    prints = [shown(F.col(f"s_{u}")).alias(name) for u, name in (("units", "fingerprint"), ("edited_units", "edited_fingerprint"))]
+    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), *prints, near["edited"].alias("near_edited"), near["next"].alias("near_next"), "next_id")
