@@ -116,14 +116,14 @@ def test_save_and_load(spark, toy, tfidf):
 
 
 def test_stage_models(spark, toy):
-    embed = ML.fit_embedding(toy, ML.EmbedConfig(vector_size=16, epochs=5, min_count=1, max_iter=30))
+    embed = ML.fit_embedding(toy, ML.EmbedConfig(vector_size=16, buckets=512, min_count=1, max_iter=30))
     chars = ML.fit_verifier(toy, ML.VerifierConfig(buckets=4096, max_iter=30))
     for model in (embed, chars):
         out = model.score(toy, keep=("y",)).collect()
         assert len(out) == 32 and all(0 <= r.p_hate <= 1 for r in out)
         path = scratch_path(spark, "t-stage")
         model.save(path)
-        again = {r.doc_id: r.p_hate for r in ML.StageModel.load(spark, path).score(toy).collect()}
+        again = {r.doc_id: r.p_hate for r in type(model).load(spark, path).score(toy).collect()}
         assert again == {r.doc_id: r.p_hate for r in out}
     assert M.evaluate(chars.score(toy, keep=("y",)), [], "y").first().roc_auc == 1.0
     vectors = embed.vectors(toy.select("doc_id", "text")).collect()

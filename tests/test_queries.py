@@ -59,7 +59,7 @@ def test_fitted_analyses_cover_all_models_and_corpora(spark, name, monkeypatch):
     from vigil.operators import features as X
     from vigil.plans import queries_models as Q
 
-    small = (("tfidf", X.TfidfConfig(max_features=50, max_iter=2)), ("embed", ML.EmbedConfig(vector_size=4, epochs=1, max_iter=2)), ("verifier", ML.VerifierConfig(buckets=256, max_iter=2)))
+    small = (("tfidf", X.TfidfConfig(max_features=50, max_iter=2)), ("embed", ML.EmbedConfig(vector_size=4, buckets=64, steps=2, max_iter=2)), ("verifier", ML.VerifierConfig(buckets=256, max_iter=2)))
     monkeypatch.setattr(Q, "MODELS", small, raising=False)
     corpus = "train" if name == "exp_cross_dataset_fitted" else "dataset"
     rows = entry.queries()[name](spark, SF).collect()

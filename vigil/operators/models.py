@@ -1,4 +1,4 @@
-"""Classifiers: n-gram TF-IDF, word embeddings, hashed character n-grams.
+"""Classifiers: n-gram TF-IDF, hashed word embeddings, hashed character n-grams.
 
 All share one contract: ``fit(train, ...)`` on (doc_id, text, y) returns a model
 whose ``score(df)`` adds ``p_hate`` (two classes) or ``probabilities``, and which
@@ -10,17 +10,19 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.numeric import argmax, decide, let
 from vigil.functions.tokens import whitespace_tokens, with_term_counts
+from vigil.operators.embedding import EmbedConfig, document_vectors, fit_words, with_buckets
 from vigil.operators.features import TfidfConfig, idf_table, tf_weight, with_grams
 from vigil.operators.metrics import evaluate
 from vigil.session import materialise, scratch_path
@@ -192,21 +194,6 @@ def fit_tfidf(train: DataFrame, cfg: TfidfConfig = TfidfConfig(), key: str = "do
 
 
 # ---------------------------------------------------- models of Spark ML stages
-@dataclass(frozen=True)
-class EmbedConfig:
-    vector_size: int = 200
-    window: int = 5
-    min_count: int = 2
-    max_vocabulary: int = 1_000_000
-    epochs: int = 20
-    step_size: float = 0.025
-    #: Tasks of the training; 0: as many as the cluster has cores.
-    partitions: int = 0
-    seed: int = 42
-    C: float = 1.0
-    max_iter: int = 1000
-
-
 @dataclass(frozen=True)
 class VerifierConfig:
     sizes: tuple[int, ...] = (3, 4, 5)
@@ -220,7 +207,7 @@ class StageModel:
     """A preparation of the text, fitted ML stages, a regression."""
 
     kind: str
-    cfg: EmbedConfig | VerifierConfig
+    cfg: VerifierConfig
     stages: PipelineModel
 
     def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -230,13 +217,6 @@ class StageModel:
         out = p[1].alias("p_hate") if self.stages.stages[-1].numClasses == 2 else p.alias("probabilities")
         return scored.select(key, *keep, out)
 
-    def vectors(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """key, vector: the document embedding (unknown words are ignored)."""
-        ready = PREPARE[self.kind](df.select(key, text), text, self.cfg)
-        for stage in self.stages.stages[:-1]:
-            ready = stage.transform(ready)
-        return ready.select(key, vector_to_array("features").alias("vector"))
-
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         self.stages.write().save(f"{path}/stages")
@@ -246,16 +226,10 @@ class StageModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "StageModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        cfg = EmbedConfig(**meta["cfg"]) if meta["kind"] == "embed" else VerifierConfig(
-            **{**meta["cfg"], "sizes": tuple(meta["cfg"]["sizes"])}
-        )
+        cfg = VerifierConfig(**{**meta["cfg"], "sizes": tuple(meta["cfg"]["sizes"])})
         return cls(meta["kind"], cfg, PipelineModel.load(f"{path}/stages"))
 
 
-def _words(df: DataFrame, text: str, cfg: EmbedConfig) -> DataFrame:
-    return df.withColumn("_words", whitespace_tokens(F.col(text)))
-
-
 def _chars(df: DataFrame, text: str, cfg: VerifierConfig) -> DataFrame:
     """``_grams``: character n-grams of the distinct padded words.
 
@@ -274,7 +248,7 @@ def _chars(df: DataFrame, text: str, cfg: VerifierConfig) -> DataFrame:
     return df.withColumn("_grams", F.flatten(F.transform(padded, grams)))
 
 
-PREPARE = {"embed": _words, "chars": _chars}
+PREPARE = {"chars": _chars}
 
 
 def _fit_stages(kind: str, cfg, train: DataFrame, stages: list, label: str = "y") -> StageModel:
@@ -288,41 +262,56 @@ def _fit_stages(kind: str, cfg, train: DataFrame, stages: list, label: str = "y"
     return StageModel(kind, cfg, PipelineModel([*fitted.stages, lr]))
 
 
-def fit_embedding(train: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> StageModel:
-    """Mean word vector + regression. More ``partitions`` train faster, less exactly.
+@dataclass
+class EmbedModel:
+    """Word vectors of hashed buckets (fixed number of rows), one coefficient row per margin."""
 
-    Spark keeps vocabulary x dimension on the driver: ``max_vocabulary`` bounds it, by
-    a ``min_count`` that is raised from the measured frequencies where needed.
-    """
-    partitions = cfg.partitions or train.sparkSession.sparkContext.defaultParallelism
-    least = least_count(_words(train, "text", cfg), cfg)
-    w2v = Word2Vec(
-        vectorSize=cfg.vector_size,
-        windowSize=cfg.window,
-        minCount=least,
-        maxIter=cfg.epochs,
-        stepSize=cfg.step_size,
-        numPartitions=partitions,
-        seed=cfg.seed,
-        inputCol="_words",
-        outputCol="features",
-    )
-    return _fit_stages("embed", cfg, train, [w2v])
-
-
-def least_count(words: DataFrame, cfg: EmbedConfig) -> int:
-    """``min_count``, or the smallest count that at most ``max_vocabulary`` words reach."""
-    counts = words.select(F.explode_outer("_words").alias("w")).filter("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # Words per count; counts above the vocabulary's share of a million tell nothing more.
-    table = counts.filter(F.col("n") >= cfg.min_count).groupBy(F.least("n", F.lit(cfg.max_vocabulary)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
-    whole = Window.orderBy(F.desc("n"))
-    reached = table.withColumn("upto", F.sum("words").over(whole))
-    low = reached.agg(F.min(F.when(F.col("upto") <= cfg.max_vocabulary, F.col("n"))), F.max("upto")).first()
-    if (low[1] or 0) <= cfg.max_vocabulary:
-        return cfg.min_count
-    if low[0] is None:
-        raise ValueError(f"more than {cfg.max_vocabulary} words are as frequent as the most frequent one")
-    return int(low[0])
+    cfg: EmbedConfig
+    words: np.ndarray
+    coefficients: list[list[float]]
+    intercepts: list[float]
+
+    def _folded(self, df: DataFrame, cols: list[str], text: str) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(self.words)
+        taken = [f"_{i}" for i in range(len(cols))]
+        rows = with_buckets(df.select(*[F.col(c).alias(t) for c, t in zip(cols, taken)], F.col(text).alias("_text")), self.cfg, "_text").drop("_text")
+        return document_vectors(rows, shared, self.cfg).select(*[F.col(t).alias(c) for c, t in zip(cols, taken)], "vector")
+
+    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        """key, keep, p_hate (two classes) or probabilities (more). Narrow."""
+        margins = [F.aggregate(F.zip_with("vector", constant_array(row), lambda a, b: a * b), F.lit(b), lambda a, p: a + p) for row, b in zip(self.coefficients, self.intercepts)]
+        return self._folded(df, [key, *keep], text).select(key, *keep, probability(margins))
+
+    def vectors(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """key, vector: the text folded in against the fitted word vectors."""
+        return self._folded(df, [key], text)
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        state = json.dumps({"cfg": asdict(self.cfg), "coefficients": self.coefficients, "intercepts": self.intercepts})
+        spark.createDataFrame([(state,)], "state string").coalesce(1).write.text(f"{path}/state")
+        slices = [(j, bytearray(self.words[j : j + 512].tobytes())) for j in range(0, len(self.words), 512)]
+        spark.createDataFrame(slices, "slice int, data binary").write.parquet(f"{path}/words")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "EmbedModel":
+        state = json.loads(spark.read.text(f"{path}/state", wholetext=True).first()[0])
+        cfg = EmbedConfig(**state["cfg"])
+        slices = sorted(map(tuple, spark.read.parquet(f"{path}/words").collect()))
+        words = np.frombuffer(b"".join(bytes(d) for _, d in slices), dtype=np.float32).reshape(-1, cfg.vector_size)
+        return cls(cfg, words, state["coefficients"], state["intercepts"])
+
+
+def fit_embedding(train: DataFrame, cfg: EmbedConfig = EmbedConfig()) -> EmbedModel:
+    """Word vectors by hashed co-occurrence, texts folded in, regression on (text, y).
+
+    The driver holds ``buckets`` rows, whatever the vocabulary."""
+    ids = materialise(with_buckets(train, cfg).select("y", "_ids"), "buckets")
+    words = fit_words(ids, cfg)
+    shared = train.sparkSession.sparkContext.broadcast(words)
+    features = document_vectors(ids, shared, cfg).select("y", array_to_vector("vector").alias("features"))
+    lr = fit_regression(materialise(features, "embed-features"), class_counts(train), cfg.C, cfg.max_iter)
+    return EmbedModel(cfg, words, lr.coefficientMatrix.toArray().tolist(), [float(b) for b in lr.interceptVector])
 
 
 def fit_verifier(train: DataFrame, cfg: VerifierConfig = VerifierConfig()) -> StageModel:

@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.obfuscate import obfuscate_text
 from vigil.functions.text import clean_nonempty
 from vigil.operators import metrics as M
-from vigil.operators import robustness as B
 from vigil.operators import sweeps as S
 from vigil.operators.corpus import stratified_split
 from vigil.operators.models import (
     EmbedConfig,
+    EmbedModel,
     StageModel,
     TfidfConfig,
     TfidfModel,
@@ -26,7 +25,7 @@ from vigil.operators.models import (
 )
 from vigil.session import materialise, scratch_path
 
-Model = TfidfModel | StageModel
+Model = TfidfModel | EmbedModel | StageModel
 Trainer = Callable[[DataFrame], Model]
 
 TRAINERS: dict[str, Callable[..., Model]] = {
@@ -75,31 +74,6 @@ def three_way(model_type: str, prepared: DataFrame, cfg=None) -> tuple[DataFrame
     return classwise, M.multiclass_summary(classwise, ["model"])
 
 
-def cross_dataset(model_type: str, corpora: dict[str, DataFrame], cfg=None) -> DataFrame:
-    """Train on each corpus, score the test split of every corpus, compare with in-domain."""
-    scores = None
-    for train_name, prepared in corpora.items():
-        model = fit(model_type, prepared, cfg=cfg)
-        for eval_name, other in corpora.items():
-            rows = model.score(part(other, "test"), keep=("y",)).select(
-                F.lit(model_type).alias("model"),
-                F.lit(train_name).alias("train"),
-                F.lit(eval_name).alias("eval"),
-                F.col("y").alias("label"),
-                F.col("p_hate").alias("p"),
-            )
-            scores = rows if scores is None else scores.unionByName(rows)
-    return B.cross_dataset(materialise(scores, "cross-scores"))
-
-
-def threshold_tuning(model_type: str, prepared: DataFrame, cfg=None) -> DataFrame:
-    """Tune the threshold of a fitted model on val, report it on test."""
-    model = fit(model_type, prepared, cfg=cfg)
-    held_out = prepared.filter(F.col("split") != "train")
-    scores = materialise(model.score(held_out, keep=("split", "label")), "scores")
-    return S.tune_threshold(scores.withColumn("model", F.lit(model_type)), ["model"])
-
-
 def cascade_scores(
     prepared: DataFrame, t1: float = 0.2, stage1: str = "tfidf", stage2: str = "verifier", cfgs=(None, None)
 ) -> DataFrame:
@@ -130,35 +104,8 @@ def cascade_frontier(prepared: DataFrame, cfgs=(None, None)) -> DataFrame:
     return S.cascade_sweep(both.withColumn("model", F.lit("tfidf>verifier")), ["model"])
 
 
-def robustness(model_type: str, prepared: DataFrame, cfg=None) -> DataFrame:
-    """Score the test split clean and obfuscated with one model."""
-    model = fit(model_type, prepared, cfg=cfg)
-    test = prepared.filter(F.col("split") == "test").select("doc_id", "text", "label")
-    noisy = test.withColumn("noisy", obfuscate_text(F.col("text"), F.col("doc_id")))
-    clean = model.score(noisy, keep=("label", "noisy")).withColumnRenamed("p_hate", "p_clean")
-    both = model.score(clean, text="noisy", keep=("label", "p_clean")).withColumnRenamed("p_hate", "p_obf")
-    return B.robustness(both.withColumn("model", F.lit(model_type)), ["model"], "p_clean", "p_obf")
-
-
 def group_audit(model_type: str, prepared: DataFrame, group: str, order: list[str], cfg=None) -> DataFrame:
     """Audit the test predictions of a fitted model by group."""
     model = fit(model_type, prepared, cfg=cfg)
     scored = predictions(model.score(part(prepared, "test"), keep=("label", group)))
     return M.group_audit(scored, group, order)
-
-
-def multi_seed(model_type: str, corpus: DataFrame, seeds: tuple[int, ...] = (42, 7, 1337), cfg=None) -> DataFrame:
-    """Refit under several split seeds and summarise the test metrics.
-
-    The texts are cleaned and written once, with the split of every seed beside them:
-    a split is a matter of key and label alone.
-    """
-    keys = corpus.select("doc_id", "label3")
-    for seed in seeds:
-        keys = stratified_split(keys, "doc_id", "label3", salt=f":{seed}").withColumnRenamed("split", f"split_{seed}")
-    cleaned = materialise(clean_nonempty(corpus.join(keys.drop("label3"), "doc_id")), "prepared")
-    runs = None
-    for seed in seeds:
-        m = in_domain(model_type, cleaned.withColumn("split", F.col(f"split_{seed}")), cfg).withColumn("seed", F.lit(seed))
-        runs = m if runs is None else runs.unionByName(m)
-    return M.seed_summary(materialise(runs, "runs"), ["model"])

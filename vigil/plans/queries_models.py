@@ -11,7 +11,9 @@ from vigil.functions.text import clean_text
 from vigil.operators import features as X
 from vigil.operators import models as ML
 from vigil.operators import report as P
+from vigil.operators.embedding import EmbedConfig
 from vigil.plans import experiments as E
+from vigil.plans import many as Y
 from vigil.plans import tables as T
 from vigil.plans.queries_corpus import SPLIT_SQL
 from vigil.plans.queries_text import GRAMS_SQL, WORDS_SQL
@@ -64,7 +66,7 @@ def feat_tfidf(spark, sf_dir):
 
 # -------------------------------------------------------------- fitted models
 TFIDF = X.TfidfConfig()
-EMBED = ML.EmbedConfig()
+EMBED = EmbedConfig()
 VERIFY = ML.VerifierConfig()
 
 
@@ -171,18 +173,6 @@ def _corpora(spark, sf_dir):
     return {d: corpus.filter(F.col("dataset") == d) for d in DATASETS}
 
 
-def _stacked(runs):
-    out = None
-    for m in runs:
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-def _of_all(run, corpora):
-    """The rows of ``run`` for every model on every corpus, with the corpus."""
-    return _stacked(run(name, corpus, cfg).withColumn("dataset", F.lit(d)) for d, corpus in corpora.items() for name, cfg in MODELS)
-
-
 @query("exp_in_domain")
 def exp_in_domain(spark, sf_dir):
     """Report rows of all three models on each corpus, fitted and scored on its own split."""
@@ -198,15 +188,13 @@ def exp_in_domain(spark, sf_dir):
 @query("exp_cross_dataset_fitted")
 def exp_cross_dataset_fitted(spark, sf_dir):
     """All three models, fitted on each corpus and scored on the other."""
-    corpora = {d: E.prepare(c) for d, c in _corpora(spark, sf_dir).items()}
-    return rounded(_stacked(E.cross_dataset(name, corpora, cfg) for name, cfg in MODELS), 6)
+    return rounded(Y.cross_dataset(MODELS, _corpora(spark, sf_dir)), 6)
 
 
 @query("exp_threshold_tune_fitted")
 def exp_threshold_tune_fitted(spark, sf_dir):
     """The tuned threshold of all three models on each corpus."""
-    corpora = {d: E.prepare(c) for d, c in _corpora(spark, sf_dir).items()}
-    return rounded(_of_all(E.threshold_tuning, corpora), 6)
+    return rounded(Y.threshold_tuning(MODELS, _corpora(spark, sf_dir)), 6)
 
 
 @query("exp_cascade_fitted", f"WITH {_TEST} SELECT doc_id, label, true AS routed_by_first, true AS scored_by_its_stage FROM held")
@@ -226,8 +214,7 @@ def exp_cascade_sweep_fitted(spark, sf_dir):
 @query("exp_robustness_fitted")
 def exp_robustness_fitted(spark, sf_dir):
     """All three models on the clean and the obfuscated test rows of each corpus."""
-    corpora = {d: E.prepare(c) for d, c in _corpora(spark, sf_dir).items()}
-    return rounded(_of_all(E.robustness, corpora), 6)
+    return rounded(Y.robustness(MODELS, _corpora(spark, sf_dir)), 6)
 
 
 @query("exp_group_audit_fitted")
@@ -239,4 +226,4 @@ def exp_group_audit_fitted(spark, sf_dir):
 @query("exp_multi_seed")
 def exp_multi_seed(spark, sf_dir):
     """All three models on each corpus under several split seeds."""
-    return rounded(_of_all(lambda name, corpus, cfg: E.multi_seed(name, corpus, cfg=cfg), _corpora(spark, sf_dir)), 6)
+    return rounded(Y.multi_seed(MODELS, _corpora(spark, sf_dir)), 6)
