@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.fixture(scope="module")
