@@ -74,83 +74,105 @@ def test_model_without_rows(spark, no_docs, strange_docs):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["held_out"] and r["base_score"] == 0 for r in rows)
 
 
+def held_levels(text, bits, hashes):
+    """Keys and exact levels of a text's 2- and 3-grams, with the filter segment that holds them."""
+    out = {}
+    for order in ngram_lm.ORDERS:
+        keys, c = np.unique(ngram_lm.keys_of(text, np.array([0, len(text)]), order, bits)[1], return_counts=True)
+        out[order] = keys, ngram_lm.level_of(c), ngram_lm.segment_of(keys, ngram_lm.level_of(c), hashes)
+    return out
+
+
+def test_filter_holds_every_ngram_and_errs_at_its_rate():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 63, 200_000, dtype=np.uint64))
+    held, others = keys[::2], keys[1::2]
+    levels = ngram_lm.level_of(rng.zipf(1.7, len(held)).clip(1, 1 << 20))
+    segment = ngram_lm.segment_of(held, levels, ngram_lm.HASHES)
+    assert abs(np.unpackbits(segment).mean() - 0.5) < 0.01
+    assert abs(8 * len(segment) / levels.sum() - ngram_lm.HASHES / math.log(2)) < 0.01
+    got = ngram_lm.probe(segment, held, ngram_lm.HASHES)
+    assert (got >= levels).all() and (got > levels).mean() < 0.006
+    assert 0.002 < (ngram_lm.probe(segment, others, ngram_lm.HASHES) > 0).mean() < 0.006
+    empty = ngram_lm.segment_of(held[:0], levels[:0], ngram_lm.HASHES)
+    assert not len(empty) and not ngram_lm.probe(empty, others, ngram_lm.HASHES).any()
+
+
 def test_probabilities_sum_to_one_at_most():
     rng = np.random.default_rng(1)
     vocab = rng.integers(1, 1 << 63, 40, dtype=np.uint64)
     text = vocab[np.minimum(rng.geometric(0.15, 20_000), 40) - 1]
-    first, bits = np.array([0, len(text)]), 38
     names, counts = np.unique(text, return_counts=True)
-    lowest = {2: ngram_lm.LOWEST, 3: ngram_lm.LOWEST}
-    bloom = np.zeros(ngram_lm.BITS // 8, dtype=np.uint8)
-    for order in ngram_lm.ORDERS:
-        keys, c = np.unique(ngram_lm.keys_of(text, first, order, bits)[1], return_counts=True)
-        level = ngram_lm.level_of(c)
-        for lev in range(ngram_lm.LOWEST, 20):
-            for turn in range(ngram_lm.HASHES):
-                at = ngram_lm._positions(keys[level >= lev], order, lev, turn)
-                np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        assert (ngram_lm.probe(bloom, keys, order, ngram_lm.LOWEST) == np.where(level >= ngram_lm.LOWEST, level, 0)).mean() > 0.999
+    held = held_levels(text, 38, 40)
     for u, v in rng.choice(names, (30, 2)):
         total = 0.0
         for w in names:
-            h = np.array([u, v, w], dtype=np.uint64)
+            h, first = np.array([u, v, w], dtype=np.uint64), np.array([0, 3])
             c = np.array([counts[np.searchsorted(names, x)] for x in h])
-            total += 10 ** ngram_lm.log_probabilities(h, np.array([0, 3]), c, len(text), len(names), bloom, lowest, bits)[1][2]
+            levels = {o: ngram_lm.probe(held[o][2], ngram_lm.keys_of(h, first, o, 38)[1], 40) for o in ngram_lm.ORDERS}
+            total += 10 ** ngram_lm.smoothed(h, first, c, len(text), len(names), levels)[1][2]
         assert 0.3 < total <= 1 + 1e-9
 
 
-def test_levels_stay_within_the_filter(spark, monkeypatch):
-    from vigil.llm import exchange as X
-
-    keys = np.arange(1000, dtype=np.uint64)
-    rows = [(o, X.pack(keys, np.full(1000, 2 + o, dtype=np.uint8))) for o in ngram_lm.ORDERS]
-    held = spark.createDataFrame(rows, "ngram int, data binary")
-    assert ngram_lm.lowest_levels(held) == {2: ngram_lm.LOWEST, 3: ngram_lm.LOWEST}
-    monkeypatch.setattr(ngram_lm, "BITS", 1 << 14)
-    assert ngram_lm.lowest_levels(held) == {2: 4, 3: 5}
-
-
-def brute_scores(rows, is_train, least):
-    """Smoothed scores by counting all n-grams; those seen less than ``least`` times do not count."""
+def brute_scores(rows, is_train):
+    """Smoothed scores by counting all n-grams in dictionaries."""
     def of(text):
         return [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "")), None]
 
     counts = {n: Counter(tuple(t[i : i + n]) for d, x in rows if is_train(d) for t in [of(x)] for i in range(len(t) - n + 1)) for n in (1, 2, 3)}
-    total, distinct, out = sum(counts[1].values()), len(counts[1]), []
-    level = lambda g: c.bit_length() if (c := counts[len(g)][g]) >= least else 0
+    total, distinct, k, out = sum(counts[1].values()), len(counts[1]), ngram_lm.K, []
+    low = lambda *g: 2 ** (c.bit_length() - 1) if (c := counts[len(g)][g]) else 0
     for d, x in rows:
         t, score = of(x), 0.0
         for i in range(len(t)):
             p = (counts[1][(t[i],)] + 1) / (total + distinct + 1)
-            if i >= 1 and counts[1][(t[i - 1],)]:
-                q = level((t[i - 1], t[i]))
-                p = 0.5 * min(1, (2 ** (q - 1) if q else 0) / counts[1][(t[i - 1],)]) + 0.5 * p
-            if i >= 2 and (held := level((t[i - 2], t[i - 1]))):
-                q = level((t[i - 2], t[i - 1], t[i]))
-                p = 0.5 * min(1, (2 ** (q - 1) if q else 0) / min(2**held - 1, counts[1][(t[i - 2],)])) + 0.5 * p
+            if i >= 1 and (c := counts[1][(t[i - 1],)]):
+                p = (low(*t[i - 1 : i + 1]) + k * p) / (c + k)
+            if i >= 2 and (pair := low(*t[i - 2 : i])):
+                high = min(2 * pair - 1, counts[1][(t[i - 2],)])
+                p = (min(high, low(*t[i - 2 : i + 1])) + k * p) / (high + k)
             score += math.log10(p)
         out.append((d, len(t), score))
     return out
 
 
-def test_scores_use_exact_counts_at_any_size(spark, strange_docs, strange_rows, monkeypatch):
-    # A filter of this size would have room for no more than 70 insertions an order.
-    monkeypatch.setattr(ngram_lm, "BITS", 1 << 10)
-    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in ngram_lm.report(strange_docs, train()).collect()), key=str)
-    want = sorted(brute_scores(strange_rows, lambda d: d is None or brute.crc_mod(d, 7) != 2, 1 << ngram_lm.LOWEST - 1), key=str)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(abs(g[2] - w[2]) <= 1e-9 * abs(w[2]) for g, w in zip(got, want))
+@pytest.mark.parametrize("broadcast_bytes", [ngram_lm.BROADCAST_BYTES, 0])
+def test_scores_equal_a_count_of_all_ngrams(spark, strange_docs, strange_rows, broadcast_bytes):
+    """With 40 bits per insertion no probe errs; with eight, few do, and the same in both ways."""
+    want = sorted(brute_scores(strange_rows, lambda d: d is None or brute.crc_mod(d, 7) != 2), key=str)
+    for hashes, bound in ((40, 1e-9), (ngram_lm.HASHES, 0.02)):
+        rows = ngram_lm.report(strange_docs, train(), hashes, broadcast_bytes).collect()
+        got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in rows), key=str)
+        assert sorted((g[:2] for g in got), key=str) == sorted((w[:2] for w in want), key=str)
+        assert abs(sum(g[2] for g in got) - sum(w[2] for w in want)) <= bound * abs(sum(w[2] for w in want))
+        if hashes == 40:
+            assert all(abs(g[2] - w[2]) <= 1e-9 * abs(w[2]) for g, w in zip(got, want))
+
+
+def test_both_ways_to_the_bits_give_the_same_scores(spark, strange_docs):
+    ways = [sorted(map(str, ngram_lm.report(strange_docs, train(), broadcast_bytes=b).collect())) for b in (ngram_lm.BROADCAST_BYTES, 0)]
+    assert ways[0] == ways[1]
 
 
 def test_ngrams_seen_once_count(spark):
-    got = {r["doc_id"]: r["score"] for r in ngram_lm.report(frame(spark, [(1, "one two three")]), F.lit(True)).collect()}
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.report(frame(spark, [(1, "one two three")]), F.lit(True), 40).collect()}
     # Each of the four tokens (the end is one) occurs once, as does each n-gram.
+    k = ngram_lm.K
     p1 = 2 / 9
-    p2 = 0.5 + 0.5 * p1
-    p3 = 0.5 + 0.5 * p2
+    p2 = (1 + k * p1) / (1 + k)
+    p3 = (1 + k * p2) / (1 + k)
     assert abs(got[1] - math.log10(p1 * p2 * p3 * p3)) < 1e-12
 
 
+def test_more_copies_gain_more(spark):
+    rows = [(i * 100 + j, " ".join(words(i, 80))) for i, n in enumerate((1, 2, 3, 4, 8, 16), 1) for j in range(n)]
+    rows += [(10_000 + i, " ".join(words(60 + i, 80))) for i in range(20)]
+    got = {r["doc_id"]: (r["score"], r["score"] - r["base_score"]) for r in ngram_lm.report(frame(spark, rows), F.col("doc_id") < 10_000).collect()}
+    scores = [got[i * 100][0] for i in range(1, 7)]
+    assert scores == sorted(scores)
+    assert min(got[i * 100][1] for i in range(1, 7)) > 20 > max(gain for i, (_, gain) in got.items() if i >= 10_000)
+
+
 def test_repeated_text_scores_higher(spark):
     known = " ".join(words(7, 60))
     rows = [(i, known) for i in range(1, 40)] + [(100 + i, " ".join(words(50 + i, 60))) for i in range(10)]

@@ -28,16 +28,18 @@ LEAST = 24
 @dataclass(frozen=True)
 class Layout:
     """Sizes that follow from the bytes of all texts: chunks and buckets grow with the
-    input, so that neither grows itself; ``bits`` keeps chance hits equally rare."""
+    input, so that neither grows itself; ``bits`` keeps chance hits equally rare,
+    ``size`` is those bytes."""
 
     chunks: int
     buckets: int
     bits: int
+    size: int
 
     @classmethod
     def of(cls, docs: DataFrame, text: str = "text") -> "Layout":
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        return cls(max(LEAST, -(-size // CHUNK_BYTES)), max(LEAST, -(-size // BUCKET_BYTES)), min(56, max(36, int(size).bit_length() + 8)))
+        return cls(max(LEAST, -(-size // CHUNK_BYTES)), max(LEAST, -(-size // BUCKET_BYTES)), min(56, max(36, int(size).bit_length() + 8)), int(size))
 
 
 def chunked(docs: DataFrame, layout: Layout) -> tuple[DataFrame, str]:

@@ -1,23 +1,32 @@
-"""Trigram language model on exact n-gram counts, quantised by their logarithm.
+"""Trigram language model on a log-frequency Bloom filter of n-gram counts.
 
 Counting: chunks of documents send the distinct 1-, 2- and 3-grams of their texts, with
 how often their training texts have them, to buckets of hash space. The buckets' exact
-sums give the number of tokens N and of distinct tokens V, and each chunk is told the
-counts of its own n-grams, in the order in which it asked. So no table of the whole
-corpus is held anywhere, and no n-gram is dropped at any size.
-An n-gram of order 2 or 3 with count c has the quantised count q = 1 + floor(log2(c)).
-Scoring: with lower bounds of the counts above and upper bounds below the fraction line,
+sums give the number of tokens N and of distinct tokens V and the counts c(w), which each
+chunk is told for its own words.
 
-    p1(w) = (c(w) + 1) / (N + V + 1)
-    p2(w | v) = L2 * low(vw) / c(v) + (1 - L2) * p1(w)
-    p3(w | uv) = L3 * low(uvw) / high(uv) + (1 - L3) * p2(w | v)
+Filter: every 2- and 3-gram of a training text, from count 1 on, is held with the quantised
+count q = 1 + floor(log2(c)) as q insertions, (key, 1) to (key, q). The filter has one
+segment per order and bucket; a bucket sizes its segment from the insertions it has
+counted, so that half of the bits are set at any size of the input. Reading asks for
+(key, 1), (key, 2), ... until one is not held. With ``hashes`` = 8 bits per insertion a
+question for something that was not inserted is answered yes at a rate of 2^-8.
+
+Transport: a segment's bits come to the keys or the keys to the bits. Where a bound on the
+filter that follows from the bytes of the texts (:func:`largest_filter`) is at most
+``broadcast_bytes``, all segments are broadcast and the chunks probe them; beyond, a bucket
+probes its segment with the keys it was sent and answers in the order of the questions.
+Bits, probes and scores are the same in both ways.
 
-sum to at most 1 over w; a context that was not seen falls back to the shorter one.
-The base score uses p1 alone.
+Scoring: low and high are the least and the largest count of a level,
+
+    p1(w) = (c(w) + 1) / (N + V + 1)
+    p2(w | v) = (low(vw) + K * p1(w)) / (c(v) + K)
+    p3(w | uv) = (low(uvw) + K * p2(w | v)) / (high(uv) + K)
 
-A log-frequency Bloom filter of ``BITS`` bits (:func:`lowest_levels`, :func:`probe`,
-:func:`log_probabilities`) is a bounded form of the same model; it drops rare n-grams
-of a large corpus, and :func:`report` does not use it.
+sum to at most 1 over w (where no probe errs); the longer context weighs more the more
+often it was seen, and one that was not seen falls back to the shorter one. The base score
+uses p1 alone.
 
 Defined cases: null and empty texts have one token, the end; a null id is a
 training row; repeated rows count as often as they occur; without training rows
@@ -37,13 +46,11 @@ from vigil.llm.words import NOT_SPACE, U64, Words, mix, pieces, raw_texts, windo
 from vigil.session import materialise
 
 ORDERS = (2, 3)
-BITS = 1 << 29
-HASHES = 5
-LOWEST = 1
+HASHES = 8
+BROADCAST_BYTES = 64 << 20
 LEVELS = 40
-#: Weight of the longer n-gram, for orders 2 and 3.
-LAMBDA = {2: 0.5, 3: 0.5}
-SEGMENTS = 64
+#: Weight of the shorter context, as a count.
+K = 4.0
 #: Bits of a token's key: two of a billion tokens meet with a probability of 0.4.
 WORD_BITS = 60
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
@@ -90,54 +97,43 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
-def _positions(keys: np.ndarray, order: int, level: np.ndarray | int, turn: int) -> np.ndarray:
-    """Bit for one hash function: a segment by the key, a place in it by key, level and turn."""
-    salt = U64(order * 0x9E3779B97F4A7C15 + turn * 0xD6E8FEB86659FD95 & (1 << 64) - 1)
-    place = mix(keys + np.asarray(level, dtype=np.uint64) * U64(0xC2B2AE3D27D4EB4F) + salt)
-    return ((mix(keys + U64(order)) >> U64(58)) * U64(BITS // SEGMENTS) + place % U64(BITS // SEGMENTS)).astype(np.int64)
+def _places(keys: np.ndarray, level: np.ndarray | int, turn: int, bits: int) -> np.ndarray:
+    """The bit that hash function ``turn`` gives (key, level) in a segment of ``bits`` bits."""
+    one = mix(keys + np.asarray(level, dtype=np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+    two = (one >> U64(32)) * U64(0x9E3779B97F4A7C15) | U64(1)
+    return (mix(one + U64(turn) * two) % U64(bits)).astype(np.int64)
 
 
-def lowest_levels(held: DataFrame) -> dict[int, int]:
-    """For each order the level from which on its n-grams are inserted."""
-
-    def tell(batches):
-        for batch in batches:
-            for order, data in zip(batch.column("ngram").to_pylist(), batch.column("data").to_pylist()):
-                n = np.bincount(X.unpack(data, np.uint8)[1], minlength=LEVELS)
-                yield pa.RecordBatch.from_arrays([pa.array([order] * LEVELS, pa.int32()), pa.array(range(LEVELS), pa.int32()), pa.array(n, pa.int64())], names=["ngram", "level", "n"])
-
-    rows = held.select("ngram", "data").mapInArrow(tell, "ngram int, level int, n long").groupBy("ngram", "level").agg(F.sum("n")).collect()
-    room = BITS * np.log(2) / HASHES / len(ORDERS)
-    out = {}
-    for order in ORDERS:
-        n = np.zeros(LEVELS)
-        for r in rows:
-            if r[0] == order:
-                n[r[1]] = r[2]
-        levels = np.arange(LEVELS)
-        fits = [low for low in range(LOWEST, LEVELS) if (n * np.maximum(0, levels - low + 1)).sum() <= room]
-        out[order] = fits[0]
-    return out
+def segment_of(keys: np.ndarray, levels: np.ndarray, hashes: int) -> np.ndarray:
+    """Bits, as bytes, that hold each key up to its level; sized from the insertions."""
+    insertions = int(levels.sum(dtype=np.int64))
+    size = -(-int(insertions * hashes / np.log(2)) // 8)
+    held = np.zeros(8 * size, dtype=np.bool_)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        keys, levels = keys[levels >= level], levels[levels >= level]
+        for turn in range(hashes):
+            held[_places(keys, level, turn, 8 * size)] = True
+    return np.packbits(held, bitorder="little")
 
 
-def probe(bloom: np.ndarray, keys: np.ndarray, order: int, low: int) -> np.ndarray:
+def probe(segment: np.ndarray, keys: np.ndarray, hashes: int) -> np.ndarray:
     """Quantised count of each key, 0 where it is not held: one more level per hit."""
     level = np.zeros(len(keys), dtype=np.uint8)
-    alive = np.arange(len(keys))
-    for lev in range(low, LEVELS):
-        for turn in range(HASHES):
-            bit = _positions(keys[alive], order, lev, turn)
-            alive = alive[(bloom[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+    alive = np.arange(len(keys)) if len(segment) else np.zeros(0, dtype=np.int64)
+    for lev in range(1, LEVELS):
+        for turn in range(hashes):
+            bit = _places(keys[alive], lev, turn, 8 * len(segment))
+            alive = alive[(segment[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
         if not len(alive):
             break
         level[alive] = lev
     return level
 
 
-def log_probabilities(h: np.ndarray, first: np.ndarray, count: np.ndarray, total: int, distinct: int, bloom: np.ndarray, lowest: dict[int, int], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`smoothed` with the quantised counts that a filter holds."""
-    levels = {order: probe(bloom, keys_of(h, first, order, bits)[1], order, lowest[order]) for order in ORDERS}
-    return smoothed(h, first, count, total, distinct, levels)
+def largest_filter(text_bytes: int, hashes: int) -> int:
+    """Bound on the bytes of all segments: a text of b bytes has at most b words, so at most b
+    n-grams of an order, and an n-gram of count c takes no more than c insertions."""
+    return int(len(ORDERS) * text_bytes * hashes / np.log(2) / 8) + 1
 
 
 def smoothed(h: np.ndarray, first: np.ndarray, count: np.ndarray, total: int, distinct: int, levels: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,18 +148,21 @@ def smoothed(h: np.ndarray, first: np.ndarray, count: np.ndarray, total: int, di
     context = count[at - 1].astype(np.float64)
     known = context > 0
     at, context = at[known], context[known]
-    low = np.where(pair[at] > 0, 2.0 ** (pair[at].astype(np.float64) - 1), 0)
-    p[at] = LAMBDA[2] * np.minimum(1, low / context) + (1 - LAMBDA[2]) * p1[at]
+    p[at] = (np.minimum(_low(pair[at]), context) + K * p1[at]) / (context + K)
     start = windows(h, first, 3)[0]
     held = pair[start + 1] > 0
     start, triple = start[held], levels[3][held]
     at = start + 2
     high = np.minimum(2.0 ** pair[start + 1].astype(np.float64) - 1, np.maximum(count[start], 1))
-    low = np.where(triple > 0, 2.0 ** (triple.astype(np.float64) - 1), 0)
-    p[at] = LAMBDA[3] * np.minimum(1, low / high) + (1 - LAMBDA[3]) * p[at]
+    p[at] = (np.minimum(_low(triple), high) + K * p[at]) / (high + K)
     return np.log10(p1), np.log10(p)
 
 
+def _low(level: np.ndarray) -> np.ndarray:
+    """Least count of each level, 0 for none."""
+    return np.where(level > 0, 2.0 ** (level.astype(np.float64) - 1), 0)
+
+
 def grams_of(table: pa.Table, flag: str, bits: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
     """Tokens of a chunk, where its texts begin, and per order the key of every n-gram and
     whether a training text has it."""
@@ -176,7 +175,7 @@ def grams_of(table: pa.Table, flag: str, bits: int) -> tuple[np.ndarray, np.ndar
     return h, first, grams
 
 
-def report(docs: DataFrame, train) -> DataFrame:
+def report(docs: DataFrame, train, hashes: int = HASHES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     document row; ``train`` is the condition of the training rows."""
     docs = docs.select("doc_id", "text")
@@ -184,12 +183,16 @@ def report(docs: DataFrame, train) -> DataFrame:
     docs = docs.withColumn(flag, F.coalesce(train, F.lit(True)))
     layout = X.Layout.of(docs)
     width = {order: WORD_BITS if order == 1 else layout.bits for order in (1, *ORDERS)}
+    shared = largest_filter(layout.size, hashes) <= broadcast_bytes
     parts, chunk = X.chunked(docs, layout)
 
     def ask(key, table):
         sent = []
         for order, (keys, own) in grams_of(table, flag, layout.bits)[2].items():
-            rows = X.to_buckets(key[0].as_py(), width[order], layout.buckets, *_summed(keys, own))
+            keys, counts = _summed(keys, own)
+            if order > 1 and shared:
+                keys, counts = keys[counts > 0], counts[counts > 0]
+            rows = X.to_buckets(key[0].as_py(), width[order], layout.buckets, keys, counts)
             sent.append(rows.append_column("ngram", pa.array([order] * len(rows), pa.int32())))
         return pa.concat_tables(sent)
 
@@ -202,16 +205,23 @@ def report(docs: DataFrame, train) -> DataFrame:
         at = X.groups(keys)
         sums = np.add.reduceat(counts, at)
         total, distinct = (int(sums.sum()), int((sums > 0).sum())) if order == 1 else (0, 0)
-        told = np.empty(len(keys), dtype=np.int64)
-        told[by] = np.repeat(sums, np.diff(np.append(at, len(keys))))
         if order > 1:
-            told = level_of(told)
+            some = sums > 0
+            segment = segment_of(keys[at][some], level_of(sums[some]), hashes)
+            if shared:
+                return told_rows([None], order, bucket, [segment.tobytes()], 0, 0)
+            sums = probe(segment, keys[at], hashes)
+        told = np.empty(len(keys), dtype=sums.dtype)
+        told[by] = np.repeat(sums, np.diff(np.append(at, len(keys))))
         # Answers stand in the order of the chunk's sorted keys, so no key travels back.
         data = [_planes(x) for x in np.split(told, np.cumsum([len(s[0]) for s in sent])[:-1])]
+        return told_rows(table.column("chunk").to_pylist(), order, bucket, data, total, distinct)
+
+    def told_rows(chunks, order, bucket, data, total, distinct):
         n = len(data)
         return pa.table(
             {
-                "chunk": table.column("chunk"),
+                "chunk": pa.array(chunks, pa.int32()),
                 "ngram": pa.array([order] * n, pa.int32()),
                 "bucket": pa.array([bucket] * n, pa.int32()),
                 "data": pa.array(data, pa.binary()),
@@ -220,15 +230,26 @@ def report(docs: DataFrame, train) -> DataFrame:
             }
         )
 
+    def levels_of(order, keys, answers):
+        """Quantised counts of sorted distinct keys: as told, or by probes of the shared filter."""
+        if not shared:
+            return np.concatenate([np.zeros(0, dtype=np.uint8), *[_values(d, np.uint8) for o, _, d in answers if o == order]])
+        border = X.split_by_bucket(keys, layout.bits, layout.buckets)
+        out = np.zeros(len(keys), dtype=np.uint8)
+        for b in np.flatnonzero(np.diff(border)):
+            part = slice(border[b], border[b + 1])
+            out[part] = probe(np.frombuffer(filters.value.get((order, int(b)), b""), np.uint8), keys[part], hashes)
+        return out
+
     def rate(key, table, told):
         h, first, grams = grams_of(table, flag, layout.bits)
         answers = sorted(zip(*(told.column(c).to_pylist() for c in ("ngram", "bucket", "data"))))
+        words, place = np.unique(grams.pop(1)[0], return_inverse=True)
+        count = np.concatenate([np.zeros(0, dtype=np.int64), *[_values(d, np.int64) for o, _, d in answers if o == 1]])[place]
         found = {}
         for order, (keys, _) in grams.items():
-            kind = np.int64 if order == 1 else np.uint8
-            n = np.concatenate([np.zeros(0, dtype=kind), *[_values(d, kind) for o, _, d in answers if o == order]])
-            found[order] = n[np.unique(keys, return_inverse=True)[1]]
-        count = found.pop(1)
+            keys, place = np.unique(keys, return_inverse=True)
+            found[order] = levels_of(order, keys, answers)[place]
         base, smooth = smoothed(h, first, count, total, distinct, found)
         begin = first[:-1]
         sums = [np.add.reduceat(v, begin) if len(begin) else v for v in (base, smooth, (count > 0).astype(np.int64))]
@@ -248,6 +269,8 @@ def report(docs: DataFrame, train) -> DataFrame:
     asked = by_chunk.applyInArrow(ask, f"{X.TO_BUCKET}, ngram int")
     told = materialise(asked.groupBy("ngram", "bucket").applyInArrow(answer, "chunk int, ngram int, bucket int, data binary, n_distinct long, n_total long"), "counts")
     distinct, total = (int(v or 0) for v in told.agg(F.sum("n_distinct"), F.sum("n_total")).first())
-    told = told.select("chunk", "ngram", "bucket", "data")
+    # At most broadcast_bytes, by largest_filter.
+    filters = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): bytes(r[2]) for r in told.filter("chunk IS NULL").select("ngram", "bucket", "data").collect()}) if shared else None
+    told = told.filter("chunk IS NOT NULL").select("chunk", "ngram", "bucket", "data")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
