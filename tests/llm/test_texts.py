@@ -98,6 +98,12 @@ def test_filter_holds_every_ngram_and_errs_at_its_rate():
     assert not len(empty) and not ngram_lm.probe(empty, others, ngram_lm.HASHES).any()
 
 
+def test_levels_of_counts():
+    counts = np.array([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, (1 << 40) - 1, 1 << 40])
+    assert ngram_lm.level_of(counts).tolist() == [1, 2, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 79, 80]
+    assert ngram_lm.least_count(np.arange(9)).tolist() == [0, 1, 2, 3, 4, 6, 8, 12, 16]
+
+
 def test_probabilities_sum_to_one_at_most():
     rng = np.random.default_rng(1)
     vocab = rng.integers(1, 1 << 63, 40, dtype=np.uint64)
@@ -121,7 +127,8 @@ def brute_scores(rows, is_train):
 
     counts = {n: Counter(tuple(t[i : i + n]) for d, x in rows if is_train(d) for t in [of(x)] for i in range(len(t) - n + 1)) for n in (1, 2, 3)}
     total, distinct, k, out = sum(counts[1].values()), len(counts[1]), ngram_lm.K, []
-    low = lambda *g: 2 ** (c.bit_length() - 1) if (c := counts[len(g)][g]) else 0
+    steps = [0, 1, *(m << i for i in range(40) for m in (2, 3)), 1 << 41]
+    low = lambda *g: max(x for x in steps if x <= counts[len(g)][g])
     for d, x in rows:
         t, score = of(x), 0.0
         for i in range(len(t)):
@@ -129,7 +136,7 @@ def brute_scores(rows, is_train):
             if i >= 1 and (c := counts[1][(t[i - 1],)]):
                 p = (low(*t[i - 1 : i + 1]) + k * p) / (c + k)
             if i >= 2 and (pair := low(*t[i - 2 : i])):
-                high = min(2 * pair - 1, counts[1][(t[i - 2],)])
+                high = min(steps[steps.index(pair) + 1] - 1, counts[1][(t[i - 2],)])
                 p = (min(high, low(*t[i - 2 : i + 1])) + k * p) / (high + k)
             score += math.log10(p)
         out.append((d, len(t), score))

@@ -6,7 +6,8 @@ sums give the number of tokens N and of distinct tokens V and the counts c(w), w
 chunk is told for its own words.
 
 Filter: every 2- and 3-gram of a training text, from count 1 on, is held with the quantised
-count q = 1 + floor(log2(c)) as q insertions, (key, 1) to (key, q). The filter has one
+count q (two levels per doubling: 1, 2, 3, 4-5, 6-7, 8-11, ...) as q insertions, (key, 1) to
+(key, q). The filter has one
 segment per order and bucket; a bucket sizes its segment from the insertions it has
 counted, so that half of the bits are set at any size of the input. Reading asks for
 (key, 1), (key, 2), ... until one is not held. With ``hashes`` = 8 bits per insertion a
@@ -48,7 +49,7 @@ from vigil.session import materialise
 ORDERS = (2, 3)
 HASHES = 8
 BROADCAST_BYTES = 64 << 20
-LEVELS = 40
+LEVELS = 80
 #: Weight of the shorter context, as a count.
 K = 4.0
 #: Bits of a token's key: two of a billion tokens meet with a probability of 0.4.
@@ -93,8 +94,15 @@ def _values(data: bytes, kind: type) -> np.ndarray:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count)) for counts from 1 on."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
+    """Quantised counts, from 1 on: two levels per doubling."""
+    part, power = np.frexp(counts.astype(np.float64))
+    return np.maximum(1, 2 * (power - 1) + (part >= 0.75)).astype(np.uint8)
+
+
+def least_count(level: np.ndarray) -> np.ndarray:
+    """Least count of each level, 0 for level 0."""
+    level = level.astype(np.int64)
+    return np.where(level > 1, (2 + level % 2) * 2.0 ** (level // 2 - 1), level)
 
 
 def _places(keys: np.ndarray, level: np.ndarray | int, turn: int, bits: int) -> np.ndarray:
@@ -120,7 +128,7 @@ def probe(segment: np.ndarray, keys: np.ndarray, hashes: int) -> np.ndarray:
     """Quantised count of each key, 0 where it is not held: one more level per hit."""
     level = np.zeros(len(keys), dtype=np.uint8)
     alive = np.arange(len(keys)) if len(segment) else np.zeros(0, dtype=np.int64)
-    for lev in range(1, LEVELS):
+    for lev in range(1, LEVELS + 1):
         for turn in range(hashes):
             bit = _places(keys[alive], lev, turn, 8 * len(segment))
             alive = alive[(segment[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
@@ -148,21 +156,16 @@ def smoothed(h: np.ndarray, first: np.ndarray, count: np.ndarray, total: int, di
     context = count[at - 1].astype(np.float64)
     known = context > 0
     at, context = at[known], context[known]
-    p[at] = (np.minimum(_low(pair[at]), context) + K * p1[at]) / (context + K)
+    p[at] = (np.minimum(least_count(pair[at]), context) + K * p1[at]) / (context + K)
     start = windows(h, first, 3)[0]
     held = pair[start + 1] > 0
     start, triple = start[held], levels[3][held]
     at = start + 2
-    high = np.minimum(2.0 ** pair[start + 1].astype(np.float64) - 1, np.maximum(count[start], 1))
-    p[at] = (np.minimum(_low(triple), high) + K * p[at]) / (high + K)
+    high = np.minimum(least_count(pair[start + 1] + 1) - 1, np.maximum(count[start], 1))
+    p[at] = (np.minimum(least_count(triple), high) + K * p[at]) / (high + K)
     return np.log10(p1), np.log10(p)
 
 
-def _low(level: np.ndarray) -> np.ndarray:
-    """Least count of each level, 0 for none."""
-    return np.where(level > 0, 2.0 ** (level.astype(np.float64) - 1), 0)
-
-
 def grams_of(table: pa.Table, flag: str, bits: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
     """Tokens of a chunk, where its texts begin, and per order the key of every n-gram and
     whether a training text has it."""
