@@ -343,6 +343,19 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def test_places_go_to_usable_labels(spark, monkeypatch):
+    """Labels of absent, null and overlong documents take no place of the bounded sample."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 20)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, *rest: seen.update(texts=texts, y=y))
+    long_text = "x" * (toxicity.MAX_TRAIN_BYTES + 1)
+    docs = frame(spark, [(i, "short text" if i < 100 else None if i < 200 else long_text) for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert len(seen["texts"]) == 40 and seen["y"].sum() == 20 and set(seen["texts"]) == {b"short text"}
+
+
 def test_toxicity_of_strange_rows(spark, strange_docs, strange_rows, no_docs):
     _, labels, _ = labelled(spark, 60)
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
@@ -422,6 +435,15 @@ def test_language_evidence_is_fused(spark):
     assert all(got[i] == "de" and got[100 + i] == "en" for i in range(30))
 
 
+def test_trigram_counts_are_sums_over_all_texts(spark):
+    rows = [(t, lang) for lang, t in (("en", "the cat sat"), ("de", "der hund"), ("en", "on the mat"), (None, "x"), ("de", None), ("fr", ""))] * 3
+    langs, logs = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    assert set(langs) >= {"de", "en"}
+    for lang in ("de", "en"):
+        n = sum(np.bincount(language_id.trigrams(t.encode()), minlength=language_id.BUCKETS) for t, x in rows if x == lang and t)
+        assert np.allclose(logs[langs.index(lang)], np.log((n + 0.5) / (n.sum() + 0.5 * language_id.BUCKETS)))
+
+
 def test_declared_language_is_found_anywhere(spark):
     texts = spark.createDataFrame([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")], "text string, lang string")
     tail = "<body><p>42</p></body></html>"
@@ -433,6 +455,8 @@ def test_declared_language_is_found_anywhere(spark):
         5: (f"<html><!-- <html lang=fr> -->{tail}", None),
         6: (f"<html data-x='a > b' lang=en>{tail}", "en"),
         7: ("<html " * 50_000, None),
+        8: (f"<html data-lang='fr' xml:lang='fr' lang='en'>{tail}", "en"),
+        9: (f"<html data-lang=fr>{tail}", None),
     }
     rows = [(i, f"http://a.example/{i}", page) for i, (page, _) in pages.items()]
     got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), texts).collect()

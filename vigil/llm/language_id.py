@@ -1,7 +1,8 @@
 """Language of web pages: Bayesian fusion of text, declared language, address and host.
 
 * Text: a naive Bayes model over hashed byte trigrams, counted over ALL labelled texts
-  (one row of counts per task and language, summed by a grouped aggregation). The
+  (sums per task, then per language and bucket by a
+  grouped aggregation that combines before it shuffles). The
   likelihood of a page is tempered to that of ``EVIDENCE`` trigrams at most, because
   neighbouring trigrams are not independent.
 * Declared: the ``lang`` attribute of the markup's html tag, wherever on the page that
@@ -17,7 +18,7 @@ of all pages is no hot key; pages travel without their markup.
 Defined cases: null and empty pages have no text evidence and get the fused prior; a
 null or strange address has host and suffix ''; an unknown declared language is no
 evidence; repeated rows are judged one by one; without labelled texts the language
-is null.
+is null; more than 256 labels raise a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ _KEEP = np.ones(256, dtype=bool)
 _KEEP[:0x41] = False
 _KEEP[0x5B:0x61] = False
 _KEEP[0x7B:0x80] = False
-_DECLARED = re.compile(r"<html\b.*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I | re.S)
+#: The attribute named lang itself, behind whole other attributes.
+_DECLARED = re.compile(r"""<html(?:\s+|/)(?:(?!lang\s*=)[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?(?:\s+|/))*?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.I)
 _HTML = re.compile(r"<html\b", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)([^?#]*)", re.I)
 
@@ -76,19 +78,17 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 for at in range(0, len(text), 1 << 20):
                     totals[lang] += np.bincount(trigrams(text[at : at + (1 << 20) + 2]), minlength=BUCKETS)
         for lang, n in totals.items():
-            for part in range(8):
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([n[part::8].astype("<i8").tobytes()], pa.binary())], names=["lang", "part", "n"])
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met), pa.string()), pa.array(met, pa.int32()), pa.array(n[met])], names=["lang", "bucket", "n"])
 
-    def add(key, table):
-        n = np.sum([np.frombuffer(d, "<i8") for d in table.column("n").to_pylist()], axis=0)
-        return pa.table({"lang": pa.array([key[0].as_py()]), "part": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary())})
-
-    kind = "lang string, part int, n binary"
-    rows = labelled.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(count, kind).groupBy("lang", "part").applyInArrow(add, kind).collect()
+    # Never more than languages x BUCKETS rows, however many tasks and texts there are.
+    counted = labelled.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("n")).collect()
     langs = sorted({r[0] for r in rows})
     n = np.zeros((len(langs), BUCKETS))
-    for lang, part, data in rows:
-        n[langs.index(lang), part::8] = np.frombuffer(data, "<i8")
+    for lang, counts in rows:
+        n[langs.index(lang), [c[0] for c in counts]] = [c[1] for c in counts]
     return langs, np.log((n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
 
 
