@@ -66,13 +66,22 @@ def test_non_string_column_becomes_empty(spark):
 
 def plain_demojize(t):
     tones = ["light", "medium-light", "medium", "medium-dark", "dark"]
-    for e, n in sorted(X.EMOJI_NAMES.items(), key=lambda kv: -len(kv[0])):
-        if len(e) > 1:
-            t = t.replace(e, f" {n} ")
+    signs = {ord(c) for c in X.emoji_names() if len(c) == 1}
+    letters = [chr(X.REGIONAL_A + i) for i in range(26)]
     out, i = "", 0
     while i < len(t):
+        keycap = re.match("([#*0-9])\ufe0f?\u20e3", t[i:])
+        if keycap:
+            out, i = out + f" keycap_{keycap[1]} ", i + len(keycap[0])
+            continue
+        if t[i] in letters and t[i + 1 : i + 2] in letters:
+            out, i = out + f" flag_{chr(97 + letters.index(t[i]))}{chr(97 + letters.index(t[i + 1]))} ", i + 2
+            continue
+        if t[i : i + 2] in X.EMOJI_NAMES and len(t[i : i + 2]) == 2:
+            out, i = out + f" {X.EMOJI_NAMES[t[i : i + 2]]} ", i + 2
+            continue
         name = X.EMOJI_NAMES.get(t[i])
-        if name is None and any(a <= ord(t[i]) <= b for a, b in X.PICTOGRAPHS) and unicodedata.category(t[i]) == "So":
+        if name is None and ord(t[i]) in signs:
             name = unicodedata.name(t[i]).lower().replace(" ", "_")
         if name is None:
             out, i = out + t[i], i + 1
@@ -93,6 +102,15 @@ def test_emoji_names(spark):
     assert len(X.emoji_names()) > 1000
 
 
+def test_signs_keycaps_and_flags(spark):
+    every = [e for e in X.emoji_names()]
+    texts = ["".join(every[i : i + 40]) for i in range(0, len(every), 40)] + [f"1{e}2" for e in every[-400::7]]
+    assert column(spark, texts, X.demojize) == [plain_demojize(t) for t in texts]
+    got = column(spark, ["\u2728\u2b50", "\u2705 ok", "\u26a1\ufe0f", "1\ufe0f\u20e3", "#\u20e3", "\U0001f1e9\U0001f1ea\U0001f1eb\U0001f1f7", "\U0001f1e9", "\U0001f7e2", "é 1 # *", "\u261d\U0001f3fd"], X.demojize)
+    want = [" sparkles  star ", " check_mark_button  ok", " high_voltage ", " keycap_1 ", " keycap_# ", " flag_de  flag_fr ", "\U0001f1e9", " large_green_circle ", "é 1 # *", " white_up_pointing_index_medium_skin_tone "]
+    assert got == want
+
+
 def plain_clean(t):
     t = re.sub(r"^RT\s+", "", t, flags=re.I)
     t = re.sub(r"&[a-z]+;|&#\d+;", " ", t)
