@@ -356,6 +356,24 @@ def test_places_go_to_usable_labels(spark, monkeypatch):
     assert len(seen["texts"]) == 40 and seen["y"].sum() == 20 and set(seen["texts"]) == {b"short text"}
 
 
+def test_every_label_counts(spark, monkeypatch):
+    """More labelled texts than the start takes, one of them overlong: all are learned from."""
+    docs, labels, truth = labelled(spark, 500)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts[1000] = "hapax " * 20_000
+    docs, labels = frame(spark, list(texts.items())), labels.union(spark.createDataFrame([(1000, 1)], labels.schema))
+    truth = truth | {1000: 1}
+    taken = {i: t for i, t in truth.items() if brute.crc_mod(i, 5)}
+    rows = toxicity.every_row(docs, labels).cache()
+    assert sorted((r["text"], r["toxic"], r["fold"]) for r in rows.collect()) == sorted((texts[i], bool(t), brute.crc_mod(i, 5)) for i, t in taken.items())
+    buckets = [toxicity.word_buckets([texts[i].encode()])[0] for i in taken]
+    assert np.allclose(toxicity._z_of_all(rows)[2], toxicity._z_values(buckets, np.array(list(taken.values()))))
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 4)
+    held = [r for r in toxicity.report(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.9
+
+
 def test_toxicity_of_strange_rows(spark, strange_docs, strange_rows, no_docs):
     _, labels, _ = labelled(spark, 60)
     nothing = spark.createDataFrame([], "doc_id long, toxic int")

@@ -8,8 +8,12 @@ cross-fitted between two folds so that a text never sees its own label); the oth
 the filters and the output layer are learned with Adam. The output is shifted so that 0.5 is the best cut on validation rows, and
 every language gets a cut of its own where it has enough validation rows.
 
-Training rows are a bounded sample: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled
-texts of at most ``MAX_TRAIN_BYTES``, the ones with the smallest hash of their id.
+Every labelled text outside the held-out fold is a training or a validation row, whole.
+Adam starts on the driver with a bounded number of texts (:func:`train`: at most
+``MAX_TOXIC`` and ``MAX_CLEAN``, each of at most ``MAX_TRAIN_BYTES``, the ones with the
+smallest hash of their id). Where these are not all, the weights found are only the start
+of :func:`refine`: the z values are counted over all training texts, tasks descend over
+all of them and their weights are averaged, and the cuts come from all validation rows.
 Scoring reads every text whole; language, source, id and label are no inputs.
 
 Defined cases: null and empty texts get the score of a text without words; repeated
@@ -24,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,13 @@ MAX_TRAIN_BYTES = 1 << 16
 #: Folds of crc32(doc_id) mod 5: 0 is held out by the caller, this one validates.
 VALIDATE = 1
 LEAST_PER_LANGUAGE = 8
+#: Texts of a step; passes of the tasks over all training texts, and their step size.
+BATCH = 32
+PASSES = 2
+RATE = 0.003
+#: Rows of the embedding in one slice of a sum, and steps of a cut for one unit of the logit.
+SLICE = 4096
+STEPS = 256
 
 
 @dataclass
@@ -115,13 +127,58 @@ def _z_values(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     for r, t in zip(rows, y):
         for k in range(FIXED):
             (pos if t else neg)[k][np.unique(r[:, k])] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    return _z_of_counts(pos, neg, int(y.sum()), int((1 - y).sum()))
+
+
+def _z_of_counts(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    n1, n0 = max(1, n1), max(1, n0)
     both = (pos + neg) / (n1 + n0)
     z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n1 + 1 / n0))
     z[pos + neg < 3] = 0
     return np.clip(z / 4, -2, 4).astype(np.float32)
 
 
+def _step(params: list, m: list, v: list, step: int, rate: float, own: list[np.ndarray], y, z) -> np.ndarray:
+    """One step of Adam over the texts ``own`` with their set coordinates ``z``; the rows
+    of the embedding that it moved."""
+    n = len(WIDTHS)
+    embed, filters, bias, out = params[0], params[1 : 1 + n], params[1 + n : 1 + 2 * n], params[-1]
+    grads = [np.zeros_like(p) for p in params[1:]]
+    touched, dx = [], []
+    for r, fixed, toxic in zip(own, z, y):
+        x = np.concatenate([_inputs(embed, fixed, r), np.zeros((max(WIDTHS), DIM), dtype=np.float32)])
+        pooled, where = [], []
+        for width, f, b in zip(WIDTHS, filters, bias):
+            span = len(x) - width + 1
+            c = sum(x[j : j + span] @ f[j] for j in range(width)) + b
+            top = c.argmax(axis=0)
+            where.append(top)
+            pooled.append(c[top, np.arange(FILTERS)])
+        pooled = np.concatenate(pooled)
+        a = np.append(np.maximum(pooled, 0), 1).astype(np.float32)
+        g = float(1 / (1 + np.exp(-np.clip(a @ out, -30, 30))) - toxic) / len(own)
+        grads[-1] += g * a
+        back = g * out[:-1] * (pooled > 0)
+        for q, (width, f) in enumerate(zip(WIDTHS, filters)):
+            d = back[q * FILTERS : (q + 1) * FILTERS]
+            grads[n + q] += d
+            for j in range(width):
+                pos = where[q] + j
+                grads[q][j] += x[pos].T * d
+                real = pos < len(r)
+                touched.append(r[pos[real], 0])
+                dx.append((f[j] * d).T[real, FIXED:])
+    touched, dx = np.concatenate(touched), np.concatenate(dx)
+    used, inverse = np.unique(touched, return_inverse=True)
+    de = np.zeros((len(used), LEARNED), dtype=np.float32)
+    np.add.at(de, inverse, dx)
+    for p, g, mm, vv, rows_at in [(embed, de, m[0], v[0], used), *[(p, g, a, b, slice(None)) for p, g, a, b in zip(params[1:], grads, m[1:], v[1:])]]:
+        mm[rows_at] = 0.9 * mm[rows_at] + 0.1 * g
+        vv[rows_at] = 0.999 * vv[rows_at] + 0.001 * g * g
+        p[rows_at] -= rate * (mm[rows_at] / (1 - 0.9**step)) / (np.sqrt(vv[rows_at] / (1 - 0.999**step)) + 1e-7)
+    return used
+
+
 def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, langs: list[str | None], seed: int = 7) -> Network:
     """Network of the labelled texts; ``fold`` as crc32 mod 5, ``weight`` undoes the sampling."""
     rng = np.random.default_rng(seed)
@@ -147,46 +204,12 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, fold: np.ndarray,
     of_half = [_z_values([rows[i] for i in train[half != k]], y[train[half != k]]) for k in (0, 1)]
     params = [embed, *filters, *bias, out]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, batch = 0, 32
-    epochs = max(EPOCHS, -(-400 * batch // len(train)))
+    step = 0
+    epochs = max(EPOCHS, -(-400 * BATCH // len(train)))
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(train)), max(1, len(train) // batch)):
+        for at in np.array_split(rng.permutation(len(train)), max(1, len(train) // BATCH)):
             step += 1
-            grads = [np.zeros_like(p) for p in params[1:]]
-            touched, dx = [], []
-            own = [rows[i] for i in train[at]]
-            for r, k, i in zip(own, half[at], train[at]):
-                x = np.concatenate([_inputs(embed, of_half[k], r), np.zeros((max(WIDTHS), DIM), dtype=np.float32)])
-                pooled, where = [], []
-                for width, f, b in zip(WIDTHS, filters, bias):
-                    span = len(x) - width + 1
-                    c = sum(x[j : j + span] @ f[j] for j in range(width)) + b
-                    top = c.argmax(axis=0)
-                    where.append(top)
-                    pooled.append(c[top, np.arange(FILTERS)])
-                z = np.concatenate(pooled)
-                a = np.append(np.maximum(z, 0), 1).astype(np.float32)
-                g = float(1 / (1 + np.exp(-np.clip(a @ out, -30, 30))) - y[i]) / len(at)
-                grads[-1] += g * a
-                back = g * out[:-1] * (z > 0)
-                for q, (width, f) in enumerate(zip(WIDTHS, filters)):
-                    d = back[q * FILTERS : (q + 1) * FILTERS]
-                    grads[len(WIDTHS) + q] += d
-                    for j in range(width):
-                        pos = where[q] + j
-                        grads[q][j] += x[pos].T * d
-                        real = pos < len(r)
-                        touched.append(r[pos[real], 0])
-                        dx.append((f[j] * d).T[real, FIXED:])
-            touched, dx = np.concatenate(touched), np.concatenate(dx)
-            used, inverse = np.unique(touched, return_inverse=True)
-            de = np.zeros((len(used), LEARNED), dtype=np.float32)
-            np.add.at(de, inverse, dx)
-            rate = 0.01 / (1 + step / 2000)
-            for p, g, mm, vv, rows_at in [(embed, de, m[0], v[0], used), *[(p, g, a, b, slice(None)) for p, g, a, b in zip(params[1:], grads, m[1:], v[1:])]]:
-                mm[rows_at] = 0.9 * mm[rows_at] + 0.1 * g
-                vv[rows_at] = 0.999 * vv[rows_at] + 0.001 * g * g
-                p[rows_at] -= rate * (mm[rows_at] / (1 - 0.9**step)) / (np.sqrt(vv[rows_at] / (1 - 0.999**step)) + 1e-7)
+            _step(params, m, v, step, 0.01 / (1 + step / 2000), [rows[i] for i in train[at]], y[train[at]], [of_half[k] for k in half[at]])
     net.fixed = _z_values([rows[i] for i in train], y[train])
     logit = logits(net, [texts[i] for i in check])
     net.shift = _best_cut(logit, y[check], weight[check])
@@ -210,7 +233,8 @@ def _best_cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Network of the labelled documents outside the held-out fold (crc32(doc_id) mod 5 = 0)."""
+    """Start: the network of a bounded number of labelled documents outside the held-out
+    fold (crc32(doc_id) mod 5 = 0)."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     # Places go to labels whose document is there and short enough: ids and lengths alone.
     usable = docs.filter((fold != 0) & (F.octet_length("text") <= MAX_TRAIN_BYTES)).select("doc_id").distinct()
@@ -232,6 +256,164 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     return fit([r[0] for r in sample], np.array([int(r[1]) for r in sample]), np.array(weights), np.array([r[2] for r in sample]), [r[3] for r in sample])
 
 
+def every_row(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic, lang, fold and half of every labelled document outside the held-out fold."""
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    named = labels.filter("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).filter(fold != 0)
+    texts = docs.filter((fold != 0) & F.col("text").isNotNull()).select("doc_id", "text", lang.alias("lang")).join(named, "doc_id")
+    # Repeated ids count once; the join has brought them together already.
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    return one.select("t.text", "toxic", "t.lang", fold.cast("int").alias("fold"), half.alias("half"))
+
+
+def _added(rows: DataFrame, run, dtype: str = "<f8") -> dict[int, np.ndarray]:
+    """The slices that the tasks of ``run`` give, added up in the order of the tasks."""
+
+    def numbered(batches):
+        task = TaskContext.get().partitionId()
+        made = list(run(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in made], pa.int32()), pa.array([task] * len(made), pa.int32()), pa.array([np.asarray(d, dtype).tobytes() for _, d in made], pa.binary())], names=["slice", "task", "data"])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")
+        total = sum(np.frombuffer(d.as_buffer(), dtype) for d in table.column("data"))
+        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(numbered, "slice int, task int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary")
+    return {j: np.frombuffer(d, dtype) for j, d in sums.collect()}
+
+
+def _hashed(batches):
+    """Batch, number and buckets of every text."""
+    for batch in batches:
+        texts = raw_texts(batch.column("text"))
+        for piece in pieces(texts):
+            r, first = word_buckets(texts[piece])
+            yield batch, piece, r, first
+
+
+def _z_of_all(rows: DataFrame) -> list[np.ndarray]:
+    """z values of the texts outside each half, and of all texts."""
+
+    def run(batches):
+        counts = np.zeros((FIXED, 4 * BUCKETS), dtype=np.int64)
+        sizes = np.zeros(4, dtype=np.int64)
+        for batch, piece, r, first in _hashed(batches):
+            group = 2 * np.asarray(batch.column("half"))[piece] + np.asarray(batch.column("toxic").cast(pa.int32()))[piece]
+            sizes += np.bincount(group, minlength=4)
+            owner = np.repeat(np.arange(len(group)), np.diff(first))
+            for k in range(FIXED):
+                pairs = np.unique(owner * BUCKETS + r[:, k])
+                counts[k] += np.bincount(group[pairs // BUCKETS] * BUCKETS + pairs % BUCKETS, minlength=4 * BUCKETS)
+        yield -1, sizes
+        yield from enumerate(counts)
+
+    found = _added(rows, run, "<i8")
+    sizes = found[-1].reshape(2, 2)
+    counts = np.stack([found[k] for k in range(FIXED)]).reshape(FIXED, 2, 2, BUCKETS)
+    of = lambda halves: _z_of_counts(counts[:, halves, 1].sum(axis=1), counts[:, halves, 0].sum(axis=1), int(sizes[halves, 1].sum()), int(sizes[halves, 0].sum()))
+    return [of([1]), of([0]), of([0, 1])]
+
+
+def _pass(rows: DataFrame, net: Network, of_half: list[np.ndarray]) -> None:
+    """Every task descends over its texts from the weights of ``net``, which then takes the
+    mean of their moves: by texts, and in the embedding by the steps that moved a row."""
+    shared = rows.sparkSession.sparkContext.broadcast((net, of_half))
+
+    def run(batches):
+        net, of_half = shared.value
+        start = [net.embed, *net.filters, *net.bias, net.out]
+        params = [p.copy() for p in start]
+        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        moved, texts, step, held = np.zeros(BUCKETS), 0, 0, []
+
+        def descend():
+            nonlocal step, texts
+            step, texts = step + 1, texts + len(held)
+            moved[_step(params, m, v, step, RATE, *map(list, zip(*held)))] += 1
+            held.clear()
+
+        for batch, piece, r, first in _hashed(batches):
+            half, toxic = np.asarray(batch.column("half"))[piece], np.asarray(batch.column("toxic").cast(pa.int32()))[piece]
+            for a, b, k, t in zip(first[:-1], first[1:], half, toxic):
+                held.append((r[a:b], int(t), of_half[k]))
+                if len(held) == BATCH:
+                    descend()
+        if held:
+            descend()
+        if texts:
+            yield -1, np.concatenate([[texts], *[texts * (p - q).ravel() for p, q in zip(params[1:], start[1:])]])
+            own = np.column_stack((moved, moved[:, None] * (params[0] - start[0])))
+            yield from ((j, own[j : j + SLICE]) for j in range(0, BUCKETS, SLICE) if moved[j : j + SLICE].any())
+
+    found = _added(rows, run)
+    shared.destroy()
+    dense, at = found.pop(-1), 1
+    for p in [*net.filters, *net.bias, net.out]:
+        p += (dense[at : at + p.size] / dense[0]).reshape(p.shape).astype(np.float32)
+        at += p.size
+    for j, data in found.items():
+        data = data.reshape(-1, 1 + LEARNED)
+        net.embed[j : j + len(data)] += (data[:, 1:] / np.maximum(data[:, :1], 1)).astype(np.float32)
+
+
+def _cuts_of_all(rows: DataFrame, net: Network) -> None:
+    """The common shift and the cuts of the languages, from the logits of all ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            step = np.floor(np.clip(logits(shared.value, raw_texts(batch.column("text"))), -30, 30) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(step), batch.column("toxic")], names=["lang", "step", "toxic"])
+
+    count = lambda toxic: F.count(F.when(F.col("toxic") == toxic, 1))
+    # At most 60 * STEPS rows of a language, whatever the number of texts.
+    steps = rows.select("text", "lang", "toxic").mapInArrow(run, "lang string, step int, toxic boolean").groupBy("lang", "step").agg(count(True), count(False)).collect()
+
+    def cut(found) -> float:
+        step, pos, neg = np.array(sorted(((r[1], r[2], r[3]) for r in found), reverse=True), dtype=float).T
+        level, first = np.unique(-step, return_index=True)
+        tp, fp = np.cumsum(np.add.reduceat(pos, first)), np.cumsum(np.add.reduceat(neg, first))
+        at = int((2 * tp / (tp + fp + tp[-1])).argmax())
+        low = -level[at]
+        below = -level[at + 1] + 1 if at + 1 < len(level) else low - STEPS
+        return (low + below) / 2 / STEPS
+
+    net.shift, net.cuts = cut(steps), {}
+    by_language: dict[str, list] = {}
+    for r in steps:
+        by_language.setdefault(r["lang"], []).append(r)
+    for lang, found in by_language.items():
+        if lang is not None and min(sum(r[2] for r in found), sum(r[3] for r in found)) >= LEAST_PER_LANGUAGE:
+            net.cuts[lang] = float(1 / (1 + np.exp(-(cut(found) - net.shift))))
+
+
+def refine(rows: DataFrame, net: Network) -> Network:
+    """``net`` trained on and cut by all ``rows`` of :func:`every_row`."""
+    tally = {(r[0], r[1]) for r in rows.select("toxic", F.col("fold") == VALIDATE).distinct().collect()}
+    net.blank = len({t for t, _ in tally}) < 2
+    if net.blank:
+        return net
+    train = check = rows
+    if len(tally) == 4:
+        train, check = rows.filter(F.col("fold") != VALIDATE), rows.filter(F.col("fold") == VALIDATE)
+    *of_half, net.fixed = _z_of_all(train)
+    for _ in range(PASSES):
+        _pass(train, net, of_half)
+    _cuts_of_all(check, net)
+    return net
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Network:
+    """Network of all labelled documents outside the held-out fold."""
+    rows = materialise(every_row(docs, labels), "training")
+    net = train(docs, labels)
+    n = rows.agg(*[F.count(F.when(c, 1)) for c in (F.col("toxic"), ~F.col("toxic"), F.octet_length("text") > MAX_TRAIN_BYTES)]).first()
+    return net if n[0] <= MAX_TOXIC and n[1] <= MAX_CLEAN and not n[2] else refine(rows, net)
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """``docs`` with score, the cut of its language and the decision, in one struct."""
     name, lang = fresh("toxicity", docs.columns), "lang" if "lang" in docs.columns else None
@@ -252,14 +434,14 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic by the cut of their language."""
-    found = score(docs, train(docs, labels))
+    found = score(docs, learn(docs, labels))
     return found.filter(~F.col(f"{found.columns[-1]}.toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, language_cut, toxic_by_language."""
     docs = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
-    found = score(docs, train(docs, labels))
+    found = score(docs, learn(docs, labels))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     t = found.columns[-1]
     return found.select("doc_id", held.alias("held_out"), F.col(f"{t}.score").alias("score"), (F.col(f"{t}.score") >= 0.5).cast("int").alias("predicted"), F.col(f"{t}.cut").alias("language_cut"), F.col(f"{t}.toxic").alias("toxic_by_language"))
