@@ -314,6 +314,14 @@ def test_fingerprints_run_no_python(spark, strange_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_texts_decode_together_as_alone():
+    codec = bpe.Codec(bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    coded = [codec.encode(t) for t in ("A word, \u00e9t\u00e9 \U0001f600!", "", "<|endoftext|>x", "\n")]
+    coded += [coded[0][:-8], b"", codec.encode("\U0001f600")[:4]]  # ids that end inside a character
+    assert codec.decode_all(coded) == [codec.decode(c).encode() for c in coded]
+    assert codec.decode_all([b"", b""]) == [b"", b""] and codec.decode_all([]) == []
+
+
 # -------------------------------------------------------------------- toxicity
 def labelled(spark, n=400):
     r, rows, labels = random.Random(6), [], []

@@ -205,6 +205,7 @@ class Codec:
         self.special = {t: array("I", [vocabulary.special[t]]).tobytes() for t in special}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.token = vocabulary.token
+        self.tokens = pa.array(vocabulary.token, pa.large_binary())
 
     def parts(self, text: str) -> list[str]:
         if self.cut and any(t in text for t in self.special):
@@ -229,6 +230,26 @@ class Codec:
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
+    def decode_all(self, coded: list[bytes]) -> list[bytes]:
+        """The decoded texts in UTF-8: the tokens of all texts are put together at once."""
+        if not coded:
+            return []
+        ends = np.cumsum([0] + [len(c) // 4 for c in coded])
+        taken = self.tokens.take(pa.array(np.frombuffer(b"".join(coded), "<u4")))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, "<i8", len(taken) + 1, taken.offset * 8)[ends].tolist()
+        whole = memoryview(data) if data is not None else b""
+        return [_replaced(bytes(whole[a:b])) for a, b in zip(at, at[1:])]
+
+
+def _replaced(raw: bytes) -> bytes:
+    """``raw`` if it is UTF-8, else with its faults replaced."""
+    try:
+        raw.decode("utf-8")
+        return raw
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+
 
 def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
     """word, n over all texts, pre-aggregated by the workers."""
@@ -319,7 +340,7 @@ def encode(docs: DataFrame, vocabulary_path: str, digests: bool = True, ids: boo
             at = pa.array(np.concatenate(([0], np.cumsum(sizes))) if ids else np.zeros(len(texts) + 1), pa.int32())
             flat = pa.array(np.frombuffer(b"".join(coded) if ids else b"", "<u4").astype(np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(at, flat) if ids else pa.nulls(len(texts), pa.list_(pa.int32()))
-            sha = [pa.array([sha256_hex(c) for c in coded]), pa.array([sha256_hex(codec.decode(c).encode()) for c in coded])] if digests else [pa.nulls(len(texts), pa.string())] * 2
+            sha = [pa.array([sha256_hex(c) for c in coded]), pa.array([sha256_hex(t) for t in codec.decode_all(coded)])] if digests else [pa.nulls(len(texts), pa.string())] * 2
             made = pa.StructArray.from_arrays([pa.array(sizes), lists, *sha], names=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
