@@ -217,3 +217,8 @@ def test_the_emoji_test_of_prose_has_few_ranges():
     spans = [[int(x, 16) for x in re.findall(r"\{(\w+)\}", span)] for span in re.findall(r"\\x\{\w+\}-\\x\{\w+\}", few)]
     inside = lambda c: any(a <= ord(c) <= b for a, b in spans)
     assert all(map(inside, ones)) and not any(map(inside, "aZ09äéßñ\u00ab\u00bb\u00a0\u2013\u2019\u201c"))
+
+
+def test_only_the_digests_of_the_rules_are_made(spark):
+    made = {rules: obfuscate_text(F.col("text"), F.col("id"), rules)._jc.toString().count("sha2") for rules in (("leet",), ("repeat",), ("space",))}
+    assert made == {("leet",): 1, ("repeat",): 1, ("space",): 1}
