@@ -205,6 +205,36 @@ def test_codec_equals_the_library(library):
         assert codec.decode(coded) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_texts_of_a_slice_are_coded_together(library, monkeypatch):
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    known = {w: vocabulary.merged(w) for w in (b" the", b"the", b" of", "é".encode(), b"\n", b" ")}
+    codec = bpe.Codec(vocabulary, transducer.Transducer(transducer.compile_words(known)))
+    r = random.Random(3)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\xa0", "'s", "a", "strange", "é", "ß", "1", "漢", "🙂", "́", "×", "<|endoftext|>", "_", "?!", ".", ",", "the", " of", "x" * 70]
+    texts = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000))]
+    texts += ["".join(r.choice([" ", "\n", "the", "é", "漢", ".", "!", "ab"]) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(c, "<u4").tolist() for c in codec.encode_all(texts)] == want
+    assert codec.encode_all([]) == [] and codec.encode_all([None]) == [b""]
+    # Plain texts are not coded word by word.
+    monkeypatch.setattr(codec, "encode", None)
+    monkeypatch.setattr(codec.memory.lexicon, "find", None)
+    monkeypatch.setattr(vocabulary, "_short", None)
+    assert np.frombuffer(codec.encode_all(["the strange é of.\n the"])[0], "<u4").tolist() == library.encode("the strange é of.\n the", add_special_tokens=False).ids
+
+
+def test_words_merged_together_equal_words_merged_alone():
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    r = random.Random(4)
+    words_ = [b"".join(r.choice([b"a", b"an", b" ", b"tion", b"er", "é".encode(), b"\xff", b"\0"]) for _ in range(r.randint(1, 20))) for _ in range(4000)]
+    assert vocabulary.merged_all(words_) == [np.array(vocabulary.merged(w), dtype="<u4").tobytes() for w in words_]
+    assert vocabulary.merged_all([]) == [] and vocabulary.merged_all([b""]) == [b""]
+    for n in (0, 3, 900):
+        known = {w: (i, i + 1) for i, w in enumerate(words_[:n])} | ({b"": (7,)} if n == 3 else {})
+        t = transducer.Transducer(transducer.compile_words(known))
+        assert t.find_all([b"", *words_]) == [None if (f := t.find(w)) is None else np.array(f, dtype="<u4").tobytes() for w in [b"", *words_]]
+
+
 def test_documents_equal_the_library(spark, library, strange_docs, strange_rows):
     got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.report(strange_docs, VOCABULARY).collect()), key=str)
     want = []

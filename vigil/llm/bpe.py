@@ -6,7 +6,9 @@ and compiled with their ids into a minimal acyclic transducer
 (:mod:`vigil.llm.transducer`). It is written to the shared folder, handed to the
 executors as a Spark file and memory-mapped by their workers; a new executor fetches
 it again. Words that it lacks are merged exactly, so the ids never depend on it.
-Each worker remembers a bounded number of the words it met last.
+The texts of a slice are cut at once into tokens, the distinct ones looked up and merged
+together. Texts with special strings or rare white space go one by one; for these each
+worker remembers a bounded number of the words it met last.
 
 The vocabulary file (the public ``tokenizers`` JSON format: byte-level BPE without
 normaliser) is read by the driver and broadcast; it has a fixed number of entries.
@@ -44,6 +46,9 @@ SHORT = 40
 #: Words, and runs, that a worker remembers, and the longest of them in bytes.
 MEMORY = 200_000
 MEMORY_BYTES = 64
+#: Lengths in bytes up to which words are merged together, and entries of their matrix.
+LENGTHS = (8, 12, 16, 24, 40, 64)
+MATRIX = 1 << 19
 #: Steps of the histogram of word counts for a factor e.
 LEVELS = 32
 #: Distinct words that a worker counts before it passes them on.
@@ -87,6 +92,69 @@ class Vocabulary:
             self.made.append(vocab[a + b])
             self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
             self.rank.setdefault((vocab[a], vocab[b]), rank)
+        # The same for many pairs at once: sorted pairs and their ranks.
+        pairs = np.array(sorted((a * len(self.token) + b, r) for (a, b), r in self.rank.items()), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.ranks = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int32)
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; the number of merges where there is none."""
+        none = len(self.made)
+        if not len(self.pairs):
+            return np.full(a.shape, none, dtype=np.int32)
+        key = a.astype(np.int64) * len(self.token) + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], none).astype(np.int32)
+
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """:meth:`merged` of each word as little-endian 32-bit integers. Words of like
+        length are rows of a matrix; a step merges one pair of every row."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        lower = 0
+        for upper in [*LENGTHS, max(sizes, default=0)]:
+            rows = np.flatnonzero((sizes > lower) & (sizes <= upper))
+            for part in np.array_split(rows, len(rows) * upper // MATRIX + 1) if len(rows) else []:
+                for row, packed in self._merged_rows([words[r] for r in part], sizes[part]):
+                    out[part[row]] = packed
+            lower = max(lower, upper)
+        return out
+
+    def _merged_rows(self, words: list[bytes], sizes: np.ndarray):
+        """row, packed ids of words that are not empty."""
+        width, none = int(sizes.max()), len(self.made)
+        made, byte = np.array([*self.made, -1], dtype=np.int32), np.array(self.byte, dtype=np.int32)
+        columns = np.arange(width)
+        ids = np.full((len(words), width), -1, dtype=np.int32)
+        ids[columns < sizes[:, None]] = byte[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full((len(words), width), none, dtype=np.int32)
+        ranks[:, :-1] = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        row = np.arange(len(words))
+        while len(row):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(row)), at]
+            ready = best == none
+            if ready.any():
+                ended = ids[ready]
+                inside = ended >= 0
+                ends = 4 * np.cumsum(inside.sum(axis=1))
+                flat = ended[inside].astype("<i4").tobytes()
+                yield from ((r, flat[a:b]) for r, a, b in zip(row[ready].tolist(), [0, *ends.tolist()], ends.tolist()))
+                ids, ranks, row, at, best = ids[~ready], ranks[~ready], row[~ready], at[~ready], best[~ready]
+                if not len(row):
+                    return
+            # The merged id takes the place of its left half, what is right of it moves up.
+            later = columns[:-1] >= at[:, None]
+            ranks[:, :-1] = np.where(later, ranks[:, 1:], ranks[:, :-1])
+            later[np.arange(len(row)), at] = False
+            ids[:, :-1] = np.where(later, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            all_rows = np.arange(len(row))
+            new = made[best]
+            ids[all_rows, at] = new
+            right = np.where(at + 1 < width, ids[all_rows, np.minimum(at + 1, width - 1)], -1)
+            ranks[all_rows, at] = self.ranks_of(new, right)
+            inner = np.flatnonzero(at)
+            ranks[inner, at[inner] - 1] = self.ranks_of(ids[inner, at[inner] - 1], new[inner])
 
     def merged(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: always the pair with the lowest rank first, left to right."""
@@ -183,6 +251,74 @@ class _Runs(dict):
 MARKS = frozenset(".,;:!?")
 #: White space other than blanks and line ends.
 ODD_SPACE = re.compile(r"[^\S \n]")
+#: Flags per byte: blank or line end, mark.
+SPACES, MARKED = (np.isin(np.arange(256), list(chars.encode())) for chars in (" \n", "".join(MARKS)))
+#: Flags per code point of the basic plane: a letter, as the pattern has it.
+LETTERS = np.zeros(1 << 16, dtype=bool)
+LETTERS[[ord(c) for c in regex.findall(r"\p{L}", "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000))]] = True
+
+
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """Flags per byte of UTF-8: part of a letter (beyond the basic plane all are taken for none)."""
+    out = LETTERS[data] & (data < 0x80)
+    high = np.flatnonzero(data >= 0x80)
+    if len(high):
+        out[high] = data[high] < 0xC0
+        for lead, size in ((0xC0, 2), (0xE0, 3)):
+            at = high[(data[high] >= lead) & (data[high] < lead + (64 >> size - 1))]
+            code = data[at].astype(np.int64) & (0x7F >> size)
+            for k in range(1, size):
+                code = code << 6 | (data[at + k] & 0x3F)
+            out[at] = LETTERS[code]
+    return out
+
+
+def cut_points(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the tokens of texts start that have no white space but blanks and line ends
+    (the texts end at ``ends``; the last point is the end). As the pattern has it, white
+    space before a visible character gives up its last character: a blank goes to the
+    run that follows, a line end is a token. White space and visible runs are tokens; of
+    letters with a mark at the end, the mark is a token of its own."""
+    n = len(data)
+    space = SPACES[data]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[0] = begins[ends] = True
+    inner = np.zeros(n, dtype=bool)  # a character of the same text follows
+    inner[:-1] = ~begins[1:n]
+    follows = np.zeros(n, dtype=bool)  # a visible character of the same text follows
+    follows[:-1] = ~space[1:]
+    follows &= inner
+    # The first of a white space, and its last character before something visible.
+    before = np.zeros(n, dtype=bool)
+    before[1:] = space[:-1]
+    begins[:n] |= space & (~before | follows)
+    # After a line end that a visible character follows.
+    begins[1:][(data == 0x0A) & follows] = True
+    # Before a mark that ends letters.
+    last = ~space & ~np.concatenate((~space[1:], [False])) | ~space & ~inner
+    at = np.flatnonzero(last & MARKED[data])
+    letters = letters_of(data)
+    at = at[at > 0]
+    at = at[letters[at - 1] & ~begins[at]]
+    points = np.flatnonzero(begins)
+    start = points[np.searchsorted(points, at, side="right") - 1]
+    start += data[start] == 0x20
+    odd = np.concatenate(([0], np.cumsum(~letters)))
+    begins[at[odd[at] == odd[start]]] = True
+    return np.flatnonzero(begins)
+
+
+def one_word(tokens: pa.LargeBinaryArray) -> np.ndarray:
+    """Flags: tokens of :func:`cut_points` that surely are one word: letters, with
+    or without a blank before them, white space, or a single mark."""
+    _, offsets, data = tokens.buffers()
+    at = np.frombuffer(offsets, "<i8", len(tokens) + 1, tokens.offset * 8)
+    data = np.frombuffer(data, np.uint8)
+    letters = np.concatenate(([0], np.cumsum(letters_of(data))))
+    spaces = np.concatenate(([0], np.cumsum(SPACES[data])))
+    size, first = np.diff(at), data[at[:-1]]
+    n_letters, n_spaces = letters[at[1:]] - letters[at[:-1]], spaces[at[1:]] - spaces[at[:-1]]
+    return (n_spaces == size) | (n_letters + ((first == 0x20) & (n_letters > 0)) == size) | ((size == 1) & MARKED[first])
 
 
 def runs_of(text: str) -> list[list[str]] | None:
@@ -212,6 +348,65 @@ class Codec:
             return [p for p in self.cut(text) if p]
         return [text] if text else []
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of many texts. They are cut at once into tokens, which are words or runs
+        that need the pattern; each distinct one is looked up or merged once."""
+        out = [b""] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if ODD_SPACE.search(text) or any(t in text for t in self.special):
+                out[i] = self.encode(text)
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        raw = [texts[i].encode() for i in plain]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        buffer = b"".join(raw)
+        cuts = cut_points(np.frombuffer(buffer, np.uint8), ends)
+        tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype("<i8")), pa.py_buffer(buffer)])
+        distinct = tokens.dictionary_encode()
+        coded = pa.array(self._ids_of(distinct.dictionary), pa.large_binary()).take(distinct.indices)
+        _, offsets, data = coded.buffers()
+        at = np.frombuffer(offsets, "<i8", len(coded) + 1, coded.offset * 8)
+        at = at[np.searchsorted(cuts, [0, *ends])].tolist()
+        for i, a, b in zip(plain, at, at[1:]):
+            out[i] = data[a:b].to_pybytes()
+        return out
+
+    def _ids_of(self, tokens: pa.LargeBinaryArray) -> list[bytes]:
+        """Ids of distinct tokens: those of :func:`one_word` are looked up and merged
+        together, the others cut by the pattern."""
+        values = tokens.to_pylist()
+        single = one_word(tokens)
+        out = [b""] * len(values)
+        rows = np.flatnonzero(single).tolist()
+        words = [values[i] for i in rows]
+        parted = []
+        if len(rows) < len(values):
+            place: dict[bytes, int] = {}
+            for i in np.flatnonzero(~single).tolist():
+                own = [w.encode() for w in self.words(values[i].decode())]
+                parted.append((i, [place.setdefault(w, len(words) + len(place)) for w in own]))
+            words += place
+        packed = self._looked_up(words)
+        for i, found in zip(rows, packed):
+            out[i] = found
+        for i, own in parted:
+            out[i] = b"".join([packed[j] for j in own])
+        return out
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, each from the transducer or merged."""
+        vocabulary, lexicon = self.memory.vocabulary, self.memory.lexicon
+        found: list[bytes | None] = lexicon.find_all(words) if lexicon else [None] * len(words)
+        short = [i for i, f in enumerate(found) if f is None and len(words[i]) <= MEMORY_BYTES]
+        for i, packed in zip(short, vocabulary.merged_all([words[i] for i in short])):
+            found[i] = packed
+        return [array("I", vocabulary.merged(w)).tobytes() if f is None else f for w, f in zip(words, found)]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
@@ -335,7 +530,7 @@ def encode(docs: DataFrame, vocabulary_path: str, digests: bool = True, ids: boo
         codec = Codec(shared.value, Transducer.mapped(SparkFiles.get(lexicon)))
         for batch in parts_of(batches, "text"):
             texts = batch.column("text").to_pylist()
-            coded = [codec.encode(t) if t else b"" for t in texts]
+            coded = codec.encode_all(texts)
             sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
             at = pa.array(np.concatenate(([0], np.cumsum(sizes))) if ids else np.zeros(len(texts) + 1), pa.int32())
             flat = pa.array(np.frombuffer(b"".join(coded) if ids else b"", "<u4").astype(np.int32), pa.int32())

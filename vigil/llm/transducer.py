@@ -11,6 +11,8 @@ from __future__ import annotations
 import mmap
 from array import array
 
+import numpy as np
+
 _HEAD = 6
 
 
@@ -88,6 +90,7 @@ class Transducer:
         self.at, self.ids = ints(n_words + 1), ints(n_ids)
         self.data, self.labels, self.ends = data, offset, offset + n_labels
         self.words = n_words
+        self.arcs: np.ndarray | None = None
 
     @classmethod
     def mapped(cls, path: str) -> "Transducer":
@@ -106,3 +109,33 @@ class Transducer:
         if not data[self.ends + state]:
             return None
         return tuple(self.ids[self.at[number] : self.at[number + 1]])
+
+    def find_all(self, words: list[bytes]) -> list[bytes | None]:
+        """For each word what :meth:`find` gives, as little-endian 32-bit integers. All
+        words take their next arc at once; the arcs are sorted by state and label."""
+        first = np.asarray(self.first, dtype=np.int64)
+        if self.arcs is None:
+            labels = np.frombuffer(self.data, np.uint8, len(self.target), self.labels)
+            self.arcs = np.repeat(np.arange(self.states) << 8, np.diff(first)) | labels
+        if not len(words) or not len(self.arcs):  # at most the empty word was compiled
+            return [None if (ids := self.find(w)) is None else array("I", ids).tobytes() for w in words]
+        target, skip = np.asarray(self.target), np.asarray(self.skip)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words), np.uint8)
+        state, number = np.full(len(words), self.states - 1), np.zeros(len(words), dtype=np.int64)
+        live, done = np.flatnonzero(sizes > 0), 0
+        while len(live):
+            key = state[live] << 8 | data[begin[live] + done]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            met = self.arcs[arc] == key
+            number[live[~met]] = -1
+            live, arc = live[met], arc[met]
+            number[live] += skip[arc]
+            state[live] = target[arc]
+            done += 1
+            live = live[sizes[live] > done]
+        ends = np.frombuffer(self.data, np.uint8, self.states, self.ends)
+        number[ends[state] == 0] = -1
+        at, ids = np.asarray(self.at), memoryview(self.ids).cast("B")
+        ranges = zip(number.tolist(), (4 * at[number]).tolist(), (4 * at[number + 1]).tolist())
+        return [bytes(ids[a:b]) if n >= 0 else None for n, a, b in ranges]
