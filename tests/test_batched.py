@@ -154,3 +154,12 @@ def test_texts_fold_in_alone_as_together():
         for _ in range(cfg.steps):
             d = d + (((1 - v @ d)[:, None] * v).mean(axis=0) - cfg.ridge * d) / (1 + cfg.ridge)
         assert np.allclose(got[k], d / np.linalg.norm(d), atol=1e-9)
+
+
+def test_histories_are_as_long_as_the_state_has_room():
+    for size in (200, 70_000, 1 << 18):
+        for group in B.batches(6, size) + B.batches(2, size):
+            held = B.steps_held(len(group), size)
+            assert B.HISTORY <= held <= B.LONGEST_HISTORY
+            assert (2 * held + 4) * 8 * size * len(group) <= B.STATE_BYTES
+    assert B.steps_held(2, 1 << 18) == B.LONGEST_HISTORY and B.steps_held(6, 1 << 18) == B.HISTORY
