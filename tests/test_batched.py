@@ -163,3 +163,16 @@ def test_histories_are_as_long_as_the_state_has_room():
             assert B.HISTORY <= held <= B.LONGEST_HISTORY
             assert (2 * held + 4) * 8 * size * len(group) <= B.STATE_BYTES
     assert B.steps_held(2, 1 << 18) == B.LONGEST_HISTORY and B.steps_held(6, 1 << 18) == B.HISTORY
+
+
+def test_passes_do_not_grow_with_the_rows(spark):
+    """A feature of every row and rare ones: Spark's scaling and a diagonal start take hundreds of passes."""
+    r = np.random.default_rng(6)
+    used = []
+    for n in (400, 3200):
+        rows = [(i, i % 4 == 0, 1, sorted({0, 1, 2, *r.choice(np.arange(3, 600 if i % 4 else 900), 25).tolist()})) for i in range(n)]
+        df = spark.createDataFrame([(i, int(y), bits, at) for i, y, bits, at in rows], "id long, y int, bits long, i array<int>").repartition(2)
+        fitted = B.fit(B.blocks_of(df, 900, 1))
+        used.append(int(fitted.iterations[0]))
+        assert fitted.left[0] < 1e-6
+    assert max(used) <= 30

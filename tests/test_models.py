@@ -142,3 +142,22 @@ def test_balanced_weights_sum_to_n(toy):
     counts = ML.class_counts(skewed)
     total = skewed.agg(F.sum(ML.class_weight(counts))).first()[0]
     assert abs(total - sum(counts.values())) < 1e-9
+
+
+def test_character_buckets_are_those_of_hashing_tf(spark):
+    from pyspark.ml.feature import HashingTF
+
+    from vigil.operators.characters import with_buckets
+
+    texts = ["Ab ab  cde", "", None, "x", "héllo wörld \U0001f600\U0001f600 日本語", "one two three " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: r["i"] for r in with_buckets(df, "text", (3, 4, 5), 1 << 18).collect()}
+    rows = []
+    for i, t in enumerate(texts):
+        grams = set()
+        for word in {f" {w} " for w in (t or "").lower().split()}:
+            for n in (3, 4, 5):
+                grams |= {word[a : a + n] for a in range(max(len(word) - n, 0) + 1)}
+        rows.append((i, sorted(grams)))
+    hashed = HashingTF(numFeatures=1 << 18, binary=True, inputCol="g", outputCol="f").transform(spark.createDataFrame(rows, "id int, g array<string>"))
+    assert got == {r["id"]: r["f"].indices.tolist() for r in hashed.collect()}
