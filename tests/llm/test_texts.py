@@ -6,6 +6,7 @@ import os
 import random
 import re
 import tempfile
+import zlib
 from collections import Counter
 
 import brute
@@ -517,3 +518,16 @@ def test_declared_language_is_found_anywhere(spark):
     rows = [(i, f"http://a.example/{i}", page) for i, (page, _) in pages.items()]
     got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), texts).collect()
     assert {r["page_id"]: r["declared"] for r in got} == {i: lang for i, (_, lang) in pages.items()}
+
+
+def test_the_start_of_the_toxicity_model_gets_buckets_not_texts(spark, monkeypatch):
+    texts = {i: f"word{i % 7} other{i % 3} " * (i % 5) + ("awful" if i % 4 == 0 else "fine") for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts], "doc_id long, toxic int")
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: given.append(a))
+    toxicity.train(docs, labels)
+    words = given[0][0]
+    want = [toxicity.word_buckets([t.encode()])[0] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5]
+    assert all(w.dtype.itemsize == 2 for w in words)
+    assert sorted(w.astype(np.int32).tobytes() for w in words) == sorted(w.astype(np.int32).tobytes() for w in want)

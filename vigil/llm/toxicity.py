@@ -42,6 +42,8 @@ LEARNED = 6
 PREFIXES = (4, 5, 6, 7, 8)
 FIXED = 1 + len(PREFIXES)
 DIM = FIXED + LEARNED
+#: How the buckets of the texts that start the model travel to the driver.
+PACKED = "<u2"
 FILTERS = 12
 WIDTHS = (1, 2, 3)
 EPOCHS = 8
@@ -105,6 +107,16 @@ def _pooled(net: Network, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def _logits_of(net: Network, rows: list[np.ndarray]) -> np.ndarray:
+    """Logits of texts given as the buckets of their words."""
+    out = []
+    for a in range(0, len(rows), 64):
+        part = rows[a : a + 64]
+        first = np.concatenate(([0], np.cumsum([len(r) for r in part])))
+        out.append(_pooled(net, _inputs(net.embed, net.fixed, np.concatenate(part)), first) @ net.out[:-1] + net.out[-1])
+    return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+
+
 def logits(net: Network, texts: list[bytes]) -> np.ndarray:
     out = []
     for piece in pieces(texts, 1 << 19):
@@ -179,8 +191,9 @@ def _step(params: list, m: list, v: list, step: int, rate: float, own: list[np.n
     return used
 
 
-def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, langs: list[str | None], seed: int = 7) -> Network:
-    """Network of the labelled texts; ``fold`` as crc32 mod 5, ``weight`` undoes the sampling."""
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, langs: list[str | None], seed: int = 7) -> Network:
+    """Network of the labelled texts, given as the buckets of their words (:func:`word_buckets`);
+    ``fold`` as crc32 mod 5, ``weight`` undoes the sampling."""
     rng = np.random.default_rng(seed)
     filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
@@ -192,10 +205,6 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, fold: np.ndarray,
     if len(set(y.tolist())) < 2:
         net.blank = True
         return net
-    rows: list[np.ndarray] = []
-    for piece in pieces(texts):
-        r, first = word_buckets(texts[piece])
-        rows += [r[a:b] for a, b in zip(first[:-1], first[1:])]
     train = np.flatnonzero(fold != VALIDATE)
     check = np.flatnonzero(fold == VALIDATE)
     if len(set(y[train].tolist())) < 2 or len(set(y[check].tolist())) < 2:
@@ -211,7 +220,7 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, fold: np.ndarray,
             step += 1
             _step(params, m, v, step, 0.01 / (1 + step / 2000), [rows[i] for i in train[at]], y[train[at]], [of_half[k] for k in half[at]])
     net.fixed = _z_values([rows[i] for i in train], y[train])
-    logit = logits(net, [texts[i] for i in check])
+    logit = _logits_of(net, [rows[i] for i in check])
     net.shift = _best_cut(logit, y[check], weight[check])
     for lang in {langs[i] for i in check} - {None}:
         at = np.array([j for j, i in enumerate(check) if langs[i] == lang])
@@ -249,11 +258,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     # At most MAX_TOXIC + MAX_CLEAN ids: broadcast, so that no other text is moved.
     texts = docs.select("doc_id", "text", lang.alias("lang")).filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(picked), "doc_id")
     one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
-    rows = sorted(one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", fold.alias("fold"), "t.text", "t.lang").collect())
-    count = {k: sum(r["toxic"] == k for r in rows) for k in (True, False)}
-    sample = [(r["text"].encode(), r["toxic"], r["fold"], r["lang"]) for r in rows]
-    weights = [sizes.get(r["toxic"], 0) / count[r["toxic"]] for r in rows]
-    return fit([r[0] for r in sample], np.array([int(r[1]) for r in sample]), np.array(weights), np.array([r[2] for r in sample]), [r[3] for r in sample])
+    rows = one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", fold.alias("fold"), "t.text", "t.lang")
+
+    def run(batches):
+        for batch in batches:
+            for _, piece, r, first in _hashed([batch]):
+                part = batch.slice(piece.start, len(first) - 1)
+                packed = [r[a:b].astype(PACKED).tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names if c != "text"], pa.array(packed, pa.binary())], names=[*[c for c in part.schema.names if c != "text"], "words"])
+
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c != "text")
+    # The driver gets no text, only the buckets of the words, in two bytes each.
+    found = sorted(rows.mapInArrow(run, f"{kept}, words binary").collect(), key=lambda r: (r["h"], r["doc_id"]))
+    y, folds, langs = np.array([int(r["toxic"]) for r in found]), np.array([r["fold"] for r in found]), [r["lang"] for r in found]
+    weights = np.array([sizes.get(bool(t), 0) / (y == t).sum() for t in y])
+    words = [np.frombuffer(r["words"], PACKED).reshape(-1, FIXED) for r in found]
+    del found
+    return fit(words, y, weights, folds, langs)
 
 
 def every_row(docs: DataFrame, labels: DataFrame) -> DataFrame:
