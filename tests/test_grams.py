@@ -43,3 +43,26 @@ def test_terms_are_summed_before_they_leave_a_task(spark):
     plan = G.frequencies(df, TfidfConfig())
     assert {tuple(r) for r in plan.collect()} == {("a1", 500, 500), ("b2", 500, 500), ("a1 b2", 500, 500)}
     assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_are_found_behind_a_class_of_few_ranges():
+    """The first class holds every mark, and leaves out what ordinary prose is made of."""
+    import re
+
+    from vigil.functions.tokens import _accent_tables, _ranges
+
+    marks = _accent_tables()[2]
+    coarse = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _ranges(marks, gap=512)))
+    assert all(coarse.match(chr(k)) for k in marks)
+    assert not any(coarse.match(c) for c in "éüßñ“”‘’–—…€")
+    assert _ranges(marks, gap=512).count("-") < 30
+
+
+def test_accents_and_marks_go(spark):
+    from pyspark.sql import functions as F
+
+    from vigil.functions.tokens import strip_accents
+
+    rows = [("cafe\u0301 “na\u00efve”", "cafe “naive”"), ("\u0915\u093f\u0301", "\u0915\u093f"), ("plain", "plain"), (None, None), ("\u00e9\u20d0x", "ex")]
+    got = spark.createDataFrame(rows, "c string, want string").select(strip_accents(F.col("c")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
