@@ -56,3 +56,30 @@ def test_rows_are_added_by_number():
     V.add_rows(total, at, rows)
     np.add.at(want, at, rows)
     assert np.allclose(total, want, atol=1e-4)
+
+
+def test_only_texts_that_meet_a_test_row_are_obfuscated(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    rows = [(i, " ".join([f"w{j}" for j in r.integers(0, 30, 12)] + ["bad"] * (i % 4 == 0)), int(i % 4 == 0), int(i % 4 == 0), "AB"[i % 2]) for i in range(160)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, label int, label3 int, dataset string")
+    corpora = {d: corpus.filter(F.col("dataset") == d) for d in "AB"}
+    cfg, written = V.EmbedConfig(vector_size=8, buckets=256), {}
+    real = Y.materialise
+
+    def kept(df, name):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(Y, "materialise", kept)
+    got = sorted(map(tuple, Y.robustness((("embed", cfg),), corpora).collect()))
+    runs = Y.Runs(corpora)
+    tested = {x["id"] for x in runs.keys.collect() if "test" in x["splits"].values()}
+    assert {x["id"] for x in written["obfuscated"].collect()} == tested and len(tested) < 60
+    model = runs.fit("embed", cfg)
+    noisy = runs.rows.select("id", Y.obfuscate_text(F.col("text"), F.col("id")).alias("text"))
+    clean = runs.scored(model.score(), "embed").filter("dataset = train and split = 'test'")
+    changed = model.score(noisy).withColumnRenamed("p_hate", "p_obf").join(runs.names, "problem").select("id", "train", "salt", "p_obf")
+    want = sorted(map(tuple, Y.R.robustness(clean.join(changed, ["id", "train", "salt"]), ["model", "dataset"], "p_hate", "p_obf").collect()))
+    assert len(got) == len(want) == 2
+    for a, b in zip(got, want):
+        assert all(x == y or abs(x - y) < 1e-5 for x, y in zip(a, b))
